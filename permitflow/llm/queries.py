@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permitflow.llm import decontam, line_dedup, packing, quality, simhash
-from permitflow.llm.common import table
+from permitflow.llm import decontam, html_extract, line_dedup, packing, quality, simhash, token_rollup, url_filter
+from permitflow.llm.common import shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -21,11 +22,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.quality(table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
+    changes = token_rollup.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), "byte_bpe_50k")
+    store.commit("documents", changes)
+    store.commit("documents", changes)  # a replay: skipped
+    return store.totals()
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,7 +56,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op5_quality_rules, op8_simhash_near_dedup, op9_best_fit_packing, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_url_filter, op5_quality_rules, op6_token_counts, op7_html_extraction, op8_simhash_near_dedup, op9_best_fit_packing, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
