@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permitflow.llm import decontam, html_extract, line_dedup, packing, quality, simhash, token_rollup, url_filter
+from permitflow.llm import decontam, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_rollup, toxicity, url_filter
 from permitflow.llm.common import shared_dir, table
 
 
@@ -22,10 +22,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), kept=False)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.quality(table(spark, sf_dir, "documents")).select(*cols)
@@ -56,7 +64,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_url_filter, op5_quality_rules, op6_token_counts, op7_html_extraction, op8_simhash_near_dedup, op9_best_fit_packing, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_url_filter, op4_suffix_array_dedup, op5_quality_rules, op6_token_counts, op7_html_extraction, op8_simhash_near_dedup, op9_best_fit_packing, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
