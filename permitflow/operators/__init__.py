@@ -1 +1 @@
-
+"""Relational operators over permit records."""
