@@ -117,12 +117,12 @@ def location_text(street: Column | str, house: Column | str, block: Column | str
 
 def pdf_date(c: Column | str) -> Column:
     """dd/mm/yyyy, with or without leading zeros; else null."""
-    return F.try_to_date(F.trim(_col(c)), F.lit("d/M/yyyy"))
+    return F.try_to_date(F.trim(_col(c)), "d/M/yyyy")
 
 
 def api_date(c: Column | str) -> Column:
     """The date before a T; else null."""
-    return F.try_to_date(F.split_part(_col(c), F.lit("T"), F.lit(1)), F.lit("yyyy-M-d"))
+    return F.try_to_date(F.split_part(_col(c), F.lit("T"), F.lit(1)), "yyyy-M-d")
 
 
 def pdf_count(c: Column | str) -> Column:

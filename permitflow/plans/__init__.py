@@ -1 +1 @@
-
+"""Whole runs: the daily digest and the statistics dataset."""

@@ -1 +1 @@
-
+"""Readers and writers: captured tables, the paged API, lookup tables, the state log, sinks, settings."""

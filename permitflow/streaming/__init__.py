@@ -1 +1 @@
-
+"""Incremental ingestion over Structured Streaming."""
