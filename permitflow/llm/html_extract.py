@@ -179,8 +179,8 @@ def decide(found: list[tuple[str, int, bool]]) -> list[bool]:
             continue
         (a, at_a), (b, at_b) = lefts[i], rights[i]
         if a and b and a != b:
-            # A short block before text is its heading; at equal distance it goes with what follows.
-            keep.append((a if i - at_a < at_b - i else b) > 0)
+            # At equal distance it stays: a heading before text, or a last short paragraph.
+            keep.append(i - at_a == at_b - i or (a if i - at_a < at_b - i else b) > 0)
         else:
             keep.append((a or b or 1) > 0)
     return keep
