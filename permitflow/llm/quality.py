@@ -113,18 +113,18 @@ def _fences(m: DataFrame) -> DataFrame:
     by_group = base.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in names)
     )
-    merge = lambda keys, pre: by_group.groupBy(*keys).agg(
-        F.sum("n").alias(f"{pre}n"), *(F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(f"{pre}{c}") for c in names)
+    by_group = cut(by_group, keep=1)
+    merged = [F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(f"l_{c}") for c in names]
+    by_lang = by_group.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("l_n"), *merged)
+    q = lambda c, p: F.kll_sketch_get_quantile_double(c, F.lit(p))
+    # The whole corpus's quartiles: one row of eight numbers.
+    whole = by_group.agg(F.sum("n").alias("n"), *merged).filter("n > 0")
+    whole = whole.select(*(q(F.col(f"l_{c}"), p).alias(f"{k}_{c}") for c in names for k, p in (("q1", 0.25), ("q3", 0.75)))).first()
+    pick = lambda c, k, p: (
+        F.when(F.col("n") >= MIN_GROUP, q(F.col(c), p)).when(F.col("l_n") >= MIN_GROUP, q(F.col(f"l_{c}"), p)).otherwise(F.lit(whole[f"{k}_{c}"] if whole else None).cast("double"))
     )
-    by_lang = merge(["lang"], "l_").withColumnRenamed("lang", "l_lang")
-    whole = merge([], "a_").filter(F.col("a_n").isNotNull())
-    g = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(whole))  # one row
-    pick = lambda c: (
-        F.when(F.col("n") >= MIN_GROUP, F.col(c)).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    )
-    g = g.select("lang", "source", *(pick(c).alias(c) for c in names))
-    q = lambda c, p: F.kll_sketch_get_quantile_double(F.col(c), F.lit(p))
-    g = g.select("lang", "source", *(x for c in names for x in (q(c, 0.25).alias(f"q1_{c}"), q(c, 0.75).alias(f"q3_{c}"))))
+    g = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
+    g = g.select("lang", "source", *(pick(c, k, p).alias(f"{k}_{c}") for c in names for k, p in (("q1", 0.25), ("q3", 0.75))))
     out = ["lang", "source"]
     for c, (side, floor) in MEASURES.items():
         spread = F.greatest(F.col(f"q3_{c}") - F.col(f"q1_{c}"), F.lit(floor))

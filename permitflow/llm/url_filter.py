@@ -89,10 +89,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
         F.count(F.lit(1)).alias("n"), F.count("mark").alias("labelled"), F.coalesce(F.sum("mark"), F.lit(0)).alias("bad")
     )
     t = templates(cut(forms))
-    whole = t.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).select(F.coalesce(F.try_divide(F.col("b"), F.col("l")), F.lit(0.0)).alias("prior"))
+    whole = t.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()  # two numbers
+    prior = F.lit(float(whole["b"]) / whole["l"] if whole["l"] else 0.0)
     stats = t.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    stats = stats.crossJoin(F.broadcast(whole))  # one row
-    stats = stats.select("host", "template", ((F.col("bad") + WEIGHT * F.col("prior")) / (F.col("labelled") + WEIGHT)).alias("purity"))
+    stats = stats.select("host", "template", ((F.col("bad") + WEIGHT * prior) / (F.col("labelled") + WEIGHT)).alias("purity"))
     by_form = cut(t.join(stats, ["host", "template"]).select(F.col("host").alias("f_host"), F.col("form").alias("f_form"), "template", "purity"))
     j = p.join(by_form, (F.col("host") == F.col("f_host")) & (F.col("form") == F.col("f_form")), "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
