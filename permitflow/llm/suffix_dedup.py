@@ -8,8 +8,10 @@ grams, so equal strings have equal keys; consecutive strings of one key form a s
 steps, each exact:
 
 1. In a task, and then in a bucket of keys, equal stretches keep only the smallest document; all others are removed
-   whole. A key met in one stretch only is done. Hot passages thus send one entry per task, not one per document.
-2. What remains are different stretches of one key. Their bytes are fetched and gathered by key into blocks. On a block's
+   whole. Hot passages thus send one entry per task, not one per document. A string reaches SIDE bytes or more to one
+   side of its key's gram, so different stretches can share one only if they agree on SIDE bytes to the left or to the
+   right; a key whose stretches do not is done.
+2. What remains are different stretches that may share strings. Their bytes are fetched and gathered by key into blocks. On a block's
    Burrows-Wheeler transform, string intervals are extended backward breadth-first: the common-prefix value of two
    neighbouring suffixes becomes known in the round of that value, as soon as the intervals of their tails part. The
    expansion stops at LEAST; suffixes still together share LEAST bytes, and the smallest document among them owns them.
@@ -34,11 +36,12 @@ from permitflow.llm.common import cut
 LEAST = 50
 K = 16
 HOT = 20_000
-CHUNK = 8 << 20
+SIDE = (LEAST - K) // 2
+CHUNK = 2 << 20
 BLOCK = 1 << 20
 BUCKET_BYTES = 2 << 20
 BUCKETS = 1024
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -46,7 +49,11 @@ _random = np.random.Generator(np.random.PCG64(20_240_229))
 _LETTER = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)  # a random odd number per byte
 _BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 
-_ENTRY = np.dtype([("h", "<u4"), ("s", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")])
+_ENTRY = np.dtype([("h", "<u4"), ("s", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("left", "<u2"), ("right", "<u2")])
+_OPEN = np.dtype([("start", "<u4"), ("n", "u1"), ("key", "<i8")])
+_SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
+#: Low bits of a gram's hash that give way to its position while the smallest is sought; a chunk holds fewer positions.
+_AT = 23
 
 
 def _power(base: np.uint64, n: int) -> np.uint64:
@@ -59,53 +66,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _keys(data: np.ndarray) -> np.ndarray:
-    """Key of the LEAST-byte string at each position."""
-    h, size = _LETTER[data], 1
-    while size < K:  # K is a power of two
-        h = h[:-size] * _power(_BASE, size) + h[size:]
-        size *= 2
-    h = _mix(h)
+def _grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes at each position."""
+    h, have, at = None, 0, 0
+    part, width = _LETTER[data], 1
+    n = len(data) - size + 1
+    while at < size:  # by the binary digits of ``size``
+        if size & width:
+            piece = part[at : at + n]
+            h = piece if h is None else h * _power(_BASE, width) + piece
+            at += width
+        have = width
+        if at < size:
+            part, width = part[:-have] * _power(_BASE, have) + part[have:], 2 * width
+    return _mix(h)
+
+
+def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts that lie one behind the other and end at ``ends``: start, strings, key, content hash, and hashes of the
+    SIDE bytes left and right of the gram (0 where a stretch has no string that reaches so far) of each stretch: a
+    maximal run of strings whose smallest gram is at one place."""
+    none = np.zeros(0, np.int64)
+    if len(data) < LEAST:
+        return none, none, none.astype(_U), none.astype(_U), none, none
+    h = _grams(data, K)
+    at_mask = _U((1 << _AT) - 1)
+    low = (h & ~at_mask) | np.arange(len(h), dtype=_U)
     want, size = LEAST - K + 1, 1
     while 2 * size <= want:
-        h = np.minimum(h[:-size], h[size:])
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
-    return np.minimum(h[: len(h) - (want - size)], h[want - size :])
-
-
-def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents that lie one behind the other and end at ``ends``: start, strings, key and content hash of each stretch."""
-    none = np.zeros(0, np.int64)
-    if len(data) < LEAST:
-        return none, none, none.astype(_U), none.astype(_U)
-    v = _keys(data)
+    low = np.minimum(low[: len(low) - (want - size)], low[want - size :])
+    place = (low & at_mask).astype(np.int64)
     bounds = np.concatenate([[0], ends])
-    valid = np.zeros(len(v) + 1, np.int32)  # +1 at a document's first string, -1 behind its last
+    valid = np.zeros(len(place) + 1, np.int32)  # +1 at a text's first string, -1 behind its last
     full = np.nonzero(np.diff(bounds) >= LEAST)[0]
     valid[bounds[full]] += 1
     valid[bounds[full + 1] - LEAST + 1] -= 1
     ok = np.cumsum(valid)[:-1] > 0
-    new = np.empty(len(v), bool)
-    new[0] = True
-    new[1:] = (v[1:] != v[:-1]) | (ok[1:] != ok[:-1])
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])
     new[bounds[full]] = True
     start = np.nonzero(new)[0]
-    n = np.diff(np.append(start, len(v)))
-    most = LEAST - K + 1
-    if (n > most).any():  # periodic text: cut
-        start = np.concatenate([np.arange(s, s + m, most) for s, m in zip(start, n, strict=True)])
-        new[start] = True
-        start = np.nonzero(new)[0]
-        n = np.diff(np.append(start, len(v)))
+    n = np.diff(np.append(start, len(place)))
     live = ok[start]
     start, n = start[live], n[live]
-    # Content hash: a difference of prefix sums, shifted to the array's end.
+    gram = place[start]
+    # Content hash: a difference of prefix sums, brought to one shift whatever the array's length.
     powers = np.cumprod(np.concatenate([[_U(1)], np.full(len(data), _BASE)]), dtype=_U)
     prefix = np.concatenate([[_U(0)], np.cumsum(_LETTER[data] * powers[:-1], dtype=_U)])
     s = (prefix[start + n + LEAST - 1] - prefix[start]) * powers[len(data) - start]
-    # Bring all to the same shift whatever the array's length.
     s = _mix(s * _power(_U(pow(int(_BASE), -1, 1 << 64)), len(data)) + n.astype(_U))
-    return start, n, v[start], s
+    side = _grams(data, SIDE)
+    near = lambda at: (side[np.clip(at, 0, len(side) - 1)] >> _U(48)).astype(np.int64) | 1
+    left = np.where(gram - SIDE >= start, near(gram - SIDE), 0)
+    right = np.where(gram + K + SIDE <= start + n + LEAST - 1, near(gram + K), 0)
+    return start, n, h[gram], s, left, right
 
 
 def _reduced(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,16 +137,15 @@ def _reduced(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Entries of each chunk of documents by bucket; those to be removed whole at once go by bucket -1 - some number."""
 
-    def emit(ids: list[int], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def emit(ids: list[int], bases: list[int], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum([len(p) for p in parts])
-        start, n, key, s = stretches(data, ends)
-        doc = np.searchsorted(ends, start, side="right")
+        start, n, key, s, left, right = stretches(data, ends)
+        text = np.searchsorted(ends, start, side="right")
         e = np.zeros(len(start), _ENTRY)
         bucket = (key % _U(buckets)).astype(np.int64)
-        # The bucket stands in for the key's low part: sort by both, then by the rest.
-        e["h"], e["s"], e["doc"], e["n"] = (key >> _U(32)).astype(np.uint32), s, np.array(ids, np.int64)[doc], n
-        e["start"] = start - np.concatenate([[0], ends])[doc]
+        e["h"], e["s"], e["doc"], e["n"], e["left"], e["right"] = (key >> _U(32)).astype(np.uint32), s, np.array(ids, np.int64)[text], n, left, right
+        e["start"] = start - np.concatenate([[0], ends])[text] + np.array(bases, np.int64)[text]
         order = np.argsort(bucket, kind="stable")
         e, bucket = e[order], bucket[order]
         names, blobs, gone = [], [], []
@@ -147,23 +162,28 @@ def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     ids: list[int] = []
+    bases: list[int] = []
     parts: list[bytes] = []
     size = 0
     for b in batches:
         for doc_id, text in zip(b.column(0), b.column(1), strict=True):
             t = text.as_py()
             raw = t.encode("utf-8", "surrogatepass") if t else b""
-            if len(raw) < LEAST:
-                continue
             d = doc_id.as_py()
-            ids.append(NO_ID if d is None else d)
-            parts.append(raw)
-            size += len(raw)
-            if size >= CHUNK:
-                yield from emit(ids, parts)
-                ids, parts, size = [], [], 0
+            # A text beyond CHUNK goes in parts that overlap, so that each string lies whole in one.
+            for base in range(0, max(1, len(raw) - LEAST + 1), CHUNK):
+                part = raw[base : base + CHUNK + LEAST - 1]
+                if len(part) < LEAST:
+                    continue
+                ids.append(NO_ID if d is None else d)
+                bases.append(base)
+                parts.append(part)
+                size += len(part)
+                if size >= CHUNK:
+                    yield from emit(ids, bases, parts)
+                    ids, bases, parts, size = [], [], [], 0
     if parts:
-        yield from emit(ids, parts)
+        yield from emit(ids, bases, parts)
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +201,19 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, rest = _reduced(e)
         if len(rest):
             yield rows(rest, None)
-        # Open: keys with several stretches of several documents.
-        first = np.ones(len(keep), bool)
-        first[1:] = keep["h"][1:] != keep["h"][:-1]
-        at = np.nonzero(first)[0]
-        group = np.cumsum(first) - 1
-        differs = lambda f: np.minimum.reduceat(keep[f], at) != np.maximum.reduceat(keep[f], at)
-        open_ = (differs("s") & differs("doc"))[group] if len(keep) else np.zeros(0, bool)
+        # Open: stretches that agree with one of another document on a side of their key's gram.
+        open_ = np.zeros(len(keep), bool)
+        for name in ("left", "right"):
+            have = np.nonzero(keep[name])[0]
+            if not len(have):
+                continue
+            at_side = keep["h"][have].astype(np.int64) << 16 | keep[name][have].astype(np.int64)
+            order = have[np.argsort(at_side, kind="stable")]
+            at_side.sort()
+            first = np.nonzero(np.diff(at_side, prepend=-1))[0]
+            docs = keep["doc"][order]
+            shared = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+            open_[order] |= np.repeat(shared, np.diff(np.append(first, len(order))))
         if open_.any():
             left = keep[open_]
             yield rows(left, (bucket << 32) + left["h"].astype(np.int64))
@@ -298,16 +324,46 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block(docs, starts, strings)
 
 
+def _packed_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, open) with the open stretches of a document as one compact value."""
+    for b in batches:
+        out = []
+        for x in b.column(1):
+            v = x.values
+            e = np.zeros(len(v), _OPEN)
+            for name in ("start", "n", "key"):
+                e[name] = v.field(name).to_numpy(zero_copy_only=False)
+            out.append(e[np.argsort(e["start"], kind="stable")].tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc", "open"])
+
+
+def _packed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, spans) with the maximal byte runs to remove from a document as one compact value."""
+    for b in batches:
+        out = []
+        for x in b.column(1):
+            start = x.values.field("start").to_numpy(zero_copy_only=False)
+            end = start + x.values.field("n").to_numpy(zero_copy_only=False) + LEAST - 1
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            first = np.ones(len(start), bool)
+            first[1:] = start[1:] > end[:-1]  # touching runs are one
+            at = np.nonzero(first)[0]
+            e = np.zeros(len(at), _SPAN)
+            e["start"], e["end"] = start[at], end[np.append(at[1:], len(end)) - 1]
+            out.append(e.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc", "spans"])
+
+
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc, start, data) of each open stretch of (doc, text, open)."""
     for b in batches:
         for i in range(b.num_rows):
-            doc, text, open_ = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
-            raw = text.encode("utf-8", "surrogatepass")
-            open_.sort(key=lambda o: (o["start"], o["key"]))
+            doc, text, blob = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
+            raw, e = text.encode("utf-8", "surrogatepass"), np.frombuffer(blob, _OPEN)
             yield pa.RecordBatch.from_arrays([
-                pa.array([o["key"] for o in open_], pa.int64()), pa.array([doc] * len(open_), pa.int64()), pa.array([o["start"] for o in open_], pa.int64()),
-                pa.array([raw[o["start"] : o["start"] + o["n"] + LEAST - 1] for o in open_], pa.binary()),
+                pa.array(e["key"]), pa.array(np.full(len(e), doc, np.int64)), pa.array(e["start"].astype(np.int64)),
+                pa.array([raw[a : a + m + LEAST - 1] for a, m in zip(e["start"].tolist(), e["n"].tolist(), strict=True)], pa.binary()),
             ], names=["key", "doc", "start", "data"])
 
 
@@ -315,19 +371,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of (doc_id, text, spans)."""
     for b in batches:
         rows = []
-        for doc_id, text, spans in zip(b.column(0), b.column(1), b.column(2), strict=True):
+        for doc_id, text, blob in zip(b.column(0), b.column(1), b.column(2), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            kept, gone, at, n_spans, end = [], 0, 0, 0, -1
-            for s in sorted((x["start"], x["start"] + x["n"] + LEAST - 1) for x in spans.as_py() or ()):
-                if s[0] > end:  # touching runs are one
-                    n_spans += 1
-                    kept.append(raw[at : s[0]])
-                    end = s[0]
-                gone += max(0, s[1] - end)
-                at = end = max(end, s[1])
-            kept.append(raw[at:])
-            left = b"".join(kept)
-            rows.append((doc_id.as_py(), len(raw), gone, n_spans, hashlib.sha256(left).hexdigest(), left))
+            runs = np.frombuffer(blob.as_py() or b"", _SPAN).tolist()
+            edges = [0, *(x for run in runs for x in run), len(raw)]
+            left = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
+            rows.append((doc_id.as_py(), len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -347,13 +396,14 @@ def _binary_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
-    """``docs`` (doc, ...) with ``by_doc``, a written table of one row per document: broadcast if its files are small."""
+    """``docs`` (doc, ...) with ``by_doc``, a written table of one compact row per document: broadcast if its files are
+    small, else both sides are dealt by document."""
     size = int(by_doc._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return docs.join(F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc, "doc", how)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc, spans) of documents that lose bytes: runs of ``n`` strings from ``start``. doc is NO_ID for a null doc_id."""
+    """(doc, spans) of documents that lose bytes, with the runs packed. doc is NO_ID for a null doc_id."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     d = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -363,7 +413,8 @@ def spans(docs: DataFrame) -> DataFrame:
     found = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settled, "doc long, start long, n int, key long")
     found = cut(found)
     open_ = found.filter("key is not null")
-    by_doc = cut(open_.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "key")).alias("open")))
+    by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "key")).alias("open"))
+    by_doc = cut(by_doc.mapInArrow(_packed_open, "doc long, open binary"))
     texts = _meet(d, by_doc, "inner")
     fetched = texts.select("doc", "text", "open").mapInArrow(_fetched, "key long, doc long, start long, data binary")
     hot = cut(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), keep=1)
@@ -378,7 +429,8 @@ def spans(docs: DataFrame) -> DataFrame:
         fetched = fetched.join(hot, "key", "left_anti").select("key", "doc", "start", "data")
     compared = fetched.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compared, "doc long, start long, n int")
     gone = gone.unionByName(compared)
-    return cut(gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return cut(gone.mapInArrow(_packed_spans, "doc long, spans binary"))
 
 
 def dedup(docs: DataFrame, kept: bool = True) -> DataFrame:
