@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
 from permitflow.operators import merge, render, resolver, state
+from permitflow.operators.lineage import cut
 from permitflow.sources import sinks
 
 
@@ -70,7 +71,7 @@ def messages(placed: DataFrame, today: str) -> list[tuple[str, DataFrame]]:
 def run(found: DataFrame, log: DataFrame, look: Lookups, today: str, post: Callable[[str], tuple[int, dict]] | None, state_path: str, footer: str = "") -> int:
     """Delivers each message, then persists its records; a failure leaves what was not delivered unrecorded, so the next
     run reports it again. ``post`` None is a dry run. Returns the number of messages."""
-    placed = place(new_records(found, log), look).cache()
+    placed = cut(place(new_records(found, log), look))
     todo = messages(placed, today)
     if post is None:
         print(sinks.show_messages([t for t, _ in todo]))
@@ -83,7 +84,6 @@ def run(found: DataFrame, log: DataFrame, look: Lookups, today: str, post: Calla
         sinks.append_state(lines, state_path)
     if footer and todo:
         sinks.deliver(footer, post)
-    placed.unpersist()
     return len(todo)
 
 
