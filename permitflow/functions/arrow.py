@@ -59,3 +59,16 @@ def fix_bidi(s: pd.Series) -> pd.Series:
 def stable(c: Column) -> Column:
     """Whether text is ASCII or Hebrew letters and points, which composition leaves alone."""
     return c.rlike(r"^[\x00-\x7F֑-״]*$")
+
+
+def direction_runs(text: str) -> str:
+    """Run lengths of writing directions, e.g. ``R*4 N*3``: R right-to-left, L left-to-right, N number, S space, O other."""
+    from itertools import groupby
+
+    name = {"R": "R", "AL": "R", "L": "L", "EN": "N", "AN": "N", "WS": "S", "B": "S", "S": "S"}
+    return " ".join(f"{k}*{len(list(g))}" for k, g in groupby(name.get(unicodedata.bidirectional(c), "O") for c in text))
+
+
+@F.pandas_udf(StringType())
+def bidi_runs(s: pd.Series) -> pd.Series:
+    return s.map(direction_runs, na_action="ignore")
