@@ -17,14 +17,15 @@ steps, each exact:
    expansion stops at LEAST; suffixes still together share LEAST bytes, and the smallest document among them owns them.
 3. A key of more than HOT stretches is not put in one block: its strings are compared one by one by aggregation.
 
-Defined edge cases: a null text is empty; a null doc_id counts as larger than any; documents of equal doc_id never
-remove each other's bytes; texts below LEAST bytes stay; an empty table gives an empty result; other columns are ignored.
+Defined edge cases: a null text is empty; a null doc_id counts as larger than any; rows of equal doc_id never remove each
+other's bytes, and are told apart by a checksum of their text, so that each gets its own result; texts below LEAST bytes stay; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ _random = np.random.Generator(np.random.PCG64(20_240_229))
 _LETTER = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)  # a random odd number per byte
 _BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 
-_ENTRY = np.dtype([("h", "<u4"), ("s", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("left", "<u2"), ("right", "<u2")])
+_ENTRY = np.dtype([("h", "<u4"), ("s", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "u1"), ("left", "<u2"), ("right", "<u2")])
 _OPEN = np.dtype([("start", "<u4"), ("n", "u1"), ("key", "<i8")])
 _SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 #: Low bits of a gram's hash that give way to its position while the smallest is sought; a chunk holds fewer positions.
@@ -126,7 +127,7 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _reduced(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(entries of each stretch's smallest document, entries of all others). Sorted by key, stretch, document, start."""
-    e = e[np.lexsort((e["start"], e["doc"], e["s"], e["h"]))]
+    e = e[np.lexsort((e["start"], e["tag"], e["doc"], e["s"], e["h"]))]
     first = np.ones(len(e), bool)
     first[1:] = (e["h"][1:] != e["h"][:-1]) | (e["s"][1:] != e["s"][:-1])
     low = e["doc"][np.nonzero(first)[0]][np.cumsum(first) - 1]
@@ -137,7 +138,7 @@ def _reduced(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Entries of each chunk of documents by bucket; those to be removed whole at once go by bucket -1 - some number."""
 
-    def emit(ids: list[int], bases: list[int], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def emit(ids: list[int], tags: list[int], bases: list[int], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum([len(p) for p in parts])
         start, n, key, s, left, right = stretches(data, ends)
@@ -145,6 +146,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         e = np.zeros(len(start), _ENTRY)
         bucket = (key % _U(buckets)).astype(np.int64)
         e["h"], e["s"], e["doc"], e["n"], e["left"], e["right"] = (key >> _U(32)).astype(np.uint32), s, np.array(ids, np.int64)[text], n, left, right
+        e["tag"] = np.array(tags, np.uint32)[text]
         e["start"] = start - np.concatenate([[0], ends])[text] + np.array(bases, np.int64)[text]
         order = np.argsort(bucket, kind="stable")
         e, bucket = e[order], bucket[order]
@@ -162,6 +164,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     ids: list[int] = []
+    tags: list[int] = []
     bases: list[int] = []
     parts: list[bytes] = []
     size = 0
@@ -169,29 +172,30 @@ def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         for doc_id, text in zip(b.column(0), b.column(1), strict=True):
             t = text.as_py()
             raw = t.encode("utf-8", "surrogatepass") if t else b""
-            d = doc_id.as_py()
+            d, tag = doc_id.as_py(), zlib.crc32(raw)
             # A text beyond CHUNK goes in parts that overlap, so that each string lies whole in one.
             for base in range(0, max(1, len(raw) - LEAST + 1), CHUNK):
                 part = raw[base : base + CHUNK + LEAST - 1]
                 if len(part) < LEAST:
                     continue
                 ids.append(NO_ID if d is None else d)
+                tags.append(tag)
                 bases.append(base)
                 parts.append(part)
                 size += len(part)
                 if size >= CHUNK:
-                    yield from emit(ids, bases, parts)
-                    ids, bases, parts, size = [], [], [], 0
+                    yield from emit(ids, tags, bases, parts)
+                    ids, tags, bases, parts, size = [], [], [], [], 0
     if parts:
-        yield from emit(ids, bases, parts)
+        yield from emit(ids, tags, bases, parts)
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, start, n, key) of a partition sorted by bucket: key null for what is removed whole, else still open."""
+    """Rows (doc, tag, start, n, key) of a partition sorted by bucket: key null for what is removed whole, else still open."""
 
     def rows(e: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
         k = pa.nulls(len(e), pa.int64()) if key is None else pa.array(key)
-        return pa.RecordBatch.from_arrays([pa.array(e["doc"]), pa.array(e["start"].astype(np.int64)), pa.array(e["n"].astype(np.int32)), k], names=["doc", "start", "n", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(e["doc"]), pa.array(e["tag"].astype(np.int64)), pa.array(e["start"].astype(np.int64)), pa.array(e["n"].astype(np.int32)), k], names=["doc", "tag", "start", "n", "key"])
 
     def settle(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         e = np.frombuffer(b"".join(blobs), _ENTRY)
@@ -292,56 +296,53 @@ def owners(strings: list[bytes], docs: np.ndarray, least: int = LEAST) -> tuple[
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, start, n) to remove, of a partition of (key, doc, start, data) sorted by key."""
+    """Rows (doc, tag, start, n) to remove, of a partition of (key, doc, tag, start, data) sorted by key."""
 
-    def block(docs: list[int], starts: list[int], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
-        own = np.array(docs, np.int64)
-        low, offsets = owners(strings, own)
-        sizes = np.diff(offsets)
-        hit = low < np.repeat(own, sizes)
+    def block(places: list[tuple[int, int, int]], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
+        at = np.array(places, np.int64)
+        low, offsets = owners(strings, at[:, 0])
+        hit = low < np.repeat(at[:, 0], np.diff(offsets))
         # Runs of strings to remove, each within one stretch; ends and tails have no string of full length.
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
         a, b = np.nonzero(edge > 0)[0], np.nonzero(edge < 0)[0]
         which = np.searchsorted(offsets, a, side="right") - 1
-        start = np.array(starts, np.int64)[which] + a - offsets[which]
-        yield pa.RecordBatch.from_arrays([pa.array(own[which]), pa.array(start), pa.array((b - a).astype(np.int32))], names=["doc", "start", "n"])
+        doc, tag, start = at[which].T
+        yield pa.RecordBatch.from_arrays([pa.array(doc.copy()), pa.array(tag.copy()), pa.array(start + a - offsets[which]), pa.array((b - a).astype(np.int32))], names=["doc", "tag", "start", "n"])
 
-    docs: list[int] = []
-    starts: list[int] = []
+    places: list[tuple[int, int, int]] = []
     strings: list[bytes] = []
     size, last = 0, None
     for b in batches:
-        for key, doc, start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+        for key, doc, tag, start, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if key != last and size >= BLOCK:
-                yield from block(docs, starts, strings)
-                docs, starts, strings, size = [], [], [], 0
+                yield from block(places, strings)
+                places, strings, size = [], [], 0
             last = key
-            docs.append(doc)
-            starts.append(start)
-            strings.append(data.as_py())
-            size += len(strings[-1]) + 1
-    if docs:
-        yield from block(docs, starts, strings)
+            places.append((doc, tag, start))
+            strings.append(data)
+            size += len(data) + 1
+    if places:
+        yield from block(places, strings)
 
 
 def _packed_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, open) with the open stretches of a document as one compact value."""
+    """(doc, tag, open) with the open stretches of a document as one compact value."""
     for b in batches:
         out = []
-        for x in b.column(1):
+        for x in b.column(2):
             v = x.values
             e = np.zeros(len(v), _OPEN)
             for name in ("start", "n", "key"):
                 e[name] = v.field(name).to_numpy(zero_copy_only=False)
             out.append(e[np.argsort(e["start"], kind="stable")].tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc", "open"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc", "tag", "open"])
 
 
 def _packed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, spans) with the maximal byte runs to remove from a document as one compact value."""
+    """(doc, tag, spans) with the maximal byte runs to remove from a document as one compact value."""
     for b in batches:
         out = []
-        for x in b.column(1):
+        for x in b.column(2):
             start = x.values.field("start").to_numpy(zero_copy_only=False)
             end = start + x.values.field("n").to_numpy(zero_copy_only=False) + LEAST - 1
             order = np.argsort(start, kind="stable")
@@ -352,19 +353,19 @@ def _packed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             e = np.zeros(len(at), _SPAN)
             e["start"], e["end"] = start[at], end[np.append(at[1:], len(end)) - 1]
             out.append(e.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc", "tag", "spans"])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, start, data) of each open stretch of (doc, text, open)."""
+    """(key, doc, tag, start, data) of each open stretch of (doc, tag, text, open)."""
     for b in batches:
         for i in range(b.num_rows):
-            doc, text, blob = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
+            doc, tag, text, blob = (b.column(k)[i].as_py() for k in range(4))
             raw, e = text.encode("utf-8", "surrogatepass"), np.frombuffer(blob, _OPEN)
             yield pa.RecordBatch.from_arrays([
-                pa.array(e["key"]), pa.array(np.full(len(e), doc, np.int64)), pa.array(e["start"].astype(np.int64)),
+                pa.array(e["key"]), pa.array(np.full(len(e), doc, np.int64)), pa.array(np.full(len(e), tag, np.int64)), pa.array(e["start"].astype(np.int64)),
                 pa.array([raw[a : a + m + LEAST - 1] for a, m in zip(e["start"].tolist(), e["n"].tolist(), strict=True)], pa.binary()),
-            ], names=["key", "doc", "start", "data"])
+            ], names=["key", "doc", "tag", "start", "data"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,60 +384,61 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _binary_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, start, string) of each single string of hot keys' stretches."""
+    """(doc, tag, start, string) of each single string of hot keys' stretches."""
     for b in batches:
-        docs, starts, strings = [], [], []
-        for doc, start, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            raw = data.as_py()
-            for i in range(len(raw) - LEAST + 1):
-                docs.append(doc)
-                starts.append(start + i)
-                strings.append(raw[i : i + LEAST])
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(strings, pa.binary())], names=["doc", "start", "string"])
+        rows = [(doc, tag, start + i, raw[i : i + LEAST]) for doc, tag, start, raw in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True) for i in range(len(raw) - LEAST + 1)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)], names=["doc", "tag", "start", "string"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc, tag, doc_id, text): the id that orders, NO_ID for null, and the text's checksum."""
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+    )
 
 
 def _meet(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
-    """``docs`` (doc, ...) with ``by_doc``, a written table of one compact row per document: broadcast if its files are
-    small, else both sides are dealt by document."""
+    """``docs`` (doc, tag, ...) with ``by_doc``, a written table of one compact row per document: broadcast if its files
+    are small, else both sides are dealt by document."""
     size = int(by_doc._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return docs.join(F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc, "doc", how)
+    return docs.join(F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc, ["doc", "tag"], how)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc, spans) of documents that lose bytes, with the runs packed. doc is NO_ID for a null doc_id."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    d = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
+    """(doc, tag, spans) of documents that lose bytes, with the runs packed."""
+    d = _rows(docs)
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, total // BUCKET_BYTES)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (64 * BUCKET_BYTES)))
-    entries = d.mapInArrow(lambda it: _bucketed(it, buckets), "bucket long, blob binary")
-    found = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settled, "doc long, start long, n int, key long")
+    entries = d.select("doc", "text").mapInArrow(lambda it: _bucketed(it, buckets), "bucket long, blob binary")
+    found = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settled, "doc long, tag long, start long, n int, key long")
     found = cut(found)
     open_ = found.filter("key is not null")
-    by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "key")).alias("open"))
-    by_doc = cut(by_doc.mapInArrow(_packed_open, "doc long, open binary"))
+    by_doc = open_.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "key")).alias("open"))
+    by_doc = cut(by_doc.mapInArrow(_packed_open, "doc long, tag long, open binary"))
     texts = _meet(d, by_doc, "inner")
-    fetched = texts.select("doc", "text", "open").mapInArrow(_fetched, "key long, doc long, start long, data binary")
+    fetched = texts.select("doc", "tag", "text", "open").mapInArrow(_fetched, "key long, doc long, tag long, start long, data binary")
     hot = cut(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), keep=1)
-    gone = found.filter("key is null").select("doc", "start", "n")
+    gone = found.filter("key is null").select("doc", "tag", "start", "n")
     if not hot.isEmpty():
         fetched = cut(fetched)
-        single = fetched.join(hot, "key", "left_semi").select("key", "doc", "start", "data").mapInArrow(_binary_runs, "doc long, start long, string binary")
+        cols = ["key", "doc", "tag", "start", "data"]
+        single = fetched.join(hot, "key", "left_semi").select(*cols).mapInArrow(_binary_runs, "doc long, tag long, start long, string binary")
         single = cut(single)
         first = single.groupBy("string").agg(F.min("doc").alias("low"))
-        late = single.join(first, "string").filter("low < doc").select("doc", "start", F.lit(1).alias("n"))
+        late = single.join(first, "string").filter("low < doc").select("doc", "tag", "start", F.lit(1).alias("n"))
         gone = gone.unionByName(late)
-        fetched = fetched.join(hot, "key", "left_anti").select("key", "doc", "start", "data")
-    compared = fetched.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compared, "doc long, start long, n int")
+        fetched = fetched.join(hot, "key", "left_anti").select(*cols)
+    compared = fetched.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compared, "doc long, tag long, start long, n int")
     gone = gone.unionByName(compared)
-    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return cut(gone.mapInArrow(_packed_spans, "doc long, spans binary"))
+    gone = gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return cut(gone.mapInArrow(_packed_spans, "doc long, tag long, spans binary"))
 
 
 def dedup(docs: DataFrame, kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes, per row."""
-    s = spans(docs)
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run: Callable = _removed
-    out = _meet(d, s, "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    d = _meet(_rows(docs), spans(docs), "left")
+    out = d.select("doc_id", "text", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if kept else out.drop("kept")

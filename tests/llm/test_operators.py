@@ -210,6 +210,15 @@ def test_suffix_dedup(docs, rows, odd, none):
     assert suffix_dedup.dedup(odd).count() == 6 and suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_repeated_ids(spark):
+    """Rows of one id, or of none, keep their own results."""
+    rnd = random.Random(4)
+    a, b, c = ("".join(rnd.choice("abcdefgh ") for _ in range(120)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, "x" + b + c), (None, c + a), (None, c), (None, c)]
+    got = sorted((r.doc_id or 99, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 120, 0), (1, 120, 0), (1, 120, 0), (2, 241, 120), (99, 120, 120), (99, 120, 120), (99, 240, 240)]
+
+
 @pytest.mark.parametrize(("name", "value"), [("HOT", 1), ("BROADCAST_BYTES", 0), ("CHUNK", 100)])
 def test_suffix_dedup_other_ways(docs, rows, monkeypatch, name, value):
     monkeypatch.setattr(suffix_dedup, name, value)
