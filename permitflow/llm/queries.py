@@ -40,7 +40,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
+    store = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}").temporary()
     changes = token_rollup.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), "byte_bpe_50k")
     store.commit("documents", changes)
     store.commit("documents", changes)  # a replay: skipped

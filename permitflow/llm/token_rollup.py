@@ -82,6 +82,12 @@ class TokenRollup:
             return False
         return bool(done)
 
+    def temporary(self) -> TokenRollup:
+        """Marks the store to be removed when the JVM ends."""
+        self._fs.mkdirs(self._dir(self.path))
+        self._fs.deleteOnExit(self._dir(self.path))
+        return self
+
     def delete(self) -> None:
         """Removes the store."""
         self._fs.delete(self._dir(self.path), True)
