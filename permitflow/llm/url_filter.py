@@ -60,11 +60,12 @@ def form(path: Column) -> Column:
 def templates(forms: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(host, form, template) for every row of ``forms`` (host, form, n, labelled, bad), one row per host and form."""
     t = forms.select("host", "form", "n", "labelled", "bad", F.split("form", "/", depth + 2).alias("seg"), F.lit("").alias("tpl"))
-    for d in range(1, depth + 1):
+    # No more rounds than the deepest path has segments: one number.
+    deepest = t.agg(F.max(F.size("seg"))).first()[0] or 1
+    for d in range(1, min(depth, deepest - 1) + 1):
         # Child counts, then node counts: each combined map-side and joined back, never a window over one host.
         t = cut(t.withColumn("s", F.get("seg", F.lit(d))))
         child = t.filter("s is not null").groupBy("host", "tpl", "s").agg(*(F.sum(c).alias(f"c_{c}") for c in ("n", "labelled", "bad")))
-        child = cut(child)
         node = child.groupBy("host", "tpl").agg(F.count(F.lit(1)).alias("width"), *(F.sum(f"c_{c}").alias(f"p_{c}") for c in ("n", "labelled", "bad")))
         share = F.try_divide(F.col("p_bad"), F.col("p_labelled"))
         spread = F.sqrt(F.col("c_labelled") * share * (1 - share))
