@@ -57,3 +57,14 @@ def drop(df: DataFrame) -> None:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. An all-ASCII text takes the JVM's fast path; others are translated letter by letter."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+#: Bytes of a written table up to which it may be broadcast. Compressed columns grow some five times in memory.
+BROADCAST_BYTES = 8 << 20
+
+
+def sized(written: DataFrame) -> DataFrame:
+    """A table that :func:`cut` returned, marked for broadcast if its files are within BROADCAST_BYTES. Beyond that it is
+    left to a shuffled join, which Spark can split by skew."""
+    size = int(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(written) if size <= BROADCAST_BYTES else written

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitflow.llm.common import cut
+from permitflow.llm.common import cut, sized
 
 MIN_SITES = 10
 LG_K = 12
@@ -65,7 +65,7 @@ def mark(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
     """Each row as struct ``row``, with ``lines`` (null for a null text), and ``left``: positions that stay, or null for all."""
-    m = mark(docs, min_sites).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_h"), F.col("gone").alias("_gone"))
+    m = sized(mark(docs, min_sites)).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_h"), F.col("gone").alias("_gone"))
     d = docs.select(F.struct(*docs.columns).alias("row"))
     j = d.join(m, F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("row.text") == F.col("_h")), "left")
     j = j.select("row", "_gone", _lines(F.col("row.text")).alias("lines"))

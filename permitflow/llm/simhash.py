@@ -7,8 +7,8 @@ dimensions, so some v is orthogonal to all of them, and in that table the pair a
 the radius is missed, whatever the data.
 
 A bucket of many fingerprints is never compared pair by pair: its members go on to the 7 finer tables that apply the
-same code to the bits which the bucket's mask leaves open. After three levels at most 5 bits are open, so a bucket holds
-at most 32 fingerprints. Equal fingerprints are one node, however many documents share it.
+same code to the bits which the bucket's mask leaves open. After three levels at most 6 bits are open, so a bucket holds
+at most 64 fingerprints. Equal fingerprints are one node, however many documents share it.
 
 Defined edge cases: a null text counts as empty and has fingerprint zero; rows with a null ``doc_id`` take part and get
 the smallest id of their component (null if there is none); repeated rows get one result each; an empty table gives an
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permitflow.llm.common import cut, drop
+from permitflow.llm.common import cut, drop, sized
 
 RADIUS = 2
 SHINGLE = 3
@@ -178,4 +178,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without a ``doc_id`` stay only if their component has no id at all. Rows that repeat a doc_id stay together.
     """
     best = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    best = sized(cut(best))
     return docs.join(best, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
