@@ -1,9 +1,9 @@
 """URL filter: rules first, then a path-template tree per host, in DataFrame functions only.
 
 Paths are cut into segments. Runs of digits and long hexadecimal names become wildcards by their form. The rest of the
-tree is learned from the data, depth by depth: among the children of one node (host and template so far), rare children
-of a wide node, and children whose share of bad labels does not differ significantly from their siblings', merge into
-one wildcard branch; a child that does differ keeps its name. A template is rejected if its smoothed share of bad
+tree is learned from the data, depth by depth: among the children of one node (host and template so far), children whose
+share of bad labels does not differ significantly from their siblings' merge into one wildcard branch, as do rare
+children of a wide node with under FEW labelled pages, too few to be tested; a child that does differ keeps its name. A template is rejected if its smoothed share of bad
 labels, (bad + WEIGHT * prior) / (labelled + WEIGHT) with the corpus's share as prior, reaches REJECT.
 
 The tree works on counts per (host, path form), not on pages, so a hot host is combined map-side before any shuffle.
@@ -26,6 +26,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DEPTH = 4
 WIDE = 20
 RARE = 0.05
+FEW = 10
 Z = 2.0
 WEIGHT = 10.0
 REJECT = 0.5
@@ -70,7 +71,7 @@ def templates(forms: DataFrame, depth: int = DEPTH) -> DataFrame:
         share = F.try_divide(F.col("p_bad"), F.col("p_labelled"))
         spread = F.sqrt(F.col("c_labelled") * share * (1 - share))
         differs = F.coalesce(F.abs(F.col("c_bad") - F.col("c_labelled") * share) > Z * spread, F.lit(False)) & (spread > 0)
-        rare = (F.col("width") > WIDE) & (F.col("c_n") < RARE * F.col("p_n"))
+        rare = (F.col("width") > WIDE) & (F.col("c_n") < RARE * F.col("p_n")) & (F.col("c_labelled") < FEW)
         named = child.join(node, ["host", "tpl"]).select("host", "tpl", "s", F.when(differs & ~rare, F.col("s")).otherwise("*").alias("as"))
         t = t.join(named, ["host", "tpl", "s"], "left")
         t = t.select("host", "form", "n", "labelled", "bad", "seg", F.when(F.col("as").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.lit("/"), "as")).alias("tpl"))
