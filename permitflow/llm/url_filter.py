@@ -23,7 +23,6 @@ from permitflow.llm.common import LOWER, UPPER, cut
 #: (verdict, host, start of the path), a configuration list. The longest rule that fits wins.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-DEPTH = 4
 WIDE = 20
 RARE = 0.05
 FEW = 10
@@ -58,25 +57,31 @@ def form(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(?<=/)[0-9a-fA-F-]{16,}(?=/|$)", "*"), r"[0-9]+", "#")
 
 
-def templates(forms: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(forms: DataFrame) -> DataFrame:
     """(host, form, template) for every row of ``forms`` (host, form, n, labelled, bad), one row per host and form."""
-    t = forms.select("host", "form", "n", "labelled", "bad", F.split("form", "/", depth + 2).alias("seg"), F.lit("").alias("tpl"))
-    # No more rounds than the deepest path has segments: one number.
-    deepest = t.agg(F.max(F.size("seg"))).first()[0] or 1
-    for d in range(1, min(depth, deepest - 1) + 1):
+    t = forms.select("host", "form", "n", "labelled", "bad", F.split("form", "/").alias("seg"), F.lit("").alias("tpl"), F.lit(False).alias("shut"))
+    d = 0
+    while True:
+        d += 1
+        t = cut(t.withColumn("s", F.when(~F.col("shut"), F.get("seg", F.lit(d)))))
+        if t.filter("s is not null").isEmpty():
+            break
         # Child counts, then node counts: each combined map-side and joined back, never a window over one host.
-        t = cut(t.withColumn("s", F.get("seg", F.lit(d))))
         child = t.filter("s is not null").groupBy("host", "tpl", "s").agg(*(F.sum(c).alias(f"c_{c}") for c in ("n", "labelled", "bad")))
         node = child.groupBy("host", "tpl").agg(F.count(F.lit(1)).alias("width"), *(F.sum(f"c_{c}").alias(f"p_{c}") for c in ("n", "labelled", "bad")))
         share = F.try_divide(F.col("p_bad"), F.col("p_labelled"))
         spread = F.sqrt(F.col("c_labelled") * share * (1 - share))
         differs = F.coalesce(F.abs(F.col("c_bad") - F.col("c_labelled") * share) > Z * spread, F.lit(False)) & (spread > 0)
         rare = (F.col("width") > WIDE) & (F.col("c_n") < RARE * F.col("p_n")) & (F.col("c_labelled") < FEW)
-        named = child.join(node, ["host", "tpl"]).select("host", "tpl", "s", F.when(differs & ~rare, F.col("s")).otherwise("*").alias("as"))
-        t = t.join(named, ["host", "tpl", "s"], "left")
-        t = t.select("host", "form", "n", "labelled", "bad", "seg", F.when(F.col("as").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.lit("/"), "as")).alias("tpl"))
-    # What lies deeper than the tree is one open tail.
-    return cut(t.select("host", "form", "n", "labelled", "bad", F.when(F.size("seg") > depth + 1, F.concat("tpl", F.lit("/**"))).otherwise(F.col("tpl")).alias("template")))
+        # A branch without labelled children has nothing left to tell apart: what lies deeper is one open tail.
+        step = F.when(F.col("p_labelled") == 0, "**").when(differs & ~rare, F.col("s")).otherwise("*")
+        named = child.join(node, ["host", "tpl"]).select("host", "tpl", "s", step.alias("as"), (F.col("p_labelled") == 0).alias("end"))
+        t = t.join(named, ["host", "tpl", "s"], "left").select(
+            "host", "form", "n", "labelled", "bad", "seg",
+            F.when(F.col("as").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.lit("/"), "as")).alias("tpl"),
+            (F.col("shut") | F.col("as").isNull() | F.col("end")).alias("shut"),
+        )
+    return t.select("host", "form", "n", "labelled", "bad", F.col("tpl").alias("template"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -16,3 +16,10 @@ def test_bad_section_of_a_wide_host_is_blocked(spark):
     urls = [f"https://hot.test/{a}{b}/{c}-page" for a in names for b in "abcde" for c in "pqrstuvwxyzhijkl"]
     got = verdicts(spark, urls, lambda u: "/easta/" in u)
     assert {u for u, v in got.items() if v == "block"} == {u for u in urls if "/easta/" in u}
+
+
+def test_branches_that_part_at_the_fifth_segment(spark):
+    urls = [f"https://deep.test/2024/{m}/{d}/world/{kind}/story-{x}" for m in (1, 2) for d in (3, 4) for kind in ("spam", "news") for x in "abcdefghijklmnop"]
+    urls += [u.replace("/story-", "/a/b/c/story-") for u in urls]
+    got = verdicts(spark, urls, lambda u: "/spam/" in u)
+    assert all((v == "block") == ("/spam/" in u) for u, v in got.items())
