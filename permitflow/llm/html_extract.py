@@ -1,14 +1,18 @@
 """Main-text extraction by two passes of block rules.
 
-The page is cut into blocks at block-level tags, outside of the containers that never hold main text (by element, or by
-the words of class, id and role). Pass one decides blocks by link density, length and stop-word density; a block of
-clear prose is text, a block of links is not, and short or untypical blocks stay open. Pass two gives each open block
-the label of its nearest decided neighbour. The bounds of an ``article`` or ``main`` element act as decided neighbours:
-text within, boilerplate outside, so untypical paragraphs of an article stay.
+The page is cut into blocks at block-level tags, outside of containers that hold no main text. Pass one decides each
+block by link density, length and stop-word density: clear prose is text, lists of links and long blocks without
+function words are boilerplate, and short blocks stay open. Pass two gives each open block the label of its nearest
+decided neighbour.
+
+Containers are known by their element, or by whole names in class, id and role (``cookie-notice``, not ``no-sidebar``).
+An ``article`` or ``main`` element is trusted if it holds at least as much decided prose as the rest of the page: then
+its bounds are decided neighbours, and what lies outside is boilerplate. A container around the only article of a page
+is no container, and if the named containers leave no prose at all they are read after all.
 
 Defined edge cases: null or empty html gives an empty text; unclosed, stray and cut-off tags are tolerated; pages of any
 length are read whole; repeated rows give one result each; an empty table gives an empty result; only page_id, url and
-html are read.
+html are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +41,8 @@ BLOCK = frozenset(
     """address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5
     h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
+# Elements whose end tag may be left out before another of their kind.
+REPEATED = frozenset("p li option tr td th dt dd".split())
 # Words of class, id and role that name a container which holds no main text.
 HINTS = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
@@ -43,53 +50,92 @@ HINTS = frozenset(
     footer header masthead comment comments discussion disqus reply replies respond share sharing social related recommended newsletter
     subscribe subscription signup login toolbar copyright disclaimer complementary contentinfo search""".split()
 )
+# Words that turn a name into a statement about the page or a state (``no-sidebar``, ``comments-open``); and
+# words for the article's own parts, whose headers are its own and whose sidebars are a layout (``content-sidebar``).
+DENIALS = frozenset("no not non without with has have is hide hidden show open closed enabled disabled layout".split())
+OWN = frozenset("article entry post content".split())
+OWN_PARTS = frozenset("header sidebar side banner masthead".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*+)(?:>|\Z)""", re.S
+)
+ATTR = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 SHORT = 70
 LINKS_MOST = 0.5
 STOPS_LEAST = 0.2
 
 
-def _hinted(attrs: str) -> bool:
+@dataclass
+class Block:
+    """A run of text, the characters of it in links, and where it stands."""
+
+    text: str
+    links: int
+    article: bool
+    within: tuple[int, ...]  # containers around it
+    heading: bool
+
+
+@dataclass
+class Container:
+    """An element that may hold no main text: ``named`` by an attribute, else by its kind; ``article``: one is inside."""
+
+    named: bool
+    article: bool = False
+    around: tuple[int, ...] = field(default=())
+
+
+def _names(attrs: str) -> list[str]:
+    """Whole names in class, id and role; a role has a prefix of its own so that ``role=main`` can be told."""
+    out = []
     for m in ATTR.finditer(attrs):
-        value = next(x for x in m.groups() if x is not None) if any(x is not None for x in m.groups()) else ""
-        if HINTS.intersection(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-            return True
-    return False
+        value = m[2] or m[3] or m[4] or ""
+        out += [("role:" if m[1].lower() == "role" else "") + v for v in value.split()]
+    return out
+
 
+def hinted(name: str) -> bool:
+    """Whether a name says that its container holds no main text: by its last word (``post-comments``) or its first
+    (``sidebar-left``), unless another word denies it."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name.removeprefix("role:")).lower()) if w]
+    hints = [w for w in words[:1] + words[-1:] if w in HINTS]
+    return bool(hints) and not DENIALS.intersection(words) and not (OWN.intersection(words) and OWN_PARTS.issuperset(hints))
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, within an article) of each block, outside of excluded containers."""
-    out: list[tuple[str, int, bool]] = []
+
+def parse(page: str) -> tuple[list[Block], list[Container]]:
+    """Blocks of a page, and the containers that they stand in."""
+    out: list[Block] = []
+    boxes: list[Container] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, excludes, is the article
-    excluded = article = links = 0
-    in_link = 0
+    stack: list[tuple[str, int, bool]] = []  # name, container number or -1, is an article
+    around: tuple[int, ...] = ()
+    article = links = in_link = 0
 
     def close() -> None:
         nonlocal links
         if text:
             t = " ".join("".join(text).split())
             if t:
-                out.append((t, min(links, len(t)), article > 0))
+                heading = any(name in ("h1", "h2", "h3", "h4", "h5", "h6") for name, *_ in stack[-3:])
+                out.append(Block(t, min(links, len(t)), article > 0, around, heading))
             text.clear()
         links = 0
 
     def add(raw: str) -> None:
         nonlocal links
-        if raw and not excluded:
+        if raw:
             t = _html.unescape(raw) if "&" in raw else raw
             text.append(t)
             if in_link:
                 links += len(" ".join(t.split()))
 
     def pop(to: int) -> None:
-        nonlocal excluded, article, in_link
+        nonlocal around, article, in_link
         while len(stack) > to:
-            name, out_, art = stack.pop()
-            excluded -= out_
+            name, box, art = stack.pop()
+            if box >= 0:
+                around = around[:-1]
             article -= art
             in_link -= name == "a"
 
@@ -107,89 +153,124 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                 add(m[0][9:].removesuffix("]]>"))
             continue
         is_block = name in BLOCK
+        if is_block:
+            close()
         if m[1]:
-            if is_block and not excluded:
-                close()
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if k >= 0:
                 pop(k)
             continue
-        if is_block and not excluded:
-            close()
-        if name == "br" and not excluded:
+        if name == "br":
             text.append(" ")
         if name in VOID or m[3].endswith("/") and not is_block and name != "a":
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
-            pop(len(stack) - 1)  # an end tag left out
-        out_ = name in OUTSIDE or name not in ("html", "body", "article", "main") and _hinted(m[3])
-        art = name in ("article", "main") or "main" in m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3]) is not None
-        stack.append((name, out_, art))
-        excluded += out_
+        if name in REPEATED and stack and stack[-1][0] == name:
+            pop(len(stack) - 1)
+        names = _names(m[3])
+        art = name in ("article", "main") or "role:main" in names
+        # An article's own header holds its title.
+        by_kind = name in OUTSIDE and not (name == "header" and article)
+        # Page-wide names describe the page; an article is left out only by a plain name of its own.
+        by_name = name not in ("html", "body", "main") and any(x in HINTS if art else hinted(x) for x in names)
+        box = -1
+        if by_kind or by_name:
+            box = len(boxes)
+            boxes.append(Container(not by_kind, around=around))
+            around = (*around, box)
+        if art and not by_name:
+            for b in around:
+                boxes[b].article = True
+        stack.append((name, box, art))
         article += art
         in_link += name == "a"
     close()
-    return out
+    return out, boxes
+
+
+def readable(found: list[Block], boxes: list[Container]) -> list[Block]:
+    """The blocks outside of containers."""
+    free = [b for b in found if not b.within]
+    if any(b.article or _mark(b) > 0 for b in free) or not any(b.article for b in found):
+        return free
+    # Neither an article nor prose is left: those around an article are no containers.
+    return [b for b in found if all(boxes[w].article for w in b.within)]
 
 
-def decide(found: list[tuple[str, int, bool]]) -> list[bool]:
+def _mark(b: Block) -> int:
+    """Pass one: 1 text, -1 boilerplate, 0 open."""
+    if b.links > LINKS_MOST * len(b.text):
+        return -1
+    if len(b.text) < SHORT:
+        return -1 if "©" in b.text else 0
+    words = WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return 1 if stops >= STOPS_LEAST else -1 if stops < STOPS_LEAST / 4 else 0
+
+
+def decide(found: list[Block]) -> list[bool]:
     """Which blocks are main text."""
-    has_article = any(a for *_, a in found)
-    marks: list[int] = []  # 1 text, -1 boilerplate, 0 open
-    for t, links, inside in found:
-        words = WORD.findall(t.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if links > LINKS_MOST * len(t):
-            marks.append(-1)
-        elif has_article and not inside:
-            marks.append(-1)
-        elif len(t) >= SHORT and stops >= STOPS_LEAST:
-            marks.append(1)
-        elif len(t) >= SHORT and not inside and stops < STOPS_LEAST / 2:
-            marks.append(-1)
-        else:
-            marks.append(0)
-    keep: list[bool] = []
+    marks = [_mark(b) for b in found]
+    if 1 not in marks:
+        # Not one of the languages served: length and links alone decide.
+        marks = [1 if len(b.text) >= SHORT and b.links <= LINKS_MOST * len(b.text) else m for b, m in zip(found, marks, strict=True)]
+    prose = [0, 0]
+    for b, m in zip(found, marks, strict=True):
+        prose[b.article] += len(b.text) if m > 0 else 0
+    trusted = any(b.article for b in found) and prose[True] >= prose[False]
+    if trusted:
+        # Within a trusted article only links are sure boilerplate; outside of it everything is.
+        marks = [-1 if not b.article or m < 0 and b.links > LINKS_MOST * len(b.text) else max(m, 0) for b, m in zip(found, marks, strict=True)]
+
+    def nearest(order: range) -> list[tuple[int, int]]:
+        """(label, place) of the nearest decided block before each in ``order``; links in an article label nothing."""
+        out: list[tuple[int, int]] = [(0, 0)] * len(found)
+        last, before = (0, 0), None
+        for i in order:
+            b = found[i]
+            if trusted and (before is None or before.article != b.article):
+                last = (1 if b.article else -1, i - order.step)  # the article's bound
+            out[i] = last
+            if marks[i] > 0 or marks[i] < 0 and not (trusted and b.article):
+                last = (marks[i], i)
+            before = b
+        return out
+
     n = len(found)
-    left: tuple[int, int] = (1 if has_article else 0, 0)
-    lefts = []
-    for i in range(n):
-        inside = found[i][2]
-        if i == 0 or inside != found[i - 1][2]:
-            left = (1 if inside else -1 if has_article else 0, i - 1)  # the article's bound
-        lefts.append(left)
-        if marks[i] and not (inside and marks[i] < 0):
-            left = (marks[i], i)
-    right: tuple[int, int] = (0, n)
-    rights: list[tuple[int, int]] = [(0, 0)] * n
-    for i in range(n - 1, -1, -1):
-        inside = found[i][2]
-        if i == n - 1 or inside != found[i + 1][2]:
-            right = (1 if inside else -1 if has_article else 0, i + 1)
-        rights[i] = right
-        if marks[i] and not (inside and marks[i] < 0):
-            right = (marks[i], i)
-    for i in range(n):
-        if marks[i]:
-            keep.append(marks[i] > 0)
-            continue
-        (a, at_a), (b, at_b) = lefts[i], rights[i]
-        if a and b and a != b:
-            # At equal distance it stays: a heading before text, or a last short paragraph.
-            keep.append(i - at_a == at_b - i or (a if i - at_a < at_b - i else b) > 0)
-        else:
-            keep.append((a or b or 1) > 0)
+    lefts, rights = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    keep: list[bool] = []
+    for i, mark in enumerate(marks):
+        if not mark:
+            (a, at_a), (b, at_b) = lefts[i], rights[i]
+            if found[i].heading and b:
+                mark = b  # a heading goes with what follows
+            elif a and b and a != b:
+                # At equal distance it stays: a last short paragraph, or a caption before text.
+                mark = 1 if i - at_a == at_b - i else a if i - at_a < at_b - i else b
+            else:
+                mark = a or b or 1
+        keep.append(mark > 0)
     return keep
 
 
+def main_blocks(page: str) -> list[str]:
+    """The texts of main blocks in page order."""
+    found, boxes = parse(page)
+    free = readable(found, boxes)
+    keep = decide(free)
+    if not any(keep):
+        # Nothing but boilerplate outside: the names of containers may have been misread, their kinds were not.
+        free = [b for b in found if not any(not boxes[w].named for w in b.within)]
+        keep = decide(free)
+    return [b.text for b, k in zip(free, keep, strict=True) if k]
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks in page order, joined by an empty line."""
-    found = blocks(page or "")
-    return "\n\n".join(t for (t, *_), k in zip(found, decide(found), strict=True) if k)
+    return "\n\n".join(main_blocks(page or ""))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
