@@ -5,8 +5,8 @@ task packs its pieces by best-fit decreasing in runs of at most CHUNK. Bins with
 the rest go on, each as one item, to a coarser partitioning, where they are packed by best fit again, until one
 partition has seen the last of them or a round brings nothing. Only (bin, fill) rows move between rounds.
 
-Token ids are those of the ``tokenizers`` file given. They are made by a byte-pair encoder over the same vocabulary,
-with a cache of word encodings; tests hold both against each other.
+Token ids are those of the ``tokenizers`` library for the file given, with its defaults: the name of an added token in a
+text is that token. Words are looked up in a cache of what the library gave for them.
 
 Defined edge cases: a null text counts as empty and gives the end id alone; a null doc_id is kept; repeated rows are
 packed each by itself; a text of any length is encoded whole; an empty table gives no pieces; extra columns are ignored.
@@ -14,9 +14,11 @@ packed each by itself; a text of any length is encoded whole; an empty table giv
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from struct import pack as struct_pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,23 @@ CAPACITY = 1024
 END = 2
 CHUNK = 50_000
 SLACK = 8
-CACHE = 400_000
+#: Words that a worker keeps the ids of, and the longest one kept.
+CACHE, LONGEST = 400_000, 100
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
+#: White space other than blanks and line feeds, by any library's tables; texts with it are never taken apart.
+_ODD_SPACE = frozenset(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n") | frozenset("\u180e\u200b\ufeff")
+#: What a text of blanks and line feeds falls into so that no token crosses a bound: a word with the blank before it, and
+#: a run of white space up to the last one, which belongs to the next word or stands alone.
+_UNITS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
+#: Below this character, letters and digits are the same by every version of Unicode's tables.
+_STABLE = "\u0250"
+
+
 def _byte_letters() -> dict[str, int]:
     """The byte of each letter in which byte-level vocabularies are written: printable bytes stand for themselves, the
     rest follow in order from U+0100."""
@@ -44,46 +56,65 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
+def _ranked(made: dict) -> Callable[[str], list[int]] | None:
+    """A quicker encoder of the same byte-pair vocabulary, which merges by id; None if its merges are in another order."""
+    import public_tokenizers
+    import tiktoken
+
+    model, of = made["model"], _byte_letters()
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", [])]
+    if None in merged or any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        return None
+    added = {t["content"] for t in made.get("added_tokens", [])}
+    ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian unsigned 32-bit integers. One per worker process and path."""
+    """text -> its ids by ``tokenizers`` as little-endian unsigned 32-bit integers. One per worker process and path.
+
+    A vocabulary of the byte-level kind, which splits at white space, is applied to each distinct word once, in the
+    quicker encoder where both are sure to agree; texts that name an added token or hold unusual white space, and
+    vocabularies of other kinds, are encoded whole by the library.
+    """
     if path in _encoders:
         return _encoders[path]
     import json
 
-    import public_tokenizers
-    import tiktoken
+    from tokenizers import Tokenizer
 
+    tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    of = _byte_letters()
-    ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if all(c in of for c in token) and not token.startswith("<|")}
-    core = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    plain = core.encode_ordinary
+        made = json.load(f)
+    split = made.get("pre_tokenizer") or {}
+    by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and made.get("normalizer") is None and made["model"].get("type") == "BPE"
+    quick = _ranked(made) if by_word else None
+    names = [t["content"] for t in made.get("added_tokens", [])]
     cache: dict[str, bytes] = {}
 
     def packed(text: str) -> bytes:
-        return np.array(plain(text), "<u4").tobytes()
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of_unit(unit: str) -> bytes:
+        if quick is None or not unit.isascii() and max(unit) >= _STABLE:
+            return packed(unit)
+        ids = quick(unit)
+        return struct_pack(f"<{len(ids)}I", *ids)
 
     def encode(text: str) -> bytes:
-        # No token crosses from a non-space into white space, so a text whose white space is single blanks and line
-        # feeds between words can be encoded word by word, a blank going with the word after it.
         if not text:
             return b""
-        words = text.replace("\n", " \n ").split(" ")
-        if "" in words or len(text.split()) + text.count("\n") != len(words):
+        if not by_word or not _ODD_SPACE.isdisjoint(text) or any(n in text for n in names):
             return packed(text)
         out = []
-        blank = False
-        for w in words:
-            if w == "\n":
-                key, blank = w, False
-            else:
-                key, blank = (" " + w if blank else w), True
-            got = cache.get(key)
+        for unit in _UNITS.findall(text):
+            got = cache.get(unit)
             if got is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                got = cache[key] = packed(key)
+                got = of_unit(unit)
+                if len(unit) <= LONGEST:
+                    cache[unit] = got
             out.append(got)
         return b"".join(out)
 
