@@ -1,64 +1,226 @@
-"""Command line: the daily run over captured files.
+"""Command line.
 
-python -m permitflow --today 2026-01-31 --pdf pages.json --api rows.json --streets streets.csv --blocks blocks.csv
-  --landmarks landmarks.csv --state state/ [--migrate ids.txt] [--dry-run]
+python -m permitflow run --today 2026-01-31 [--pdf pages.json] [--api rows.json | --api-url URL --city N] --streets streets.csv
+    --blocks blocks.csv --landmarks landmarks.csv [--aliases aliases.csv] --state state/ [--old-ids ids.txt]
+    [--unmatched unmatched/] [--footer-table URL] [--dry-run]
+python -m permitflow migrate --state state/ --old-ids ids.txt
+python -m permitflow stats --today 2026-01-31 [--pdf ...] [--api ...] --streets ... --blocks ... --landmarks ... --out dataset/
+python -m permitflow api-report --api rows.json --year 2026
+python -m permitflow street-index --points points.csv --areas areas.geojson --out index/ [--lines lines.geojson] [--legacy old.csv]
+    [--aliases aliases.csv] [--report report.txt]
+python -m permitflow block-index --parcels parcels.geojson --areas areas.geojson --out index/ [--report report.txt]
 """
 
 from __future__ import annotations
 
 import argparse
+import logging
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
-from permitflow.operators import state
-from permitflow.plans import daily
-from permitflow.sources import permits, sinks, tables
+from permitflow.operators import index, render, reports, spatial, state
+from permitflow.operators.lineage import cut
+from permitflow.plans import daily, lookup_build, stats
+from permitflow.sources import api, permits, sinks, tables
 
+log = logging.getLogger("permitflow")
 
-def _poster(settings: tables.Settings):  # noqa: ANN202
-    import json
 
-    from permitflow.sources.api import http_post
+def _poster(settings: tables.Settings, chat: str) -> daily.Post:
+    import json
 
     url = f"https://api.telegram.org/bot{settings.token}/sendMessage"
 
     def post(text: str) -> tuple[int, dict]:
-        return 200, json.loads(http_post(url, {"chat_id": settings.chat, "text": text, "parse_mode": "HTML", "disable_web_page_preview": True}))
+        return 200, json.loads(api.http_post(url, {"chat_id": chat, "text": text, "parse_mode": "HTML", "disable_web_page_preview": True}))
 
     return post
 
 
-def main(argv: list[str] | None = None) -> int:
-    a = argparse.ArgumentParser(description=__doc__)
-    for name in ("today", "streets", "blocks", "landmarks", "state"):
-        a.add_argument(f"--{name}", required=True)
-    for name in ("pdf", "api", "migrate"):
-        a.add_argument(f"--{name}")
-    a.add_argument("--dry-run", action="store_true")
-    o = a.parse_args(argv)
+def _notifier(settings: tables.Settings) -> Callable[[str], object]:
+    """Tells the operator; never in the public channel, so without a chat of the operator's own it only logs."""
+    if not settings.token or settings.operator_chat in ("", settings.chat):
+        return lambda text: log.error("no chat of the operator's own; not told: %s", text)
+    post = _poster(settings, settings.operator_chat)
+    return lambda text: sinks.notify_operator(text, post)
+
+
+def _exists(spark: SparkSession, path: str | None) -> bool:
+    if not path:
+        return False
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def _sources(spark: SparkSession, o: argparse.Namespace) -> dict[str, Callable[[], DataFrame]]:
+    """Readers of the sources that were named; the others are skipped. Nothing is read yet."""
+    out: dict[str, Callable[[], DataFrame]] = {}
+    if o.pdf:
+        out[state.PDF] = lambda: permits.decode_pages(permits.read_pages(spark, o.pdf))
+    if o.api:
+        out[state.API] = lambda: permits.decode_api(permits.read_api(spark, o.api))
+    elif getattr(o, "api_url", None):
+        out[state.API] = lambda: permits.decode_api(permits.fetch_api(spark, o.api_url, o.city))
+    return out
+
+
+def _lookups(spark: SparkSession, o: argparse.Namespace) -> daily.Lookups:
+    aliases = tables.read_aliases(spark, o.aliases) if o.aliases else None
+    return daily.Lookups(tables.read_streets(spark, o.streets, aliases), tables.read_landmarks(spark, o.landmarks, aliases), tables.read_blocks(spark, o.blocks, aliases))
+
+
+def _state(spark: SparkSession, path: str) -> DataFrame:
+    if not _exists(spark, path):
+        return spark.createDataFrame([], tables.STATE + ", line_no struct<run:bigint>")
+    lines, bad = tables.read_state(spark, path)
+    if bad:
+        log.warning("%d state lines could not be read", bad)
+    return lines
+
+
+def run(spark: SparkSession, o: argparse.Namespace) -> int:
     settings = tables.load_settings(require=not o.dry_run)
-    spark = SparkSession.builder.appName("permitflow").getOrCreate()
+    notify = (lambda _: None) if o.dry_run else _notifier(settings)
+    if not _exists(spark, o.state) and _exists(spark, o.old_ids):
+        # An empty log beside the predecessor's ids would make everything ever sent look new.
+        why = f"{o.state} does not exist but {o.old_ids} does; migrate first"
+        notify(why)
+        if not o.dry_run:
+            log.error(why)
+            return 1
+        log.warning("%s; the dry run goes on, with everything looking new", why)
+    lines = _state(spark, o.state)
+    got = daily.collect(_sources(spark, o), o.today)
+    footer = render.FOOTER.format(table=o.footer_table) if o.footer_table else ""
     try:
-        log, bad = tables.read_state(spark, o.state)
-    except Exception as e:  # the first run has no log yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        log, bad = spark.createDataFrame([], tables.STATE + ", line_no int"), 0
-    if bad:
-        print(f"{bad} state lines could not be read")
-    if o.migrate:
-        sinks.append_state(state.migrate(tables.read_ids(spark, o.migrate), state.fold(log)), o.state)
-        return 0
-    pdf = permits.decode_pages(permits.read_pages(spark, o.pdf)) if o.pdf else None
-    api = permits.decode_api(permits.read_api(spark, o.api)) if o.api else None
-    marks = tables.read_csv(spark, o.landmarks, "pattern string, neighborhood string, display_name string").withColumn("pattern", T.clean_text("pattern")).filter("pattern <> ''")
-    look = daily.Lookups(tables.read_streets(spark, o.streets), marks, tables.read_blocks(spark, o.blocks))
-    found = daily.open_requests(pdf, api, o.today)
-    n = daily.run(found, log, look, o.today, None if o.dry_run else _poster(settings), o.state)
+        n = daily.run(got, lines, _lookups(spark, o), o.today, None if o.dry_run else _poster(settings, settings.chat), o.state, footer, settings.report_pending, notify, o.unmatched)
+    except (sinks.NotDelivered, RuntimeError) as e:
+        log.error("%s", e)
+        return 1
     print(f"{n} message(s)")
     return 0
 
 
+def migrate(spark: SparkSession, o: argparse.Namespace) -> int:
+    lines = _state(spark, o.state)
+    new = cut(state.migrate(tables.read_ids(spark, o.old_ids), state.fold(lines)))
+    if not new.isEmpty():
+        sinks.append_state(new, o.state, tables.next_run(lines))
+    print(f"{new.count()} record(s) added")
+    return 0
+
+
+def make_stats(spark: SparkSession, o: argparse.Namespace) -> int:
+    read = _sources(spark, o)
+    if not read:
+        raise SystemExit("no source was named")
+    rows = {name: f() for name, f in read.items()}
+    sinks.write_dataset(cut(stats.dataset(rows.get(state.PDF), rows.get(state.API), _lookups(spark, o))), o.out, o.today)
+    return 0
+
+
+def api_report(spark: SparkSession, o: argparse.Namespace) -> int:
+    rows = cut(permits.read_api(spark, o.api))
+    issued = rows.filter("licenseId is not null")
+    year = issued.filter(F.col("approvedDate").startswith(str(o.year)))
+    if year.isEmpty():
+        raise SystemExit(f"no licences approved in {o.year}")
+    measures = ["unproot", "copying", "conservation"]
+    by_year = reports.period_rollup(issued.filter("approvedDate <> ''"), F.substring("approvedDate", 1, 4), ["unproot"]).select("period", "unproot").orderBy("period")
+    sections = [
+        (f"approved licences of {o.year}", reports.period_rollup(year, F.substring("approvedDate", 1, 4), measures, "licenseId"), 1),
+        ("felling by month", reports.period_rollup(year, F.substring("approvedDate", 6, 2), ["unproot"]).select("period", "unproot").orderBy("period"), 12),
+        ("top species felled", reports.top_sums(year.withColumn("name", F.coalesce(F.nullif("treeName", F.lit("")), F.lit("unknown"))).filter("unproot > 0"), "name", "unproot", 15), 15),
+        ("by status", reports.statuses(year, "licenseStatusDesc"), 100),
+        ("felling by year", by_year, 100),
+        ("pending: rows, requests, trees", reports.pending_summary(rows, "licenseId", "requestId", "unproot"), 1),
+    ]
+    print(sinks.qa_report(sections))
+    return 0
+
+
+def _areas(spark: SparkSession, path: str, name: str) -> DataFrame:
+    a = tables.layer(tables.read_geojson(spark, path, f"`{name}`:string"))
+    return a.filter("kind in ('Polygon', 'MultiPolygon')").select(T.clean_text(name).alias("neighborhood"), "rings")
+
+
+def street_index(spark: SparkSession, o: argparse.Namespace) -> int:
+    areas = _areas(spark, o.areas, o.area_field)
+    head = spark.read.csv(o.points, header=True).columns
+    pick = lambda guesses: tables.guess_column(head, guesses)
+    raw = tables.read_csv(spark, o.points, ", ".join(f"`{c}` string" for c in head), None)
+    p = tables.points(raw, pick(["x", "X", "lon"]), pick(["y", "Y", "lat"]))
+    p = p.select(F.col("ord").alias("id"), "x", "y", F.col(pick(["street", "street_name"])).alias("street"), F.col(pick(["house", "house_no"])).alias("house"))
+    lines = legacy = aliases = None
+    if o.lines:
+        g = tables.layer(tables.read_geojson(spark, o.lines, "street:string"))
+        lines = g.filter("kind in ('LineString', 'MultiLineString')").select("street", F.explode("rings").alias("points"))
+    if o.legacy:
+        legacy = tables.read_csv(spark, o.legacy, "street string, neighborhood string", None)
+    if o.aliases:
+        aliases = tables.read_aliases(spark, o.aliases)
+    rows = cut(lookup_build.street_index(p, areas, lines, legacy, aliases, o.cell))
+    sinks.write_index(rows.drop("ord"), o.out, ["street_key", "priority", "house_from"])
+    if o.report:
+        count = lambda x: x.agg(F.count(F.lit(1)).alias("n"))
+        text = sinks.qa_report([
+            ("rows", count(rows), 1), ("street keys", count(rows.select("street_key").distinct()), 1), ("areas", count(rows.select("neighborhood").distinct()), 1), ("by method", reports.statuses(rows, "method"), 100),
+            ("streets in more than one area", reports.crossing(rows).orderBy("street_key"), 400), ("centrelines, weakest first", reports.weakest(rows.filter("priority = 3").select("street_key", "neighborhood", "support"), "support", 0.6, 200, "street_key"), 200),
+            *([("in the old table only", index.missing_tier(legacy.select(T.normalize_street("street").alias("street_key")).filter("street_key <> ''").distinct(), rows).orderBy("street_key"), 200)] if legacy is not None else []),
+        ])
+        with open(o.report, "w", encoding="utf-8") as f:
+            f.write(text)
+    return 0
+
+
+def block_index(spark: SparkSession, o: argparse.Namespace) -> int:
+    areas = _areas(spark, o.areas, o.area_field)
+    g = tables.layer(tables.read_geojson(spark, o.parcels, "block:string,parcel:string"))
+    parcels = cut(g.select("block", "parcel", "rings").withColumn("id", F.xxhash64("block", "parcel", "rings")))
+    shared = spatial.overlay(parcels.select("id", "rings"), areas, "id", "neighborhood", o.cell)
+    rows = cut(index.block_index(shared.join(parcels.select("id", "block", "parcel").distinct(), "id")))
+    sinks.write_index(rows, o.out, ["block", "priority", "parcel"])
+    if o.report:
+        weak = reports.weakest(rows.filter("priority = 2").select("block", "neighborhood", "support"), "support", 0.8, 200, "block")
+        with open(o.report, "w", encoding="utf-8") as f:
+            f.write(sinks.qa_report([("rows", rows.agg(F.count(F.lit(1))), 1), ("blocks in more than one area", reports.crossing(rows.filter("priority = 1"), "block").orderBy("block"), 400), ("blocks, weakest first", weak, 200)]))
+    return 0
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    sub = top.add_subparsers(dest="what", required=True)
+
+    def command(name: str, do: Callable, needed: str, optional: str = "") -> argparse.ArgumentParser:
+        c = sub.add_parser(name)
+        for x in needed.split():
+            c.add_argument(f"--{x}", required=True)
+        for x in optional.split():
+            c.add_argument(f"--{x}")
+        c.set_defaults(do=do)
+        return c
+
+    r = command("run", run, "today streets blocks landmarks state", "pdf api api-url aliases old-ids unmatched footer-table")
+    r.add_argument("--city", type=int, default=0)
+    r.add_argument("--dry-run", action="store_true")
+    command("migrate", migrate, "state old-ids")
+    command("stats", make_stats, "today streets blocks landmarks out", "pdf api aliases")
+    command("api-report", api_report, "api").add_argument("--year", type=int, required=True)
+    for name, do, needed, optional in (("street-index", street_index, "points areas out", "lines legacy aliases report"), ("block-index", block_index, "parcels areas out", "report")):
+        c = command(name, do, needed, optional)
+        c.add_argument("--area-field", default="name")
+        c.add_argument("--cell", type=float, default=500.0)
+    return top
+
+
+def main(argv: list[str] | None = None) -> int:
+    o = parser().parse_args(argv)
+    spark = SparkSession.builder.appName("permitflow").getOrCreate()
+    return o.do(spark, o)
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -58,7 +58,14 @@ def fix_bidi(s: pd.Series) -> pd.Series:
 
 def stable(c: Column) -> Column:
     """Whether text is ASCII or Hebrew letters and points, which composition leaves alone."""
-    return c.rlike(r"^[\x00-\x7F֑-״]*$")
+    return F.coalesce(c.rlike(r"^[\x00-\x7F֑-״]*$"), F.lit(True))
+
+
+def compose(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the named text columns in compatibility composition (NFKC). Only values that it could change go through
+    Python; the others pass as nulls."""
+    made = {c: F.when(stable(F.col(c)), F.col(c)).otherwise(nfkc(F.when(~stable(F.col(c)), F.col(c)))) for c in columns}
+    return df.withColumns(made)
 
 
 def direction_runs(text: str) -> str:

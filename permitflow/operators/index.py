@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
+from permitflow.operators.lineage import cut
 
-HOPS = 16
 
+def canonical(aliases: DataFrame) -> DataFrame:
+    """(alias, canonical): chains followed to their end, or to the last name before a cycle closes, however long.
 
-def canonical(aliases: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(alias, canonical): chains followed to their end, or to the last name before a cycle closes or ``hops`` run out.
-
-    ``aliases`` has one row per alias. Each step is an equi-join of the open ends with the table.
+    ``aliases`` has one row per alias. A step is an equi-join of the ends that moved last with the table; rows at their
+    end leave, and the steps stop when none moves.
     """
+    aliases = cut(aliases.select("alias", "canonical"))
     step = aliases.select(F.col("alias").alias("s_alias"), F.col("canonical").alias("s_to"))
     at = aliases.select("alias", F.col("canonical").alias("to"), F.array("alias").alias("seen"))
-    for _ in range(hops):
+    done: DataFrame | None = None
+    while True:
         j = at.join(step, F.col("to") == F.col("s_alias"), "left")
-        move = F.col("s_alias").isNotNull() & ~F.array_contains("seen", F.col("to"))
-        at = j.select("alias", F.when(move, F.col("s_to")).otherwise(F.col("to")).alias("to"), F.when(move, F.array_append("seen", F.col("to"))).otherwise(F.col("seen")).alias("seen"))
-    return at.select("alias", F.col("to").alias("canonical"))
+        moves = F.col("s_alias").isNotNull() & ~F.array_contains("seen", F.col("to"))
+        at = cut(j.select("alias", F.when(moves, F.col("s_to")).otherwise(F.col("to")).alias("to"), F.array_append("seen", F.col("to")).alias("seen"), moves.alias("moves")))
+        ended = at.filter("not moves").select("alias", F.col("to").alias("canonical"))
+        done = ended if done is None else done.unionByName(ended)
+        at = at.filter("moves").drop("moves")
+        if at.isEmpty():
+            return done
 
 
 def rename_areas(rows: DataFrame, aliases: DataFrame, column: str = "neighborhood") -> DataFrame:
@@ -80,3 +86,13 @@ def block_index(overlay: DataFrame) -> DataFrame:
     p = share_majority(o.filter("parcel <> ''"), ["block", "parcel"], "neighborhood", "area").withColumns({"priority": F.lit(1), "method": F.lit("parcel_area")})
     b = share_majority(o, ["block"], "neighborhood", "area").withColumns({"parcel": F.lit(""), "priority": F.lit(2), "method": F.lit("block_area_majority")})
     return p.unionByName(b)
+
+
+def common_keys(left: DataFrame, right: DataFrame, key: str = "street_key") -> DataFrame:
+    """Keys that both tables have."""
+    return left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi")
+
+
+def best_overlap(overlay: DataFrame, left: str, right: str, size: str = "area") -> DataFrame:
+    """(left, right, size) of the largest overlap of each left shape; ties: the smaller right key."""
+    return overlay.groupBy(left).agg(F.min_by(F.struct(right, size), F.struct((-F.col(size)).alias("s"), F.col(right).alias("r"))).alias("b")).select(left, f"b.{right}", f"b.{size}")

@@ -18,3 +18,8 @@ def cut(df: DataFrame) -> DataFrame:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Size of the files of a table that :func:`cut` returned."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

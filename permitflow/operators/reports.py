@@ -9,9 +9,11 @@ FUNNEL = ["pages", "raw_rows", "requests", "passed", "fresh"]
 
 
 def digest(rows: DataFrame, group: Column, order: str, item: str) -> DataFrame:
-    """(area, n, items): items of each group in input order, groups by descending count, then name."""
-    g = rows.groupBy(group.alias("area")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(order, item))).alias("i"))
-    return g.select("area", "n", F.transform("i", lambda x: x[item]).alias("items")).orderBy(F.desc("n"), "area")
+    """(area, n, order, item): groups by descending count, then name, items in input order under each. Ordered rows, not a
+    list per group: a group may be of any size, and the sort is by ranges of all three."""
+    r = rows.select(group.alias("area"), order, item)
+    n = r.groupBy("area").agg(F.count(F.lit(1)).alias("n"))
+    return r.join(n.withColumnRenamed("area", "n_area"), F.col("area").eqNullSafe(F.col("n_area"))).select("area", "n", order, item).orderBy(F.desc("n"), "area", order)
 
 
 def funnel(counters: DataFrame, stages: list[str] = FUNNEL) -> DataFrame:
@@ -69,6 +71,52 @@ def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
     return rows.select(i.alias("bin")).filter((F.col("bin") > 0) & (F.col("bin") < len(edges))).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def longest(rows: DataFrame, key: str, size: str, order: str) -> DataFrame:
+    """The one row (key, size) of the largest size; ties go to the smallest ``order``."""
+    return rows.agg(F.max_by(F.struct(key, size), F.struct(size, (-F.col(order)).alias("o"))).alias("b")).select("b.*")
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median) with the exact median. Equal values are counted map-side first; running counts over the distinct
+    values of a key then find the middle, in order and without holding a group."""
+    from pyspark.sql import Window
+
+    c = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
+    c = c.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    n = c.groupBy(F.col(key).alias("n_key")).agg(F.sum("c").alias("n"))
+    j = c.join(n, F.col(key).eqNullSafe(F.col("n_key")))
+    # The places of the lower and upper middle, from 1; both lie in one row or in two.
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)
+    return j.groupBy(key, "n").agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("median"))
+
+
+def top_medians(rows: DataFrame, key: str, value: str, most: int = 25) -> DataFrame:
+    """The ``most`` largest groups with their medians, ties by name."""
+    return medians(rows, key, value).orderBy(F.desc("n"), key).limit(most)
+
+
+def statuses(rows: DataFrame, status: str) -> DataFrame:
+    """(status, n): rows by status, null as empty, the most frequent first."""
+    return rows.groupBy(F.coalesce(status, F.lit("")).alias("status")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "status")
+
+
+def pending_summary(rows: DataFrame, licence: str, request: str, trees: str) -> DataFrame:
+    """(n_rows, n_requests, n_trees) of rows without a licence."""
+    p = rows.filter(F.col(licence).isNull() | (F.col(licence).cast("string") == ""))
+    return p.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(request).alias("n_requests"), F.coalesce(F.sum(trees), F.lit(0)).alias("n_trees"))
+
+
+def weakest(rows: DataFrame, support: str, least: float, most: int, *order: str) -> DataFrame:
+    """At most ``most`` rows whose support is below ``least``, weakest first: a section of the quality report."""
+    return rows.filter(F.col(support) < least).orderBy(support, *order).limit(most)
+
+
+def crossing(rows: DataFrame, key: str = "street_key", area: str = "neighborhood") -> DataFrame:
+    """(key, n_areas) of index keys in more than one area."""
+    return rows.groupBy(key).agg(F.count_distinct(area).alias("n_areas")).filter("n_areas > 1")
+
+
 def bounding_box(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
-from permitflow.functions.arrow import ratio
+from permitflow.functions.arrow import compose, ratio
 from permitflow.operators import index, merge, ranges, render, reports, resolver, spatial, state
+from permitflow.operators.lineage import cut
 
 AS_OF = "1998-06-01"
 KEYWORDS = ["the", "und", "que", "les"]
@@ -169,10 +170,10 @@ def backdated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.filter(merge.back_dated(published, seen)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff(seen, published).alias("days"))
 
 
-@query("""select n_name as area, count(*) as n, md5(string_agg(c_name, ',' order by c_custkey, c_name)) as items from customer join nation on c_nationkey = n_nationkey group by 1""")
+@query("""select n_name as area, (count(*) over (partition by n_name)) as n, c_custkey, c_name from customer join nation on c_nationkey = n_nationkey""")
 def digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return reports.digest(j, F.col("n_name"), "c_custkey", "c_name").withColumn("items", F.md5(F.array_join("items", ",")))
+    return reports.digest(j, F.col("n_name"), "c_custkey", "c_name")
 
 
 _FUNNEL = """select l_returnflag as source, l_returnflag = 'N' as failed, count(distinct l_suppkey) as pages, count(*) as raw_rows, count(distinct l_orderkey) as requests,
@@ -289,21 +290,19 @@ union all select rid, area, round(case when support >= 0.8 then 0.8 else support
 def block_parcel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = li.selectExpr("cast(l_partkey % 40 as string) as block", "cast(l_suppkey % 25 as string) as parcel", "n_name as neighborhood", "named_struct('a', l_orderkey, 'b', l_linenumber, 'c', l_suppkey, 'd', l_partkey) as ord")
-    parcels = rows.groupBy("block", "parcel").agg(F.max_by("neighborhood", "ord").alias("neighborhood"))
+    parcels = cut(rows.groupBy("block", "parcel").agg(F.max_by("neighborhood", "ord").alias("neighborhood")))
     whole = ranges.modal(parcels, ["block"], "neighborhood").select("block", F.lit("").alias("parcel"), "neighborhood", F.lit(2).alias("priority"), F.col("share").alias("support"), F.lit(0).alias("ord"))
     blocks = parcels.select("block", "parcel", "neighborhood", F.lit(1).alias("priority"), F.lit(1.0).alias("support"), F.lit(0).alias("ord")).unionByName(whole)
     q = _t(spark, sf_dir, "orders").selectExpr("o_orderkey as rid", "concat(o_orderkey % 50, ',', o_custkey % 40) as block", "cast(o_custkey % 27 as string) as parcel")
     return resolver.block(q, blocks).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("""with n as (select distinct p_name as a from part), q as (select distinct a, replace(a, 'e', '') as q from n)
-select q, a as name, levenshtein(q, a)::int as d from (select q.q, n.a, rank() over (partition by q.q order by levenshtein(q.q, n.a), n.a) as r from q, n) where r = 1""")
-def nearest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _t(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    q = n.select(F.replace("a", F.lit("e"), F.lit("")).alias("q")).distinct()
-    # Distinct names only: a dictionary, whose size does not follow the records'.
-    d = q.join(F.broadcast(n)).withColumn("d", F.levenshtein("q", "a"))
-    return d.groupBy("q").agg(F.min_by(F.struct("a", "d"), F.struct("d", "a")).alias("b")).select("q", F.col("b.a").alias("name"), F.col("b.d").alias("d"))
+@query("""with n as (select distinct p_name as name from part), q as (select distinct replace(name, 'e', '') as q from n)
+select q, name, levenshtein(q, name)::int as d from q join n on abs(length(q) - length(name)) <= 2 and levenshtein(q, name) <= 2""")
+def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    q = n.select(F.replace("name", F.lit("e"), F.lit("")).alias("q")).distinct()
+    return resolver.near_names(q, "q", n, "name", 2).select("q", "name", "d")
 
 
 @query()
@@ -355,7 +354,7 @@ def street_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""select doc_id, md5(trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) as text_md5, try_cast(nullif(regexp_extract(coalesce(text, ''), '([0-9]+)', 1), '') as integer) as number from documents""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text("text")).alias("text_md5"), T.house_number("text").alias("number"))
+    return compose(_t(spark, sf_dir, "documents"), "text").select("doc_id", F.md5(T.clean_text("text")).alias("text_md5"), T.house_number("text").alias("number"))
 
 
 @query("""select strftime(o_orderdate, '%Y-%m') as period, count(distinct l_orderkey) as n_licences, count(*) as n_rows, sum(l_quantity::bigint)::bigint as felled from lineitem join orders on l_orderkey = o_orderkey group by 1
@@ -402,9 +401,14 @@ def distance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.histogram(_t(spark, sf_dir, "customer"), "c_acctbal", EDGES)
 
 
-@query("""select c_mktsegment, count(*) as n, round(median(c_acctbal), 4) as median, min(c_acctbal) as min_x, max(c_acctbal) as max_x from customer group by 1""")
+@query("""select c_mktsegment, count(*) as n, round(median(c_acctbal), 4) as median from customer group by 1""")
 def segment_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("c_acctbal"), 4).alias("median"), F.min("c_acctbal").alias("min_x"), F.max("c_acctbal").alias("max_x"))
+    return reports.medians(_t(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal").withColumn("median", F.round("median", 4))
+
+
+@query("""select c_nationkey, count(*) as n, round(median(c_acctbal), 4) as median from customer group by 1 order by 2 desc, 1 limit 10""")
+def top_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.top_medians(_t(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", 10).withColumn("median", F.round("median", 4))
 
 
 @query("select min(s_acctbal) as min_x, min(s_nationkey) as min_y, max(s_acctbal) as max_x, max(s_nationkey) as max_y from supplier")
@@ -429,9 +433,27 @@ def coverage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.missing_tier(p.select("p_name").distinct(), s, "p_name")
 
 
-@query()
+# Pieces are [joiner, text]; '-' begins a chunk, '+' begins one that is full. A fold over them fills chunks greedily.
+_SPLIT_SQL = r"""with d as (select doc_id, text from documents where text is not null and text <> ''),
+para as (select doc_id, generate_subscripts(ps, 1) as p, unnest(ps) as para from (select doc_id, string_split(text, chr(10) || chr(10)) as ps from d where length(text) > 4096)),
+line as (select doc_id, p, generate_subscripts(ls, 1) as l, unnest(ls) as line from (select doc_id, p, string_split(para, chr(10)) as ls from para where length(para) > 4096)),
+piece as (select doc_id, p, 0 as l, 0 as c, [chr(10) || chr(10), para] as x from para where length(para) <= 4096
+  union all select doc_id, p, l, 0, [case when l > 1 then chr(10) else '-' end, line] from line where length(line) <= 4096
+  union all select doc_id, p, l, c, [case when (c + 1) * 4096 < length(line) then '+' else '-' end, substring(line, c * 4096 + 1, 4096)] from (select *, unnest(generate_series(0, (length(line) - 1) // 4096)) as c from line where length(line) > 4096)),
+fold as (select doc_id, list_reduce(list_prepend(['='], list(list_concat(['='], x) order by p, l, c)), lambda acc, y: case
+    when y[2] not in ('-', '+') and len(acc) = 1 then list_append(acc, '=' || y[3])
+    when y[2] not in ('-', '+') and acc[-1] = '=' then list_append(acc[:-2], '=' || y[3])
+    when y[2] not in ('-', '+') and length(acc[-1]) - 1 + length(y[2]) + length(y[3]) <= 4096 then list_append(acc[:-2], acc[-1] || y[2] || y[3])
+    else list_append(acc, case when y[2] = '+' then '+' else '=' end || y[3]) end) as acc from piece group by doc_id),
+out as (select doc_id, i, chunk from (select doc_id, generate_subscripts(acc, 1) as i, unnest(acc) as chunk from fold) where i > 1 and (chunk[1] = '+' or regexp_matches(chunk[2:], '[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')))
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as n, md5(rtrim(chunk[2:], chr(10))) as chunk_md5 from out
+union all select doc_id, 0, md5(text) from d where length(text) <= 4096"""
+
+
+@query(_SPLIT_SQL)
 def split_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    c = render.chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return c.select("doc_id", "n", F.md5("chunk").alias("chunk_md5"))
 
 
 @query()

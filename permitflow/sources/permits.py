@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
-from permitflow.functions.arrow import fix_bidi
+from permitflow.functions.arrow import compose, fix_bidi
 from permitflow.operators.state import API, PDF
+from permitflow.sources.api import DELAY, PagedApi
 
 PAGES = "array<struct<page:int,n_rows:int,table:array<array<string>>>>"
 API_ROW = (
@@ -22,20 +23,26 @@ NO_APPEAL_PDF, NO_APPEAL_API = "לא ניתן לערר", "לא ניתן"
 
 # Positions of the cells that are used.
 _CELL = {"tree_action": 0, "count": 1, "species": 2, "house": 5, "street": 6, "note": 8, "reason": 9, "applicant": 10, "request_action": 11, "appeal": 12, "requested": 13, "number": 14}
+_TEXTS = ["tree_action", "species", "street", "note", "reason", "applicant", "request_action"]
 
 
-class HeaderMismatch(RuntimeError):
+class UnexpectedHeader(RuntimeError):
     """The table is not the shape that is decoded."""
 
 
 def classify_action(tree_cell: Column, request_cell: Column) -> Column:
     """The first cell that isn't blank decides: by its whole text, else by the first known word within, else "other"."""
     own = F.coalesce(F.nullif(T.clean_text(tree_cell), F.lit("")), F.nullif(T.clean_text(request_cell), F.lit("")))
-    whole = within = None
-    for word, action in ACTIONS.items():
-        whole = F.when(own == word, action) if whole is None else whole.when(own == word, action)
-        within = F.when(own.contains(word), action) if within is None else within.when(own.contains(word), action)
-    return F.coalesce(whole, within, F.lit("other"))
+    words = F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))
+
+    def action(c: Column) -> Column:
+        within = None
+        for word, name in ACTIONS.items():
+            within = F.when(c.contains(word), name) if within is None else within.when(c.contains(word), name)
+        return F.coalesce(words[c], within, F.lit("other"))
+
+    # Bound once, where a chain of conditions over the expression itself would repeat it for each word.
+    return F.get(F.transform(F.array(own), action), F.lit(0))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -48,13 +55,14 @@ def check_header(cells: list[str]) -> None:
     """Raises unless the cells, in reading order, are the expected header."""
     wrong = [(i, h, c) for i, (h, c) in enumerate(zip(HEADER, cells, strict=False)) if h != c]
     if len(cells) != len(HEADER) or wrong:
-        raise HeaderMismatch(f"{len(cells)} columns; first differences: {wrong[:8]}")
+        raise UnexpectedHeader(f"{len(cells)} columns; first differences: {wrong[:8]}")
 
 
 def decode_pages(rows: DataFrame, visual: bool = True) -> DataFrame:
     """Line rows of (page, row, cells). The first full row must be the header; repeats of it, short rows and rows without
     a request number are left out. ``visual``: cells are in visual order."""
-    read = (lambda c: T.clean_text(fix_bidi(c))) if visual else T.clean_text
+    turned = fix_bidi if visual else lambda c: c
+    read = lambda c: T.clean_text(turned(c))
     r = rows.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit("")))).filter(F.size("cells") >= len(HEADER))
     cell = lambda name: F.get(F.col("cells"), F.lit(_CELL[name]))
     head = r.orderBy("page", "row").limit(1).select(F.posexplode("cells").alias("i", "c")).select("i", read(F.col("c")).alias("c"))
@@ -65,10 +73,11 @@ def decode_pages(rows: DataFrame, visual: bool = True) -> DataFrame:
     if raw_head:
         r = r.filter(F.col("cells") != F.array(*(F.lit(c) for c in raw_head["cells"])))
     d = r.select(
-        "page", "row", *(cell(n).alias(n) for n in ("count", "house", "appeal", "requested", "number")),
-        *(read(cell(n)).alias(n) for n in ("tree_action", "species", "street", "note", "reason", "applicant", "request_action")),
-    ).filter(T.clean_text("number") != "")
-    action, n = classify_action(F.col("tree_action"), F.col("request_action")), T.pdf_count("count")
+        "page", "row", *(cell(n).alias(n) for n in ("count", "house", "appeal", "requested", "number")), *(turned(cell(n)).alias(n) for n in _TEXTS)
+    )
+    d = compose(d, "house", "number", *_TEXTS).withColumns({n: T.clean_text(n) for n in _TEXTS}).filter(T.clean_text("number") != "")
+    d = d.withColumns({"action": classify_action(F.col("tree_action"), F.col("request_action")), "trees": T.pdf_count("count")})
+    action, n = F.col("action"), F.col("trees")
     parted = T.split_street_house("street")
     no_house = T.clean_text("house") == ""
     source_id = T.clean_text("number")
@@ -84,8 +93,10 @@ def decode_pages(rows: DataFrame, visual: bool = True) -> DataFrame:
 def decode_api(rows: DataFrame, order: str = "ord") -> DataFrame:
     """Line rows of API rows. Only the first of ``expandRows`` is used; a row without a request id is left out. A request
     with a licence id is licensed."""
-    first = lambda f: T.clean_text(F.get("expandRows", F.lit(0))[f])
-    r = rows.filter("requestId is not null")
+    first = lambda f: T.clean_text(f"x_{f}")
+    names = ["street", "homeNumber", "customerName", "block", "parcel", "requestReason"]
+    r = rows.filter("requestId is not null").withColumns({f"x_{f}": F.get("expandRows", F.lit(0))[f] for f in names})
+    r = compose(r, "treeName", *(f"x_{f}" for f in names))
     licence = F.nullif(T.clean_text("licenseId"), F.lit(""))
     source_id = F.col("requestId").cast("string")
     street, house = first("street"), first("homeNumber")
@@ -109,3 +120,10 @@ def read_api(spark: SparkSession, path: str) -> DataFrame:
     flat = both.filter("result is null").select(*names, F.struct("file_ord", F.lit(0).alias("i")).alias("ord"))
     env = both.filter("result is not null").select("file_ord", F.posexplode("result").alias("i", "r")).select("r.*", F.struct("file_ord", "i").alias("ord"))
     return flat.unionByName(env)
+
+
+def fetch_api(spark: SparkSession, url: str, city: int, delay: float = DELAY) -> DataFrame:
+    """Rows of the live paged API, a task per page, in the shape of :func:`read_api`."""
+    spark.dataSource.register(PagedApi)
+    raw = spark.read.format("paged_api").option("url", url).option("city", city).option("delay", delay).load()
+    return raw.select(F.from_json("value", API_ROW).alias("r"), F.struct("page", "i").alias("ord")).select("r.*", "ord")

@@ -16,7 +16,7 @@ from permitflow.operators.render import LIMIT, split_message
 log = logging.getLogger(__name__)
 
 
-class SendFailed(RuntimeError):
+class NotDelivered(RuntimeError):
     """A chunk was not accepted; ``sent`` chunks before it were."""
 
     def __init__(self, why: str, sent: int, total: int) -> None:
@@ -24,14 +24,22 @@ class SendFailed(RuntimeError):
         self.sent, self.total = sent, total
 
 
-def append_state(lines: DataFrame, path: str) -> None:
-    """One JSON line per record, nulls left in."""
-    lines.write.mode("append").option("ignoreNullFields", "false").json(path)
+def append_state(lines: DataFrame, path: str, run: int) -> None:
+    """One JSON line per record, nulls left in. ``run`` orders appends: of two lines of a key, the later run's holds."""
+    lines.withColumn("run", F.lit(run).cast("long")).write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def append_unmatched(rows: DataFrame, path: str) -> None:
+    """Adds addresses to be curated to the CSV files at ``path``; no file if there are none."""
+    rows = rows.coalesce(1)
+    if not rows.isEmpty():
+        rows.write.mode("append").csv(path, header=True, escape='"')
 
 
 def write_index(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One CSV file in ``order``; an index is a lookup table of bounded size."""
-    rows.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    """One CSV file in ``order``, behind a byte-order mark for spreadsheets; an index is a lookup table of bounded size."""
+    marked = rows.orderBy(*order).coalesce(1)
+    marked.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -45,10 +53,25 @@ def inline_json(records: list[dict], page: str, marker: str) -> str:
 
 
 def write_geojson(points: DataFrame, path: str, x: str, y: str) -> None:
-    """Point features with the other columns as properties."""
+    """One feature collection of points with the other columns as properties. Features are written in parallel; only the
+    file's first and last lines and the commas between are added, by position in one output file."""
     rest = [c for c in points.columns if c not in (x, y)]
     f = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates")).alias("geometry"), F.struct(*rest).alias("properties"))
-    points.select(F.to_json(f).alias("value")).write.mode("overwrite").text(path)
+    lines = points.select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("i"), F.to_json(f).alias("value"))
+    first = lines.agg(F.min("i")).first()[0]
+    body = lines.withColumn("value", F.when(F.col("i") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+    frame = points.sparkSession.createDataFrame([(0, 0, '{"type":"FeatureCollection","features":['), (2, 0, "]}")], "part int, i long, value string")
+    body.unionByName(frame).coalesce(1).sortWithinPartitions("part", "i").select("value").write.mode("overwrite").text(path)
+
+
+def write_dataset(records: DataFrame, path: str, generated: str) -> None:
+    """The statistics dataset: ``path``/records as JSON lines, and ``path``/header with the day and the counts by source."""
+    from permitflow.operators.reports import dataset_counts
+
+    write_json(records, f"{path}/records")
+    counts = dataset_counts(records)
+    head = counts.agg(F.sum("records").alias("records"), F.sum("undated").alias("undated"), F.sum("felled").alias("fell_total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "records")))).alias("by_source"))
+    write_json(head.select(F.lit(generated).alias("generated"), F.struct("records", "undated", "by_source", "fell_total").alias("counts")), f"{path}/header")
 
 
 def qa_report(sections: list[tuple[str, DataFrame, int]]) -> str:
@@ -67,9 +90,9 @@ def deliver(text: str, post: Callable[[str], tuple[int, dict]], limit: int = LIM
         try:
             status, body = post(part)
         except OSError as e:
-            raise SendFailed(str(e), i, len(parts)) from e
+            raise NotDelivered(str(e), i, len(parts)) from e
         if status != 200 or not body.get("ok"):
-            raise SendFailed(f"HTTP {status}: {body.get('description', 'not ok')}", i, len(parts))
+            raise NotDelivered(f"HTTP {status}: {body.get('description', 'not ok')}", i, len(parts))
     return len(parts)
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from permitflow.functions import arrow as A
 from permitflow.functions import text as T
+from permitflow.operators import index
 
 STATE = (
-    "key string, source string, source_id string, licence_id string, legacy_ids array<string>, first_seen date, stage string, "
+    "run long, key string, source string, source_id string, licence_id string, legacy_ids array<string>, first_seen date, stage string, "
     "content struct<street:string,house:string,neighborhood:string,fell_count:long,published:date,appeal_last:date>"
 )
 STREETS = "street_key string, street_display string, house_from int, house_to int, neighborhood string, priority int, method string, support double"
@@ -21,9 +24,12 @@ BLOCKS = "block string, parcel string, neighborhood string, priority int, method
 ENVELOPE_X, ENVELOPE_Y = (100_000, 300_000), (350_000, 850_000)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, encoding: str | None = "UTF-8") -> DataFrame:
     """CSV with a header; a byte-order mark is ignored, quotes are doubled, and rows whose first column starts with # are
-    comments. ``ord`` keeps the order of the lines of one file."""
+    comments. ``ord`` keeps the order of the lines of one file. ``encoding`` None: the first of the usual ones that decodes
+    the file, which is a hand-kept table, read whole."""
+    if encoding is None:
+        encoding = sniff_encoding(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])).replace("utf-8-sig", "UTF-8")
     df = spark.read.schema(schema).csv(path, header=True, escape='"', encoding=encoding).withColumn("ord", F.monotonically_increasing_id())
     return df.filter(~F.ltrim(F.coalesce(F.col(df.columns[0]).cast("string"), F.lit(""))).startswith("#"))
 
@@ -60,7 +66,7 @@ def points(df: DataFrame, x: str, y: str) -> DataFrame:
     """Numeric points without (0, 0); the axes are swapped if the medians fit the envelope only that way."""
     p = df.withColumns({"x": F.col(x).try_cast("double"), "y": F.col(y).try_cast("double")})
     p = p.filter("x is not null and y is not null and not isnan(x) and not isnan(y) and not (x = 0 and y = 0)")
-    m = p.agg(F.percentile_approx("x", 0.5).alias("x"), F.percentile_approx("y", 0.5).alias("y")).first()
+    m = p.agg(F.percentile_approx("x", 0.5, 1_000_000).alias("x"), F.percentile_approx("y", 0.5, 1_000_000).alias("y")).first()
     fits = lambda v, e: v is not None and e[0] <= v <= e[1]
     if not (fits(m["x"], ENVELOPE_X) and fits(m["y"], ENVELOPE_Y)) and fits(m["y"], ENVELOPE_X) and fits(m["x"], ENVELOPE_Y):
         p = p.withColumns({"x": F.col("y"), "y": F.col("x")})
@@ -81,13 +87,33 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     return f.select("crs", kind.alias("kind"), F.transform(rings, ring).alias("rings"), "g.properties.*").filter("rings is not null")
 
 
+def layer(shapes: DataFrame) -> DataFrame:
+    """A layer that :func:`read_geojson` gave, once it was found to hold shapes, all of one coordinate system."""
+    n = shapes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("crs").alias("crs")).first()
+    if not n["n"]:
+        raise ValueError("the layer holds no shapes")
+    if n["crs"] > 1:
+        raise ValueError("the layer mixes coordinate systems")
+    return shapes
+
+
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """(state lines with line_no, number of lines that could not be read). Order across files is that of their names."""
+    """(state lines with line_no, number of lines that could not be read). Lines are ordered by ``run``, the ordinal that
+    each append carries, since names of written files have no order; lines without it, from a log kept by hand or by the
+    predecessor, come first, in the order of their file. A date that can't be read is null and costs nothing else."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).filter(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", STATE).alias("s"), F.struct("f", "b", "i").alias("line_no"))
+    raw = re.sub(r"\bdate\b", "string", STATE)
+    parsed = lines.select(F.from_json("value", raw).alias("s"), "f", "b", "i")
     bad = parsed.filter("s is null or s.key is null").count()
-    good = parsed.filter("s.key is not null").select("s.*", "line_no")
-    return good.withColumn("legacy_ids", F.coalesce("legacy_ids", F.array().cast("array<string>"))), bad
+    good = parsed.filter("s.key is not null").select("s.*", F.struct(F.coalesce("s.run", F.lit(0)).alias("run"), "f", "b", "i").alias("line_no"))
+    day = lambda c: F.try_to_date(c, "yyyy-MM-dd")
+    content = F.col("content").withField("published", day("content.published")).withField("appeal_last", day("content.appeal_last"))
+    return good.withColumns({"first_seen": day("first_seen"), "content": content, "legacy_ids": F.coalesce("legacy_ids", F.array().cast("array<string>"))}), bad
+
+
+def next_run(log: DataFrame) -> int:
+    """The ordinal of the next append: one more than the largest in the log."""
+    return (log.agg(F.max("run")).first()[0] or 0) + 1 if "run" in log.columns else 1
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -95,14 +121,42 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.replace("value", F.lit("﻿"), F.lit(""))).alias("value")).filter("value <> ''")
 
 
-def read_streets(spark: SparkSession, path: str) -> DataFrame:
-    s = read_csv(spark, path, STREETS)
-    return s.withColumns({"street_key": T.clean_text("street_key"), "neighborhood": T.clean_text("neighborhood"), "priority": F.coalesce("priority", F.lit(4))}).filter("street_key <> '' and neighborhood <> ''")
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, canonical) of areas, each chain followed to its end; an empty name means that the area is no place."""
+    a = A.compose(read_csv(spark, path, "alias string, canonical string"), "alias", "canonical")
+    a = a.select(T.clean_text("alias").alias("alias"), T.clean_text("canonical").alias("canonical"), "ord").filter("alias <> ''")
+    return index.canonical(a.groupBy("alias").agg(F.max_by("canonical", "ord").alias("canonical")))
+
+
+def _named(rows: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """Rows under the current names of their areas, without those of areas that are no place."""
+    rows = rows if aliases is None else index.rename_areas(rows, aliases)
+    return rows.filter("neighborhood <> ''")
+
+
+def read_streets(spark: SparkSession, path: str, aliases: DataFrame | None = None) -> DataFrame:
+    s = A.compose(read_csv(spark, path, STREETS), "street_key", "neighborhood")
+    s = s.withColumns({"street_key": T.clean_text("street_key"), "neighborhood": T.clean_text("neighborhood"), "priority": F.coalesce("priority", F.lit(4))})
+    return _named(s.withColumns({"house_from": F.coalesce("house_from", F.lit(0)), "house_to": F.coalesce("house_to", F.lit(99999))}).filter("street_key <> ''"), aliases)
+
+
+def read_blocks(spark: SparkSession, path: str, aliases: DataFrame | None = None) -> DataFrame:
+    b = A.compose(read_csv(spark, path, BLOCKS), "block", "parcel", "neighborhood")
+    return _named(b.withColumns({"block": T.clean_text("block"), "parcel": T.clean_text("parcel"), "neighborhood": T.clean_text("neighborhood"), "support": F.coalesce("support", F.lit(0.0)), "priority": F.coalesce("priority", F.lit(2))}).filter("block <> ''"), aliases)
+
+
+def read_landmarks(spark: SparkSession, path: str, aliases: DataFrame | None = None) -> DataFrame:
+    m = A.compose(read_csv(spark, path, "pattern string, neighborhood string, display_name string"), "pattern", "neighborhood")
+    return _named(m.withColumns({"pattern": T.clean_text("pattern"), "neighborhood": T.clean_text("neighborhood")}).filter("pattern <> ''"), aliases)
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    b = read_csv(spark, path, BLOCKS)
-    return b.withColumns({"block": T.clean_text("block"), "parcel": T.clean_text("parcel"), "neighborhood": T.clean_text("neighborhood"), "support": F.coalesce("support", F.lit(0.0)), "priority": F.coalesce("priority", F.lit(2))}).filter("block <> '' and neighborhood <> ''")
+def read_unmatched(spark: SparkSession, path: str) -> DataFrame:
+    """(street, house) already on file; none if there is no file yet."""
+    schema = "first_seen date, street string, house string, full_text string"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.createDataFrame([], "street string, house string")
+    return read_csv(spark, path, schema).select("street", F.coalesce("house", F.lit("")).alias("house"))
 
 
 def flag(value: str | None, default: bool = False) -> bool:

@@ -161,6 +161,57 @@ def test_alias_chains(spark):
     assert got == {"a": "c", "b": "c", "x": "x", "y": "y", "d": ""}
 
 
+def test_alias_chain_of_any_length(spark):
+    a = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)], "alias string, canonical string")
+    assert {r["canonical"] for r in index.canonical(a).collect()} == {"n20"}
+
+
+def test_landmarks_beyond_a_list(spark, monkeypatch):
+    q = spark.createDataFrame([("1", "the old mill road", ""), ("2", "", "mi"), ("3", "", "")], "rid string, full_text string, street string")
+    marks = spark.createDataFrame([("mill", "M", 1), ("old mill", "O", 0), ("mi", "S", 2)], "pattern string, neighborhood string, ord int")
+    want = {"1": "O", "2": "S"}
+    assert {r["rid"]: r["neighborhood"] for r in resolver.landmark(q, marks).collect()} == want
+    monkeypatch.setattr(resolver, "LIST_BYTES", 0)
+    assert {r["rid"]: r["neighborhood"] for r in resolver.landmark(q, marks).collect()} == want
+
+
+def test_fuzzy_pairs_against_all_pairs(spark):
+    """No pair that reaches the score is missed by the letter pairs."""
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice("abcd e") for _ in range(rnd.randint(1, 18))).strip() or "a" for _ in range(60)]
+    asked = []
+    for n in names:
+        w = list(n)
+        for _ in range(rnd.randint(0, 2)):
+            i = rnd.randrange(len(w) + 1)
+            w[i : i + rnd.randint(0, 1)] = rnd.choice(["", "x", "a"])
+        asked.append("".join(w) or "b")
+    q = spark.createDataFrame([(x,) for x in asked], "q string")
+    k = spark.createDataFrame([(x,) for x in names], "street_key string")
+    share = (100 - resolver.FUZZY_LEAST) / 100
+    got = {(r["q"], r["street_key"]) for r in resolver.pairs_within(q, "q", k, "street_key", F.floor(share * (1 + (200 - resolver.FUZZY_LEAST) / resolver.FUZZY_LEAST) * F.length("name") + 1e-9).cast("int")).collect()}
+    want = {(a, b) for a in asked for b in names if 100 * SequenceMatcher(None, a, b).ratio() >= resolver.FUZZY_LEAST}
+    assert want <= got and len(want) > 30
+    near = {(r["q"], r["street_key"], r["d"]) for r in resolver.near_names(q, "q", k, "street_key", 2).collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _step(row, i, x, b)
+        return row[-1]
+
+    assert near == {(a, b, d) for a in asked for b in names if (d := edits(a, b)) <= 2}
+
+
+def _step(row, i, x, b):
+    new = [i]
+    for j, y in enumerate(b, 1):
+        new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+    return new
+
+
 def test_alias_rows(spark):
     cols = "street_key string, street_display string, house_from int, house_to int, neighborhood string, priority int, method string, support double, ord int"
     rows = [("ר חיים יוסף", "(החידא) ר חיים יוסף", 0, 99999, "A", 1, "m", 1.0, 0), ("חידא", "חידא", 0, 99999, "B", 1, "m", 1.0, 1)]

@@ -39,7 +39,7 @@ def test_pdf(spark, pages):
 def test_pdf_header_is_checked(spark, tmp_path):
     p = tmp_path / "bad.json"
     p.write_text(json.dumps([{"page": 1, "n_rows": 1, "table": [permits.HEADER[::-1]]}]), encoding="utf-8")
-    with pytest.raises(permits.HeaderMismatch):
+    with pytest.raises(permits.UnexpectedHeader):
         permits.decode_pages(permits.read_pages(spark, str(p)), visual=False)
 
 
@@ -72,26 +72,162 @@ def lookups(spark):
     return daily.Lookups(streets, spark.createDataFrame([], "pattern string, neighborhood string, ord int"), spark.createDataFrame([], "block string, parcel string, neighborhood string, priority int, support double, ord int"))
 
 
+def sources(spark, pages, captured):
+    return {
+        state.PDF: lambda: permits.decode_pages(permits.read_pages(spark, pages), visual=False),
+        state.API: lambda: permits.decode_api(permits.read_api(spark, captured)),
+    }
+
+
+def flat_order(rows):
+    """One type of ``ord`` for both sources."""
+    a, b = rows.schema["ord"].dataType.names
+    return rows.withColumn("ord", F.struct(F.col(f"ord.{a}").cast("long").alias("f"), F.col(f"ord.{b}").alias("i")))
+
+
+def collected(spark, pages, captured, day="2026-09-02"):
+    return daily.collect({k: lambda f=f: flat_order(f()) for k, f in sources(spark, pages, captured).items()}, day)
+
+
+def no_log(spark):
+    return spark.createDataFrame([], tables.STATE + ", line_no struct<run:bigint>")
+
+
 def test_daily_run_sends_then_persists(spark, pages, captured, tmp_path):
-    pdf, ap = permits.decode_pages(permits.read_pages(spark, pages), visual=False), permits.decode_api(permits.read_api(spark, captured))
-    pdf = pdf.withColumn("ord", F.struct(F.lit(0).alias("f"), (F.col("ord.page") * 1000 + F.col("ord.row")).alias("i")))
-    found = daily.open_requests(pdf, ap.withColumn("ord", F.struct(F.lit(0).alias("f"), F.col("ord.i").alias("i"))), "2026-09-02")
-    empty = spark.createDataFrame([], tables.STATE + ", line_no int")
+    got = collected(spark, pages, captured)
+    assert not got.errors and [(c[0], c[1], c[3], c[4], c[5]) for c in got.counters] == [("haifa_pdf", False, 5, 4, 4), ("yeela", False, 5, 4, 1)]
     path = str(tmp_path / "state")
     sent = []
     post = lambda t: (sent.append(t), (200, {"ok": True}))[1]
-    n = daily.run(found, empty, lookups(spark), "2026-09-02", post, path)
-    assert n == len(sent) == 2  # the digest and the late ones
+    n = daily.run(got, no_log(spark), lookups(spark), "2026-09-02", post, path, footer="the end", unmatched_path=str(tmp_path / "unmatched"))
+    assert n == len(sent) == 3 and sent[2] == "the end"  # the digest, the late ones, the footer
+    assert "1234567" in sent[1] and "•" in sent[0]
+    assert sent[0].count("•") == 5  # the late one is in the digest too
     log, bad = tables.read_state(spark, path)
     assert bad == 0 and {r["key"] for r in log.collect()} == {"haifa_pdf:7", "haifa_pdf:8", "haifa_pdf:9", "haifa_pdf:10", "yeela:1"}
-    assert daily.run(found, log, lookups(spark), "2026-09-03", post, path) == 0
-    with pytest.raises(sinks.SendFailed):
-        daily.run(found, empty, lookups(spark), "2026-09-02", lambda t: (500, {}), str(tmp_path / "other"))
-    assert not (tmp_path / "other").exists()
-    s = stats.dataset(pdf, None, lookups(spark))
+    assert tables.read_unmatched(spark, str(tmp_path / "unmatched")).first()["street"] == "ציון"
+    assert daily.run(got, log, lookups(spark), "2026-09-03", post, path) == 0
+    told = []
+    with pytest.raises(sinks.NotDelivered):
+        daily.run(got, no_log(spark), lookups(spark), "2026-09-02", lambda t: (500, {}), str(tmp_path / "other"), notify=told.append)
+    assert not (tmp_path / "other").exists() and len(told) == 1
+    s = stats.dataset(permits.decode_pages(permits.read_pages(spark, pages), visual=False), None, lookups(spark))
     assert s.count() == 4 and {r["date_kind"] for r in s.collect()} == {"requested"}
 
 
+def test_one_failed_source_loses_nothing_of_the_other(spark, pages, captured, tmp_path):
+    def broken():
+        raise OSError("down")
+
+    read = {state.PDF: broken, state.API: lambda: flat_order(sources(spark, pages, captured)[state.API]())}
+    got = daily.collect(read, "2026-09-02")
+    assert got.errors == ["haifa_pdf: down"] and {r["key"] for r in got.found.collect()} == {"yeela:1"}
+    told = []
+    assert daily.run(got, no_log(spark), lookups(spark), "2026-09-02", lambda t: (200, {"ok": True}), str(tmp_path / "s"), notify=told.append) == 2
+    assert len(told) == 1 and "down" in told[0]
+    nothing = daily.collect({state.PDF: broken}, "2026-09-02")
+    with pytest.raises(RuntimeError, match="down"):
+        daily.run(nothing, no_log(spark), lookups(spark), "2026-09-02", lambda t: (200, {"ok": True}), str(tmp_path / "t"), notify=told.append)
+    with pytest.raises(ValueError, match="absent"):
+        daily.open_requests(None, None, "2026-09-02")
+
+
+def test_pending_then_licensed(spark, pages, captured, tmp_path):
+    """A request under review is reported once if asked for, and again as an update when it has its licence."""
+    path, sent = str(tmp_path / "state"), []
+    post = lambda t: (sent.append(t), (200, {"ok": True}))[1]
+    got = collected(spark, pages, captured)
+    daily.run(got, no_log(spark), lookups(spark), "2026-09-02", post, path)
+    assert not any("וטרם אושרו" in t for t in sent)
+    assert daily.run(got, tables.read_state(spark, path)[0], lookups(spark), "2026-09-02", post, path, report_pending=True) == 1
+    assert "וטרם אושרו" in sent[-1]
+    assert daily.run(got, tables.read_state(spark, path)[0], lookups(spark), "2026-09-02", post, path, report_pending=True) == 0
+    granted = tmp_path / "later.json"
+    granted.write_text(json.dumps([api_row(2, 77)]), encoding="utf-8")
+    later = daily.collect({state.API: lambda: flat_order(permits.decode_api(permits.read_api(spark, str(granted))))}, "2026-09-03")
+    assert daily.run(later, tables.read_state(spark, path)[0], lookups(spark), "2026-09-03", post, path, report_pending=True) == 1
+    assert "קיבלו רישיון" in sent[-1]
+    assert daily.run(later, tables.read_state(spark, path)[0], lookups(spark), "2026-09-03", post, path) == 0
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_later_run_wins_whatever_the_files_are_called(spark, tmp_path, swap):
+    import os
+
+    path = tmp_path / "state"
+    cols = "key string, source string, source_id string, licence_id string, legacy_ids array<string>, first_seen date, stage string"
+    for run, stage in ((1, "pending"), (2, "licensed")):
+        before = set(path.glob("part-*")) if path.exists() else set()
+        sinks.append_state(spark.createDataFrame([("a:1", "a", "1", None, [], None, stage)], cols).coalesce(1), str(path), run)
+        new = next(iter(set(path.glob("part-*")) - before))
+        os.rename(new, path / f"part-{'ab'[run - 1] if not swap else 'ba'[run - 1]}.json")
+    for f in path.glob(".*.crc"):
+        f.unlink()
+    log, bad = tables.read_state(spark, str(path))
+    assert bad == 0 and state.fold(log).first()["stage"] == "licensed" and tables.next_run(log) == 3
+
+
+def test_bad_dates_in_state_lines(spark, tmp_path):
+    p = tmp_path / "s.jsonl"
+    p.write_text('{"key":"a:1","source":"a","first_seen":"soon","stage":"pending","content":{"street":"x","published":"2026-01-02","appeal_last":"?"}}\n', encoding="utf-8")
+    r = tables.read_state(spark, str(p))[0].first()
+    assert r.first_seen is None and r.content.street == "x" and r.content.published == dt.date(2026, 1, 2) and r.content.appeal_last is None
+
+
+def test_composition_and_aliases_at_reading(spark, tmp_path):
+    p = tmp_path / "streets.csv"
+    p.write_text("street_key,street_display,house_from,house_to,neighborhood,priority,method,support\nשׁד,x,,,A,2,m,1\nb,x,0,9,R,1,m,1\n", encoding="utf-8")
+    a = tmp_path / "aliases.csv"
+    a.write_text("alias,canonical\n# note\nA,B\nB,C\nR,\n", encoding="utf-8")
+    got = tables.read_streets(spark, str(p), tables.read_aliases(spark, str(a))).collect()
+    assert [(r.street_key, r.house_from, r.house_to, r.neighborhood) for r in got] == [("שׁד", 0, 99999, "C")]
+    assert tables.read_csv(spark, str(p), tables.STREETS, None).count() == 2
+
+
+def command(argv):
+    from permitflow.__main__ import main
+
+    return main(argv)
+
+
+def test_commands(spark, pages, captured, tmp_path, capsys, monkeypatch):
+    w = lambda name, text: ((tmp_path / name).write_text(text, encoding="utf-8"), str(tmp_path / name))[1]
+    dims = ["--streets", w("s.csv", "street_key,street_display,house_from,house_to,neighborhood,priority,method,support\nציון,x,0,99999,Z,2,m,1\n"), "--blocks", w("b.csv", "block,parcel,neighborhood,priority,method,support\n10,,X,2,m,0.9\n"), "--landmarks", w("l.csv", "pattern,neighborhood,display_name\n")]
+    ids = w("ids.txt", "1234567\n4321\nNone\n")
+    st = str(tmp_path / "state")
+    run = ["run", "--today", "2026-09-02", "--api", captured, *dims, "--state", st, "--old-ids", ids]
+    monkeypatch.setenv("TELEGRAM_TOKEN", "t")
+    monkeypatch.setenv("CHAT_ID", "c")
+    assert command(run) == 1  # not migrated yet
+    assert command(["migrate", "--state", st, "--old-ids", ids]) == 0 and command(["migrate", "--state", st, "--old-ids", ids]) == 0
+    assert "2 record(s)" in (out := capsys.readouterr().out) and "0 record(s)" in out
+    assert command([*run, "--dry-run"]) == 0 and "0 message(s)" in capsys.readouterr().out  # its one licence was sent before
+    assert command(["stats", "--today", "2026-09-02", "--api", captured, *dims, "--out", str(tmp_path / "data")]) == 0
+    head = spark.read.json(str(tmp_path / "data" / "header")).first()
+    assert head["generated"] == "2026-09-02" and head["counts"]["records"] == 4
+    assert command(["api-report", "--api", captured, "--year", "2026"]) == 0
+    text = capsys.readouterr().out
+    assert "by status" in text and "2  1  2" in text.split("== pending")[1]
+    area = {"type": "Feature", "properties": {"name": "A", "block": "7", "parcel": "1"}, "geometry": {"type": "Polygon", "coordinates": [[[200000, 740000], [200100, 740000], [200100, 740100], [200000, 740100]]]}}
+    areas = w("a.geojson", json.dumps({"type": "FeatureCollection", "features": [area]}))
+    points = w("p.csv", "street,house,x,y\nציון,3,200010,740010\nציון,5,200020,740010\n")
+    assert command(["street-index", "--points", points, "--areas", areas, "--out", str(tmp_path / "si"), "--report", str(tmp_path / "si.txt")]) == 0
+    made = tables.read_csv(spark, str(tmp_path / "si"), tables.STREETS).first()
+    assert (made.street_key, made.neighborhood, made.method) == ("ציון", "A", "points_range") and "street keys" in (tmp_path / "si.txt").read_text()
+    assert command(["block-index", "--parcels", areas, "--areas", areas, "--out", str(tmp_path / "bi"), "--report", str(tmp_path / "bi.txt")]) == 0
+    assert {(r.block, r.parcel) for r in tables.read_csv(spark, str(tmp_path / "bi"), tables.BLOCKS).collect()} == {("7", "1"), ("7", None)}
+    with pytest.raises(ValueError, match="no shapes"):
+        tables.layer(tables.read_geojson(spark, w("e.geojson", '{"features":[]}'), "name:string"))
+
+
+def test_point_collection(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, "a"), (3.0, 4.0, None)], "x double, y double, n string").repartition(2)
+    sinks.write_geojson(df, str(tmp_path / "g"), "x", "y")
+    text = "".join(p.read_text() for p in (tmp_path / "g").glob("part-*"))
+    got = json.loads(text)
+    assert got["type"] == "FeatureCollection" and {tuple(f["geometry"]["coordinates"]) for f in got["features"]} == {(1.0, 2.0), (3.0, 4.0)}
+
+
 def test_state_log_skips_corrupt_lines(spark, tmp_path):
     p = tmp_path / "state.jsonl"
     p.write_text('{"key":"a:1","source":"a","stage":"pending"}\nnot json\n\n{"key":"a:1","source":"a","stage":"licensed","legacy_ids":["3"]}\n', encoding="utf-8")
