@@ -29,15 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_lineage").rstrip("/")
 
 
-def cut(df: DataFrame, keep: int | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that no later stage depends on a live executor.
 
     Parquet is compressed and columnar, unlike an RDD checkpoint. The files go when the JVM ends, or earlier through
-    :func:`drop`. ``keep`` lowers the number of files for small results.
+    :func:`drop`. Adaptive execution lowers the number of files of small shuffled results.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/permitflow-{uuid.uuid4().hex}"
-    (df.coalesce(keep) if keep else df).write.parquet(path)
+    df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)

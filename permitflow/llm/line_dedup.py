@@ -49,7 +49,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     # Distinct (line, site) pairs are combined map-side, so a hot line costs one row per task and site.
     pairs = o.join(near.select("h"), "h", "left_semi").select("h", "site").distinct()
     exact = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("h")
-    return cut(sure.unionByName(near.join(exact, "h", "left_semi").select("h", "first")), keep=8)
+    return cut(sure.unionByName(near.join(exact, "h", "left_semi").select("h", "first")))
 
 
 def mark(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
