@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from permitflow.llm import decontam, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_rollup, toxicity, url_filter
 from permitflow.llm.common import shared_dir, table
@@ -40,10 +41,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is inserted; then the toxic ones among the labelled are withdrawn, and those of low quality come back
+    revised, with their white space trimmed. The first batch is replayed, which changes nothing."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    version = "byte_bpe_50k"
     store = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}").temporary()
-    changes = token_rollup.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), "byte_bpe_50k")
+    changes = token_rollup.count_tokens(docs, tokenizer_path(), version)
     store.commit("documents", changes)
-    store.commit("documents", changes)  # a replay: skipped
+    marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    poor = docs.join(marks.filter("coalesce(toxic, 0) <> 1 and quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.btrim("text", F.lit(" \t\r\n")))
+    revised = token_rollup.count_tokens(poor, tokenizer_path(), version, seq=1)
+    store.commit("corrections", revised.unionByName(token_rollup.withdrawals(marks.filter("toxic = 1"), version, seq=1)))
+    store.commit("documents", changes)  # a replay: skipped before it is computed
     return store.totals()
 
 
