@@ -1,12 +1,19 @@
 """URL filter: rules first, then a path-template tree per host, in DataFrame functions only.
 
-Paths are cut into segments. Runs of digits and long hexadecimal names become wildcards by their form. The rest of the
-tree is learned from the data, depth by depth: among the children of one node (host and template so far), children whose
-share of bad labels does not differ significantly from their siblings' merge into one wildcard branch, as do rare
-children of a wide node with under FEW labelled pages, too few to be tested; a child that does differ keeps its name. A template is rejected if its smoothed share of bad
-labels, (bad + WEIGHT * prior) / (labelled + WEIGHT) with the corpus's share as prior, reaches REJECT.
+Paths are cut into segments. Runs of digits and long hexadecimal names become wildcards by their form, so that counts
+combine early. The rest of the tree is learned from the data, depth by depth, among the children of one node (host and
+template so far):
 
-The tree works on counts per (host, path form), not on pages, so a hot host is combined map-side before any shuffle.
+* A child whose share of bad labels does not differ from that of all its siblings together, by a test that allows for
+  their number, is a variable: it joins the node's wildcard branch.
+* Children that do differ are put into bands of like shares, and bands are compared branch with branch, from the lowest
+  up: two whose shares do not differ significantly become one. A branch of one child keeps its name.
+
+A template is rejected if its smoothed share of bad labels, (bad + WEIGHT * prior) / (labelled + WEIGHT) with the
+corpus's share as prior, reaches REJECT.
+
+The tree works on counts per (host, path form), not on pages, so a hot host is combined map-side before any shuffle. A
+node's bands are at most BANDS, however many children it has.
 
 Defined edge cases: a null url, or one without ``://``, has an empty host and path and forms a template of its own; an
 unlabelled page counts in no share; with no labels at all nothing is rejected; several labels of one page count once,
@@ -23,10 +30,10 @@ from permitflow.llm.common import LOWER, UPPER, cut
 #: (verdict, host, start of the path), a configuration list. The longest rule that fits wins.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-WIDE = 20
-RARE = 0.05
-FEW = 10
+#: Standard deviations beyond which two shares differ; a child's test adds what the largest of its siblings' deviations
+#: reaches by chance.
 Z = 2.0
+BANDS = 20
 WEIGHT = 10.0
 REJECT = 0.5
 
@@ -57,6 +64,21 @@ def form(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(?<=/)[0-9a-fA-F-]{16,}(?=/|$)", "*"), r"[0-9]+", "#")
 
 
+def _branches(bands: DataFrame) -> DataFrame:
+    """(host, tpl, band, as): the branch name of each band of a node's differing children. ``bands``: host, tpl, band,
+    labelled, bad, width (children), only (one of them)."""
+    entry = "struct<low:int,high:int,labelled:bigint,bad:bigint,width:bigint,only:string>"
+    share = "(x.bad + g.bad) / (x.labelled + g.labelled)"
+    alike = f"abs(x.bad / x.labelled - g.bad / g.labelled) <= {Z}D * sqrt({share} * (1 - {share}) * (1D / x.labelled + 1D / g.labelled))"
+    joined = "named_struct('low', g.low, 'high', x.high, 'labelled', x.labelled + g.labelled, 'bad', x.bad + g.bad, 'width', x.width + g.width, 'only', g.only)"
+    step = f"transform(slice(a, size(a), 1), g -> if({alike}, array({joined}), array(g, x)))"
+    merged = f"aggregate(list, cast(array() as array<{entry}>), (a, x) -> if(size(a) = 0, array(x), concat(slice(a, 1, size(a) - 1), flatten({step}))))"
+    one = F.struct(F.col("band").alias("low"), F.col("band").alias("high"), "labelled", "bad", "width", "only")
+    node = bands.groupBy("host", "tpl").agg(F.array_sort(F.collect_list(one)).alias("list")).select("host", "tpl", F.posexplode(F.expr(merged)).alias("i", "g"))
+    name = F.when(F.col("g.width") == 1, F.col("g.only")).otherwise(F.concat(F.lit("*"), F.col("i").cast("string")))
+    return node.select("host", "tpl", F.explode(F.sequence("g.low", "g.high")).alias("band"), name.alias("as"))
+
+
 def templates(forms: DataFrame) -> DataFrame:
     """(host, form, template) for every row of ``forms`` (host, form, n, labelled, bad), one row per host and form."""
     t = forms.select("host", "form", "n", "labelled", "bad", F.split("form", "/").alias("seg"), F.lit("").alias("tpl"), F.lit(False).alias("shut"))
@@ -67,15 +89,20 @@ def templates(forms: DataFrame) -> DataFrame:
         if t.filter("s is not null").isEmpty():
             break
         # Child counts, then node counts: each combined map-side and joined back, never a window over one host.
-        child = t.filter("s is not null").groupBy("host", "tpl", "s").agg(*(F.sum(c).alias(f"c_{c}") for c in ("n", "labelled", "bad")))
-        node = child.groupBy("host", "tpl").agg(F.count(F.lit(1)).alias("width"), *(F.sum(f"c_{c}").alias(f"p_{c}") for c in ("n", "labelled", "bad")))
-        share = F.try_divide(F.col("p_bad"), F.col("p_labelled"))
-        spread = F.sqrt(F.col("c_labelled") * share * (1 - share))
-        differs = F.coalesce(F.abs(F.col("c_bad") - F.col("c_labelled") * share) > Z * spread, F.lit(False)) & (spread > 0)
-        rare = (F.col("width") > WIDE) & (F.col("c_n") < RARE * F.col("p_n")) & (F.col("c_labelled") < FEW)
+        child = t.filter("s is not null").groupBy("host", "tpl", "s").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        node = child.groupBy("host", "tpl").agg(F.count(F.lit(1)).alias("width"), F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
+        c = child.join(node, ["host", "tpl"])
+        # The share of all siblings, with one label of the node's share in case they have none.
+        others = F.try_divide(F.col("p_bad") - F.col("bad") + F.try_divide("p_bad", "p_labelled"), F.col("p_labelled") - F.col("labelled") + 1)
+        spread = F.sqrt(F.col("labelled") * others * (1 - others))
+        beyond = F.abs(F.col("bad") - F.col("labelled") * others) > (Z + F.sqrt(2 * F.log(F.col("width").cast("double")))) * spread
+        c = c.withColumn("differs", F.coalesce(beyond & (spread > 0), F.lit(False)))
+        c = cut(c.withColumn("band", F.when(F.col("differs"), F.least(F.floor(BANDS * F.col("bad") / F.col("labelled")), F.lit(BANDS - 1)).cast("int"))))
+        bands = c.filter("differs").groupBy("host", "tpl", "band").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("width"), F.min("s").alias("only"))
+        named = c.join(_branches(bands), ["host", "tpl", "band"], "left")
         # A branch without labelled children has nothing left to tell apart: what lies deeper is one open tail.
-        step = F.when(F.col("p_labelled") == 0, "**").when(differs & ~rare, F.col("s")).otherwise("*")
-        named = child.join(node, ["host", "tpl"]).select("host", "tpl", "s", step.alias("as"), (F.col("p_labelled") == 0).alias("end"))
+        end = F.col("p_labelled") == 0
+        named = named.select("host", "tpl", "s", F.when(end, "**").otherwise(F.coalesce("as", F.lit("*"))).alias("as"), end.alias("end"))
         t = t.join(named, ["host", "tpl", "s"], "left").select(
             "host", "form", "n", "labelled", "bad", "seg",
             F.when(F.col("as").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.lit("/"), "as")).alias("tpl"),
