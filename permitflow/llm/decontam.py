@@ -6,11 +6,11 @@ Kept grams of documents and items are joined; a hit names an item and a diagonal
 position), along which the match is extended word by word. Words inside a run of SPAN equal words are hit. Items of
 fewer than SPAN words are one window each: all document grams of just those lengths are looked up instead.
 
-The benchmark side is broadcast only if it was counted below BROADCAST_ROWS; otherwise both sides are shuffled, in a
-join that Spark can split by skew. Words are hashed to find candidates and compared as words to confirm them.
+The benchmark side is broadcast only if its written files are small; otherwise both sides are shuffled, in a join that
+Spark can split by skew. Words are hashed to find candidates and compared as words to confirm them.
 
 Defined edge cases: a null text has no words; an item without words is ignored; several rows of one item_id count as one
-item, a null item_id counts as an item whose id prints as the empty string; rows with null or repeated doc_id are judged
+item, each with windows of its own text, a null item_id counts as an item whose id prints as the empty string; rows with null or repeated doc_id are judged
 each by its own text; empty tables give no hits or no rows; extra columns are ignored.
 """
 
@@ -19,12 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitflow.llm.common import cut, lower_ascii
+from permitflow.llm.common import cut, lower_ascii, sized
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
 K = 5
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -52,15 +51,19 @@ def _short(w: str, n: int) -> str:
     return f"if(size({w}) >= {n}, transform({_grams(w, n)}, (h, p) -> named_struct('pos', p, 'h', h)), {none})"
 
 
-def item_prints(items: DataFrame) -> DataFrame:
-    """(item, n_item, item_words, ipos, h): the fingerprints of items, one row per kept gram."""
-    i = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w"))
-    i = i.filter(F.size("w") > 0)
-    long = i.filter(F.size("w") >= SPAN).withColumn("g", F.expr(_grams("w", K)))
-    long = long.select("item", "w", F.explode(F.expr(_winnowed("w", "g"))).alias("f"))
-    short = i.filter(F.size("w") < SPAN).select("item", "w", F.lit(0).alias("pos"), F.xxhash64(F.size("w"), "w").alias("h"))
-    both = long.select("item", "w", "f.pos", "f.h").unionByName(short)
-    return both.select("item", F.col("w").alias("item_words"), F.size("w").alias("n_item"), F.col("pos").alias("ipos"), "h")
+def item_texts(items: DataFrame) -> DataFrame:
+    """(item, text_key, item_words): the distinct texts of items; rows that share an item_id are told apart by a hash."""
+    i = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("item_words"))
+    return i.filter(F.size("item_words") > 0).select("item", F.xxhash64("item_words").alias("text_key"), "item_words").distinct()
+
+
+def item_prints(texts: DataFrame) -> DataFrame:
+    """(item, text_key, n_item, ipos, h): the fingerprints of items, one row per kept gram."""
+    i = texts.withColumnRenamed("item_words", "w").withColumn("n_item", F.size("w"))
+    long = i.filter(F.col("n_item") >= SPAN).withColumn("g", F.expr(_grams("w", K)))
+    long = long.select("item", "text_key", "n_item", F.explode(F.expr(_winnowed("w", "g"))).alias("f")).select("item", "text_key", "n_item", F.col("f.pos").alias("ipos"), "f.h")
+    short = i.filter(F.col("n_item") < SPAN).select("item", "text_key", "n_item", F.lit(0).alias("ipos"), F.xxhash64("n_item", "w").alias("h"))
+    return long.unionByName(short)
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -74,11 +77,10 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 def scan(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, hits): rows has doc_id, digest, n_words for each document row; hits one row per doc_id, digest with
     n_hit and items (sorted strings). Both are written tables or read from them."""
-    prints = cut(item_prints(items), keep=1)
+    texts = cut(item_texts(items))
+    prints = cut(item_prints(texts))
     # Item lengths below SPAN: nine values at most.
     lengths = sorted(r[0] for r in prints.filter(F.col("n_item") < SPAN).select("n_item").distinct().collect())
-    small = prints.count() <= BROADCAST_ROWS
-    keyed = prints.select("h", "item", "n_item", "ipos")
 
     d = docs.select(*_key(docs), words(docs["text"]).alias("w"))
     d = d.withColumn("g", F.expr(f"if(size(w) >= {SPAN}, {_grams('w', K)}, cast(array() as array<bigint>))"))
@@ -86,30 +88,28 @@ def scan(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = "array(named_struct('pos', -1, 'h', xxhash64(doc_id, digest)))"  # each row's own entry, which carries n_words
     d = d.select("doc_id", "digest", F.size("w").alias("n_words"), F.explode(F.expr(f"concat({own}, {', '.join(arrays)})")).alias("f"))
     d = d.select("doc_id", "digest", "n_words", "f.pos", "f.h")
-    j = d.join(F.broadcast(keyed) if small else keyed, "h", "left")
+    j = d.join(sized(prints), "h", "left")
     j = j.filter("pos = -1 or item is not null")
-    found = cut(j.select("doc_id", "digest", "n_words", "pos", F.when(F.col("pos") >= 0, F.col("item")).alias("item"), "n_item", (F.col("pos") - F.col("ipos")).alias("diag")))
+    found = cut(j.select("doc_id", "digest", "n_words", "pos", F.when(F.col("pos") >= 0, F.col("item")).alias("item"), "text_key", "n_item", (F.col("pos") - F.col("ipos")).alias("diag")))
     # The row's own entry could only meet an item by a 64-bit collision; one per row is kept in any case.
     rows = found.filter("pos = -1 and item is null").select("doc_id", "digest", "n_words")
-    lines = cut(found.filter("pos >= 0").groupBy("doc_id", "digest", "item", "n_item", "diag").agg(F.lit(1).alias("one")))
-    return rows, _extend(docs, lines, prints)
+    lines = cut(found.filter("pos >= 0").groupBy("doc_id", "digest", "item", "text_key", "n_item", "diag").agg(F.lit(1).alias("one")))
+    return rows, _extend(docs, lines, texts)
 
 
-def _extend(docs: DataFrame, lines: DataFrame, prints: DataFrame) -> DataFrame:
+def _extend(docs: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Extends candidate diagonals to runs of equal words and gathers them per document."""
-    per_doc = lines.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("item", "n_item", "diag")).alias("lines"))
+    per_doc = lines.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("item", "text_key", "n_item", "diag")).alias("lines"))
     per_doc = cut(per_doc)
-    few = per_doc.count() <= BROADCAST_ROWS // 10
     d = docs.select(*_key(docs), "text")
-    other = per_doc.select(F.col("doc_id").alias("c_doc"), F.col("digest").alias("c_digest"), "lines")
+    other = sized(per_doc).select(F.col("doc_id").alias("c_doc"), F.col("digest").alias("c_digest"), "lines")
     on = d["doc_id"].eqNullSafe(F.col("c_doc")) & (d["digest"] == F.col("c_digest"))
-    d = d.join(F.broadcast(other) if few else other, on).select("doc_id", "digest", words(F.col("text")).alias("w"), "lines")
+    d = d.join(other, on).select("doc_id", "digest", words(F.col("text")).alias("w"), "lines")
     # The stretch of the document that lies beside the item: first is its offset in the item.
-    cuts = """transform(lines, l -> named_struct('item', l.item, 'diag', l.diag, 'first', greatest(0, -l.diag),
+    cuts = """transform(lines, l -> named_struct('item', l.item, 'text_key', l.text_key, 'diag', l.diag, 'first', greatest(0, -l.diag),
         'part', slice(w, greatest(0, l.diag) + 1, greatest(0, least(size(w) - l.diag, l.n_item) - greatest(0, -l.diag)))))"""
     d = d.select("doc_id", "digest", F.explode(F.expr(cuts)).alias("c")).select("doc_id", "digest", "c.*")
-    items = prints.select("item", "item_words").distinct()
-    j = d.join(items, "item")
+    j = d.join(sized(texts), ["item", "text_key"])
     j = j.withColumn("span", F.least(F.size("item_words"), F.lit(SPAN)))
     j = j.withColumn("same", F.expr("transform(part, (x, i) -> x = item_words[first + i])"))
     j = j.withColumn("starts", F.expr("if(size(same) < span, cast(array() as array<int>), filter(sequence(0, size(same) - span), s -> not array_contains(slice(same, s + 1, span), false)))"))
