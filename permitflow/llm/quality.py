@@ -1,8 +1,9 @@
 """Quality rules: per-language, per-source adaptive thresholds from mergeable quantile sketches.
 
-Each document is measured once. The measures of every (lang, source) group go into KLL sketches, which merge: a group
-too small to speak for itself borrows its language's sketch, and a small language the whole corpus's. Fences come from
-the sketches' quartiles, replace fixed cutoffs, and are joined back to the documents.
+Each document is measured once. The measures of every (lang, source) group go into KLL sketches, which merge into those
+of languages and of the corpus. A group's quartiles are drawn towards its language's, and those towards the corpus's, by
+PULL documents' weight, so a small group borrows and a large one speaks for itself. Fences come from these quartiles,
+replace fixed cutoffs, and are joined back to the documents.
 
 Defined edge cases: a null text has no words and fails the base rule like an empty one; null ``lang`` or ``source``
 form a group of their own; repeated rows are measured and judged each by itself; an empty table gives an empty result;
@@ -12,10 +13,12 @@ extra columns never enter, since only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +35,8 @@ MEASURES = {
     "repeat_ratio": ("high", 0.05),
 }
 SPREADS = 6.0
-MIN_GROUP = 100
+#: Documents that the wider group's quartile counts for when it is averaged with a group's own.
+PULL = 10
 SKETCH_K = 800
 
 METRICS_SCHEMA = (
@@ -41,6 +45,36 @@ METRICS_SCHEMA = (
 )
 
 
+#: Words from which on windows are compared as numbers in arrays, which hold a long text in little memory.
+_LONG = 2000
+
+
+def _repeated(words: list[bytes]) -> int:
+    """Words that lie in a 3-word window found twice or more."""
+    n = len(words) - 2
+    if len(words) >= _LONG:
+        number: dict[bytes, int] = {}
+        of = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        pairs = np.unique(of[:-1] * len(number) + of[1:], return_inverse=True)[1]
+        key = pairs[:-1] * len(number) + of[2:]
+        _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+        again = count[place] > 1
+        hit = np.zeros(len(words), bool)
+        for i in range(3):
+            hit[i : n + i] |= again
+        return int(hit.sum())
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    counts = Counter(windows)
+    if len(counts) == n:
+        return 0
+    total = end = 0
+    for i, w in enumerate(windows):
+        if counts[w] > 1:
+            total += i + 3 - max(i, end)
+            end = i + 3
+    return total
+
+
 def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines with a word) of one whole text."""
     if not text:
@@ -53,22 +87,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     n_symbols = len(SYMBOLS.findall(text))
     lines = [x for x in data.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
     n_dup = len(lines) - len(set(lines))
-    n_repeat = 0
-    if n >= 4:
-        windows = list(zip(words, words[1:], words[2:], strict=False))
-        seen: set = set()
-        again: set = set()
-        if len(set(windows)) < len(windows):
-            for w in windows:
-                if w in seen:
-                    again.add(w)
-                else:
-                    seen.add(w)
-            end = 0
-            for i, w in enumerate(windows):
-                if w in again:
-                    n_repeat += i + 3 - max(i, end)
-                    end = i + 3
+    n_repeat = _repeated(words) if n >= 4 else 0
     return n, n_chars, n_symbols, n_dup, n_repeat, len(lines)
 
 
@@ -113,18 +132,21 @@ def _fences(m: DataFrame) -> DataFrame:
     by_group = base.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in names)
     )
-    by_group = cut(by_group, keep=1)
+    by_group = cut(by_group)
     merged = [F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(f"l_{c}") for c in names]
     by_lang = by_group.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("l_n"), *merged)
     q = lambda c, p: F.kll_sketch_get_quantile_double(c, F.lit(p))
     # The whole corpus's quartiles: one row of eight numbers.
     whole = by_group.agg(F.sum("n").alias("n"), *merged).filter("n > 0")
     whole = whole.select(*(q(F.col(f"l_{c}"), p).alias(f"{k}_{c}") for c in names for k, p in (("q1", 0.25), ("q3", 0.75)))).first()
-    pick = lambda c, k, p: (
-        F.when(F.col("n") >= MIN_GROUP, q(F.col(c), p)).when(F.col("l_n") >= MIN_GROUP, q(F.col(f"l_{c}"), p)).otherwise(F.lit(whole[f"{k}_{c}"] if whole else None).cast("double"))
-    )
+
+    def drawn(c: str, k: str, p: float) -> Column:
+        to = F.lit(whole[f"{k}_{c}"] if whole else None).cast("double")
+        to = (F.col("l_n") * q(F.col(f"l_{c}"), p) + PULL * to) / (F.col("l_n") + PULL)
+        return (F.col("n") * q(F.col(c), p) + PULL * to) / (F.col("n") + PULL)
+
     g = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-    g = g.select("lang", "source", *(pick(c, k, p).alias(f"{k}_{c}") for c in names for k, p in (("q1", 0.25), ("q3", 0.75))))
+    g = g.select("lang", "source", *(drawn(c, k, p).alias(f"{k}_{c}") for c in names for k, p in (("q1", 0.25), ("q3", 0.75))))
     out = ["lang", "source"]
     for c, (side, floor) in MEASURES.items():
         spread = F.greatest(F.col(f"q3_{c}") - F.col(f"q1_{c}"), F.lit(floor))
@@ -154,7 +176,7 @@ def judge(m: DataFrame, fences: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """Measures and verdict per document row."""
     m = cut(metrics(docs))
-    return judge(m, cut(_fences(m), keep=1))
+    return judge(m, cut(_fences(m)))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -163,6 +185,6 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     The first pass gathers the sketches; the second measures again in the pass that filters, which costs less than
     shuffling every text to meet its verdict. The input row travels as one struct, so its column names cannot clash.
     """
-    fences = cut(_fences(metrics(docs)), keep=1)
+    fences = cut(_fences(metrics(docs)))
     m = metrics(docs.select("doc_id", "lang", "source", "text", F.struct(*docs.columns).alias("row")), carry="row")
     return judge(m, fences).filter("kept").select("row.*")
