@@ -2,19 +2,20 @@
 
 The kernel of two strings sums, over all subsequences of P characters that they share, DECAY to the power of the spans
 that the subsequence takes in either, and is normalised. Gaps cost little, so ``i.d.i.o.t`` and ``idixot`` stay close to
-the plain word; characters that are no letters match nothing and only widen gaps. The strings are the words of a
-sentence, each with a mark at its start, and runs of single letters read as one word.
+the plain word; characters that are no letters match nothing and only widen gaps. Texts are cut into sentences, and the strings
+are a sentence's words, each with a mark at its start; runs of single letters in a sentence read as one word.
 
-Labels belong to documents, and so to the set of their sentences' words: the machine is trained by multiple-instance
-rounds. Landmarks are words that lie near words of many toxic and few other documents, and the words of other documents
+Labels belong to documents, and a document is as toxic as its worst sentence, a sentence as its worst word: the machine
+is trained by multiple-instance rounds. Landmarks are words that lie near words of many toxic and few other documents, and the words of other documents
 closest to those. A word's features are its kernels with the landmarks, whitened (Nyström); a linear machine is fitted
 on them, each toxic document's best word is chosen anew, and a document's score is the calibrated maximum.
 
 The fitted machine is linear in the subsequence weights, so scoring needs one weight per subsequence, not one kernel per
 landmark: every word of every whole text is scored, distinct words once per worker.
 
-Training takes at most TRAIN_DOCS labelled documents, those first by a hash of their id, of at most TRAIN_CHARS
-characters each; scoring has no bounds.
+Training takes at most TRAIN_DOCS labelled rows, those first by a hash of their id, of at most TRAIN_CHARS characters
+each; candidates for landmarks are counted in COUNTED_TOXIC and COUNTED_CLEAN of these, first by the same hash. Scoring has
+no bounds.
 
 Defined edge cases: a null text is scored like an empty one, by the machine's floor; words longer than WINDOW are read
 in overlapping windows; a null doc_id is never learned from and not held out; several labels of one id count as toxic if
@@ -30,7 +31,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,12 @@ DECAY = 0.5
 WINDOW = 16
 TRAIN_DOCS = 4000
 TRAIN_CHARS = 20_000
+#: Documents of the sample, first by the same hash, in which the neighbourhoods of candidate landmarks are counted; how many
+#: candidates there are; and words of other documents that the first machine learns from, half of them nearest to the
+#: landmarks and half from all over. Later rounds add the best word of every document of the sample.
+COUNTED_TOXIC, COUNTED_CLEAN = 500, 1000
+CANDIDATES = 320
+NEGATIVES = 3000
 POSITIVE_LANDMARKS = 64
 NEGATIVE_LANDMARKS = 160
 NEAR = 0.7
@@ -55,6 +62,7 @@ CACHE = 600_000
 _ALPHABET = 40  # a-z, the start mark, 12 classes of other letters, and one of characters that match nothing
 _MARK, _OTHER, _NONE = 26, 27, 39
 EDGES = ".,;:!?\"'`´()[]{}<>|*#$%&@^~_=+-/\\«»„“”…¡¿"
+SENTENCE_END = re.compile(r"\n+|(?<=[^\W\d_]{2}[.!?…])\s+")
 SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:\s+[^\W\d_](?!\S)){2,}")
 
 
@@ -150,12 +158,20 @@ def windows(word: str) -> Iterable[str]:
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW + step, step)]
 
 
+def sentences(text: str | None) -> list[str]:
+    """Sentences of a text, lower-cased: parted at line feeds and behind marks that end one, unless a single letter comes
+    before, as in a word spelled out with stops."""
+    return [s for s in SENTENCE_END.split((text or "").lower()) if s]
+
+
 def units(text: str | None) -> set[str]:
-    """Distinct words of all sentences of a text, lower-cased, with spelled-out words joined."""
-    t = (text or "").lower()
-    found = {w.strip(EDGES) for w in set(t.split())}
-    for m in SPELLED.finditer(t):
-        found.add("".join(m[0].split()))
+    """Distinct words of all sentences of a text, with spelled-out words joined."""
+    found: set[str] = set()
+    for s in sentences(text):
+        words = s.split()
+        found.update(w.strip(EDGES) for w in set(words))
+        if sum(len(w) == 1 for w in words) > 2:
+            found.update("".join(m[0].split()) for m in SPELLED.finditer(s))
     long = [w for w in found if len(w) > WINDOW]
     for w in long:
         found.discard(w)
@@ -217,7 +233,9 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _chance(a: int, b: int, share: float) -> float:
     """Probability of ``a`` or more toxic ones among a + b documents, if toxic ones were dealt by chance."""
-    return sum(comb(a + b, k) * share**k * (1 - share) ** (a + b - k) for k in range(a, a + b + 1)) if a + b <= 300 else float(a / (a + b) < 2 * share)
+    n = a + b
+    log = lambda k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * np.log(share) + (n - k) * np.log1p(-share)
+    return float(min(1.0, sum(np.exp(log(k)) for k in range(a, n + 1))))
 
 
 def _variants(word: str) -> list[str]:
@@ -237,12 +255,12 @@ def train(sample: list[tuple[set[str], int]]) -> Model:
     df_t, df_c = Counter(w for u in toxic for w in u), Counter(w for u in clean for w in u)
     odds = lambda a, b: np.log((a + 0.5) / (np_ + 1)) - np.log((b + 0.5) / (nn + 1))
 
-    # Candidates: the words most peculiar to toxic documents. Their neighbourhoods are counted in part of the documents.
-    seen_t, seen_c = toxic[:500], clean[:1000]
+    # Candidates: the words most peculiar to toxic documents. Their neighbourhoods are counted in part of the documents,
+    # which come in the order of a hash.
+    seen_t, seen_c = toxic[:COUNTED_TOXIC], clean[:COUNTED_CLEAN]
     pool = sorted({w for u in seen_t for w in u} | {w for u in seen_c for w in u})
     at = {w: i for i, w in enumerate(pool)}
-    room = max(200, min(2000, 12_000_000 // max(1, len(pool))))
-    cands = sorted((w for w in df_t if len(w) >= P), key=lambda w: (-odds(df_t[w], df_c[w]), w))[:room]
+    cands = sorted((w for w in df_t if len(w) >= P), key=lambda w: (-odds(df_t[w], df_c[w]), w))[:CANDIDATES]
     docs_t, docs_c = ([np.fromiter((at[w] for w in u), np.int64, len(u)) for u in docs] for docs in (seen_t, seen_c))
     share = len(seen_t) / (len(seen_t) + len(seen_c))
     picked: list[tuple[float, int, str, np.ndarray]] = []
@@ -277,8 +295,8 @@ def train(sample: list[tuple[set[str], int]]) -> Model:
 
     positive = {w for u in toxic for w in u if df_t[w] and odds(df_t[w], df_c[w]) > PECULIAR and w in at and close[at[w]] >= NEAR}
     positive |= set(chosen)
-    step = max(1, len(hard) // 3000)
-    negative = set(hard[:3000]) | set(hard[::step])
+    step = max(1, len(hard) // NEGATIVES)
+    negative = set(hard[:NEGATIVES]) | set(hard[::step])
     model = Model(zero, -1.0, 1.0, 0.0)
     everything = sorted({w for u, _ in sample for w in u})
     where = {w: i for i, w in enumerate(everything)}
@@ -314,14 +332,17 @@ def train(sample: list[tuple[set[str], int]]) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The training sample: (text, toxic) of rows that are not held out, the first TRAIN_DOCS by a hash of doc_id."""
+    """The training sample: (doc_id, text, toxic) of rows that are not held out, the first TRAIN_DOCS by a hash of doc_id, in
+    that order."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= TRAIN_CHARS)
     d = d.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     # Ids are drawn first, so only the sample's texts are moved.
     ids = d.select("doc_id").join(marks, F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic").distinct()
     drawn = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    return d.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = d.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # An id may stand on any number of rows.
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS)
 
 
 _cache: dict[int, dict[str, float]] = {}
@@ -345,7 +366,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, key: int) -> Iterat
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on the bounded sample of labelled documents."""
-    rows = sorted(labelled(docs, labels).toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows = labelled(docs, labels).toArrow().to_pylist()
     return train([(units(r["text"]), r["toxic"]) for r in rows])
 
 
