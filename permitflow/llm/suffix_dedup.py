@@ -15,7 +15,9 @@ steps, each exact:
    Burrows-Wheeler transform, string intervals are extended backward breadth-first: the common-prefix value of two
    neighbouring suffixes becomes known in the round of that value, as soon as the intervals of their tails part. The
    expansion stops at LEAST; suffixes still together share LEAST bytes, and the smallest document among them owns them.
-3. A key of more than HOT stretches is not put in one block: its strings are compared one by one by aggregation.
+3. A key of more than HOT stretches is not put in one block: its strings are compared one by one by aggregation. Where a
+   sample of the texts shows such a key, its stretches do not meet in one bucket before either: they are dealt out by
+   stretch in step 1, and the sides are compared by aggregation.
 
 Defined edge cases: a null text is empty; a null doc_id counts as larger than any; rows of equal doc_id never remove each
 other's bytes, and are told apart by a checksum of their text, so that each gets its own result; texts below LEAST bytes stay; an empty table gives an empty result; other columns are ignored.
@@ -37,6 +39,8 @@ from permitflow.llm.common import cut
 LEAST = 50
 K = 16
 HOT = 20_000
+#: One text in so many shows which keys are hot before they are dealt out, and so many of them are told apart at most.
+SAMPLE, HOT_MOST = 64, 1 << 20
 SIDE = (LEAST - K) // 2
 CHUNK = 2 << 20
 BLOCK = 1 << 20
@@ -135,34 +139,8 @@ def _reduced(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[least], e[~least]
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries of each chunk of documents by bucket; those to be removed whole at once go by bucket -1 - some number."""
-
-    def emit(ids: list[int], tags: list[int], bases: list[int], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        ends = np.cumsum([len(p) for p in parts])
-        start, n, key, s, left, right = stretches(data, ends)
-        text = np.searchsorted(ends, start, side="right")
-        e = np.zeros(len(start), _ENTRY)
-        bucket = (key % _U(buckets)).astype(np.int64)
-        e["h"], e["s"], e["doc"], e["n"], e["left"], e["right"] = (key >> _U(32)).astype(np.uint32), s, np.array(ids, np.int64)[text], n, left, right
-        e["tag"] = np.array(tags, np.uint32)[text]
-        e["start"] = start - np.concatenate([[0], ends])[text] + np.array(bases, np.int64)[text]
-        order = np.argsort(bucket, kind="stable")
-        e, bucket = e[order], bucket[order]
-        names, blobs, gone = [], [], []
-        at = np.nonzero(np.diff(bucket, prepend=-1))[0]
-        for a, b in zip(at, [*at[1:], len(e)], strict=True):
-            keep, rest = _reduced(e[a:b])
-            names.append(int(bucket[a]))
-            blobs.append(keep.tobytes())
-            gone.append(rest)
-        rest = np.concatenate(gone) if gone else e[:0]
-        if len(rest):
-            names.append(-1 - int(rest["s"][0] % _U(buckets)))
-            blobs.append(rest.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
+    """(ids, checksums, bases, bytes) of runs of texts of some CHUNK bytes, from (doc, text)."""
     ids: list[int] = []
     tags: list[int] = []
     bases: list[int] = []
@@ -184,18 +162,76 @@ def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
                 parts.append(part)
                 size += len(part)
                 if size >= CHUNK:
-                    yield from emit(ids, tags, bases, parts)
+                    yield ids, tags, bases, parts
                     ids, tags, bases, parts, size = [], [], [], [], 0
     if parts:
-        yield from emit(ids, tags, bases, parts)
+        yield ids, tags, bases, parts
+
+
+def _laid(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one behind the other, and where each ends."""
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of keys with two different stretches or more in a run of texts."""
+    for *_, parts in _chunks(batches):
+        _, _, key, s, _, _ = stretches(*_laid(parts))
+        pairs = np.unique(np.stack([key, s]), axis=1) if len(key) else np.zeros((2, 0), _U)
+        of, n = np.unique(pairs[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(of[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, tag, start, n, key) of a partition sorted by bucket: key null for what is removed whole, else still open."""
 
-    def rows(e: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
+def _hot_keys(d: DataFrame) -> np.ndarray:
+    """Keys, sorted, that one in SAMPLE texts shows to have more than HOT different stretches: HOT_MOST at most, the most
+    frequent. They are dealt out by stretch. A key that is missed costs one larger task and no result."""
+    some = d.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("doc", "text").mapInArrow(_frequent, "key long, n long")
+    n = some.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") * SAMPLE > HOT).orderBy(F.desc("n"), "key").limit(HOT_MOST)
+    return np.sort(n.select("key").toArrow().column(0).to_numpy().view(_U))
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray, spread: int) -> Iterator[pa.RecordBatch]:
+    """Entries of each chunk of documents by bucket: of its key, or, beyond ``buckets``, of a hot key's place and the
+    stretch. Those to be removed whole at once go by bucket -1 - some number."""
+    for ids, tags, bases, parts in _chunks(batches):
+        data, ends = _laid(parts)
+        start, n, key, s, left, right = stretches(data, ends)
+        text = np.searchsorted(ends, start, side="right")
+        e = np.zeros(len(start), _ENTRY)
+        bucket = (key % _U(buckets)).astype(np.int64)
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+            bucket = np.where(hot[place] == key, buckets + place * spread + (s % _U(spread)).astype(np.int64), bucket)
+        e["h"], e["s"], e["doc"], e["n"], e["left"], e["right"] = (key >> _U(32)).astype(np.uint32), s, np.array(ids, np.int64)[text], n, left, right
+        e["tag"] = np.array(tags, np.uint32)[text]
+        e["start"] = start - np.concatenate([[0], ends])[text] + np.array(bases, np.int64)[text]
+        order = np.argsort(bucket, kind="stable")
+        e, bucket = e[order], bucket[order]
+        names, blobs, gone = [], [], []
+        at = np.nonzero(np.diff(bucket, prepend=-1))[0]
+        for a, b in zip(at, [*at[1:], len(e)], strict=True):
+            keep, rest = _reduced(e[a:b])
+            names.append(int(bucket[a]))
+            blobs.append(keep.tobytes())
+            gone.append(rest)
+        rest = np.concatenate(gone) if gone else e[:0]
+        if len(rest):
+            names.append(-1 - int(rest["s"][0] % _U(buckets)))
+            blobs.append(rest.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+_FOUND = "doc long, tag long, start long, n int, key long, left int, right int"
+
+
+def _settled(batches: Iterator[pa.RecordBatch], buckets: int, spread: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, tag, start, n, key, left, right) of a partition sorted by bucket: key null for what is removed whole, else
+    still open. Hot keys have negative numbers, and their stretches come with the hashes of their sides."""
+
+    def rows(e: np.ndarray, key: np.ndarray | None, sides: bool = False) -> pa.RecordBatch:
         k = pa.nulls(len(e), pa.int64()) if key is None else pa.array(key)
-        return pa.RecordBatch.from_arrays([pa.array(e["doc"]), pa.array(e["tag"].astype(np.int64)), pa.array(e["start"].astype(np.int64)), pa.array(e["n"].astype(np.int32)), k], names=["doc", "tag", "start", "n", "key"])
+        side = [pa.array(e[x].astype(np.int32)) if sides else pa.nulls(len(e), pa.int32()) for x in ("left", "right")]
+        return pa.RecordBatch.from_arrays([pa.array(e["doc"]), pa.array(e["tag"].astype(np.int64)), pa.array(e["start"].astype(np.int64)), pa.array(e["n"].astype(np.int32)), k, *side], names=["doc", "tag", "start", "n", "key", "left", "right"])
 
     def settle(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         e = np.frombuffer(b"".join(blobs), _ENTRY)
@@ -205,6 +241,9 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, rest = _reduced(e)
         if len(rest):
             yield rows(rest, None)
+        if bucket >= buckets:
+            yield rows(keep, np.full(len(keep), -1 - (bucket - buckets) // spread, np.int64), sides=True)
+            return
         # Open: stretches that agree with one of another document on a side of their key's gram.
         open_ = np.zeros(len(keep), bool)
         for name in ("left", "right"):
@@ -234,6 +273,19 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(now, blobs)
 
 
+def _open_hot(rows: DataFrame) -> DataFrame:
+    """Of hot keys' stretches, those that agree with one of another document on a side: the test of :func:`_settled` by
+    aggregation, so that no task sees a whole key."""
+    hits = []
+    for side in ("left", "right"):
+        g = rows.filter(F.col(side) != 0).groupBy("key", side).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+        hits.append(g.select(F.col("key").alias(f"{side}_key"), F.col(side).alias(f"{side}_of"), F.lit(True).alias(f"{side}_hit")))
+    j = rows
+    for side, g in zip(("left", "right"), hits, strict=True):
+        j = j.join(g, (F.col("key") == F.col(f"{side}_key")) & (F.col(side) == F.col(f"{side}_of")), "left")
+    return j.filter("left_hit or right_hit").select("doc", "tag", "start", "n", "key")
+
+
 def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffix array of strings that each end in symbol 0 (bytes are symbols 1 to 256); ``left``: symbols before that 0.
     A suffix ends at its string's 0; equal suffixes keep the order of their strings."""
@@ -412,15 +464,18 @@ def spans(docs: DataFrame) -> DataFrame:
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, total // BUCKET_BYTES)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (64 * BUCKET_BYTES)))
-    entries = d.select("doc", "text").mapInArrow(lambda it: _bucketed(it, buckets), "bucket long, blob binary")
-    found = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settled, "doc long, tag long, start long, n int, key long")
+    hot_keys = _hot_keys(d)
+    entries = d.select("doc", "text").mapInArrow(lambda it: _bucketed(it, buckets, hot_keys, parts), "bucket long, blob binary")
+    found = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _settled(it, buckets, parts), _FOUND)
     found = cut(found)
-    open_ = found.filter("key is not null")
+    open_ = found.filter("key >= 0").select("doc", "tag", "start", "n", "key")
+    if len(hot_keys):
+        open_ = open_.unionByName(cut(_open_hot(found.filter("key < 0"))))
     by_doc = open_.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "key")).alias("open"))
     by_doc = cut(by_doc.mapInArrow(_packed_open, "doc long, tag long, open binary"))
     texts = _meet(d, by_doc, "inner")
     fetched = texts.select("doc", "tag", "text", "open").mapInArrow(_fetched, "key long, doc long, tag long, start long, data binary")
-    hot = cut(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), keep=1)
+    hot = cut(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"))
     gone = found.filter("key is null").select("doc", "tag", "start", "n")
     if not hot.isEmpty():
         fetched = cut(fetched)
