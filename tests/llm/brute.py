@@ -122,7 +122,6 @@ def token_pieces(texts, path, capacity=1024, end=2):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     out = []
     for text in texts:
         ids = t.encode(text or "", add_special_tokens=False).ids + [end]

@@ -7,8 +7,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from permitflow.llm import decontam, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_rollup, toxicity, url_filter
+from permitflow.llm import common, decontam, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_rollup, toxicity, url_filter
 from permitflow.llm.queries import tokenizer_path
 from tests.llm import brute
 
@@ -155,8 +156,18 @@ def test_decontamination(spark, docs, rows, odd, none):
     assert decontam.report(docs, b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_items_that_share_an_id(spark, docs, rows):
+    """Texts of unequal length under one id, and two without: each has windows of its own text, and they count as one item."""
+    w = brute.ITEM_WORDS.findall(rows[0][1].translate(brute.LOWER))
+    items = [(1, " ".join(w[:12])), (1, " ".join(w[:30])), (1, " ".join(w[5:40]) + " tail of another"), (None, " ".join(w[2:14])), (None, " ".join(w[:25]))]
+    got = {r["doc_id"]: r for r in decontam.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for r, x in zip(rows, brute.decontaminate([r[1] for r in rows], items), strict=True):
+        g = got[r[0]]
+        assert (g.n_words, g.n_hit, g.n_items, g.items_sha256, g.contaminated) == x, r[0]
+
+
 def test_decontamination_by_shuffle(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     items = [(1, " ".join(brute.ITEM_WORDS.findall(rows[0][1])[:15]))]
     got = {r["doc_id"]: r["n_hit"] for r in decontam.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert [got[r[0]] for r in rows] == [x[1] for x in brute.decontaminate([r[1] for r in rows], items)]
@@ -180,6 +191,21 @@ def test_packing(docs, rows, odd, none):
     assert packing.pack_documents(odd, path).count() == 6 and packing.pack_documents(none, path).count() == 0
 
 
+def test_ids_are_the_librarys():
+    """The cached encoder against the library with its defaults, on strings made to part them."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    encode, library = packing.encoder(path), Tokenizer.from_file(path)
+    rnd = random.Random(1)
+    parts = ["a", "b", "é", "the", " ", "  ", "\n", "\n\n", " \n", "\n ", "\xa0", "\u2028", "\u3000", "\t", "\r\n", "<|endoftext|>", "<|", "'s", "don't", "123", "x1", "!?", "🙂", "\x85", "\x1c", "a\u0328\u0301", "中文", "שלום", "-", "\u200b", "\ufeff", "\u180e", "ßé", "’s", "ª²", "plain prose of words"]
+    for _ in range(20_000):
+        s = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
+        assert np.frombuffer(encode(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids, s
+    assert np.frombuffer(encode("<|endoftext|>"), "<u4").tolist() == [50256]
+    assert np.frombuffer(encode("a\xa0b\n\xa0"), "<u4").tolist() == [64, 1849, 65, 44320]
+
+
 def test_packing_tree(spark):
     """Small chunks leave underfull bins that later rounds merge."""
     rnd = np.random.default_rng(2)
@@ -227,6 +253,19 @@ def test_suffix_dedup_other_ways(docs, rows, monkeypatch, name, value):
     assert got == want
 
 
+@pytest.mark.parametrize("blocks", [20_000, 1])
+def test_suffix_dedup_hot_keys(spark, docs, rows, monkeypatch, blocks):
+    """Keys that are dealt out by stretch, then compared in blocks or string by string."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    hot = suffix_dedup._hot_keys(suffix_dedup._rows(docs))
+    assert len(hot) > 5
+    monkeypatch.setattr(suffix_dedup, "HOT", blocks)
+    monkeypatch.setattr(suffix_dedup, "_hot_keys", lambda d: hot)
+    want = brute.repeats([(r[0], r[1]) for r in rows])
+    assert {r["doc_id"]: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, kept=False).collect()} == want
+
+
 def test_bounded_intervals_against_sorting():
     rnd = random.Random(9)
     for _ in range(40):
@@ -253,11 +292,59 @@ def test_token_rollup(spark, tmp_path, odd):
     assert not store.commit("a", a)
     assert store.commit("b", b) and not store.commit("b", b) and store.commit("c", a.limit(0))
     assert key(store.totals()) == [("s", "en", "v1", 1, 2), ("s", "en", "v2", 1, 4), ("t", "", "v1", 1, 1), ("t", "en", "v1", 1, 11)]
+    both = token_rollup.TokenRollup(spark, str(tmp_path / "store"))
+    x = spark.createDataFrame([(50, "s", "en", "v9", 3, "upsert", 0)], cols)
+    # Another writer commits between this one's reading and its rename: the number is taken, and it tries again.
+    publish, raced = store._publish, []
+
+    def late(*a, **k):
+        if not raced:
+            raced.append(both.commit("e", x))
+        return publish(*a, **k)
+
+    store._publish = late
+    assert store.commit("d", x.withColumn("n_tokens", F.lit(5))) and raced == [True]
+    store._publish = publish
+    assert [r for r in key(store.totals()) if r[2] == "v9"] == [("s", "en", "v9", 1, 5)] and store.batches() == ["a", "b", "c", "e", "d"]
+    assert store.compact() and store.batches() == ["a", "b", "c", "e", "d"] and not store.commit("a", a)
+    before = key(store.totals())
+    assert store.prune() == 5 and key(store.totals()) == before and store.batches() == ["a", "b", "c", "e", "d"]
+    assert store.commit("f", spark.createDataFrame([(50, None, None, "v9", None, "delete", 0)], cols)) and not any(r[2] == "v9" for r in key(store.totals()))
+    store.commit("b2", a.limit(0))
     live = store.live().groupBy("source", "lang", "version").agg({"copies": "sum", "n_tokens": "sum"}).count()
-    assert live == 4 and store.batches() == ["a", "b", "c"]
+    assert live == 4
     assert token_rollup.count_tokens(odd, tokenizer_path(), "v").count() == 6
 
 
+def test_token_query_against_a_count(spark):
+    from tokenizers import Tokenizer
+
+    from permitflow.llm.queries import op6_token_counts
+
+    sf = "/root/testdata/sf0.001"
+    t = Tokenizer.from_file(tokenizer_path())
+    marks = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        marks.setdefault(r["doc_id"], []).append(r)
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        m = marks.get(r["doc_id"], [])
+        if any(x["toxic"] == 1 for x in m):
+            continue
+        text = (r["text"] or "").strip(" \t\r\n") if m and min(x["quality"] for x in m) == 0 else r["text"] or ""
+        n, total = want.get((r["source"], r["lang"]), (0, 0))
+        want[r["source"], r["lang"]] = (n + 1, total + len(t.encode(text, add_special_tokens=False).ids))
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in op6_token_counts(spark, sf).collect()}
+    assert got == want
+
+
+def test_token_counts_of_odd_rows(spark, odd, none, docs):
+    c = token_rollup.count_tokens(odd, tokenizer_path(), "v").collect()
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in c) == [(-1, 0), (-1, 5), (-1, 5), (3, 3), (3, 5), (3, 5)]
+    assert token_rollup.count_tokens(none, tokenizer_path(), "v").count() == 0
+    assert token_rollup.count_tokens(docs, tokenizer_path(), "v").columns == ["doc_id", "source", "lang", "n_tokens", "version", "action", "seq"]
+
+
 URLS = [
     ("http://Blog.Example.ORG/es/7?x", "blog.example.org", "/es/7", "example.org/es/", "block"), ("https://a.example.org/en/17", "a.example.org", "/en/17", "example.org/en/1", "block"), ("https://a.example.org/en/2", "a.example.org", "/en/2", "org/", "allow"),
     ("x://notexample.org/es/1", "notexample.org", "/es/1", "org/", "allow"), ("http://com/de/", "com", "/de/", "com/de/", "block"), ("http://q.com/fr/a#b", "q.com", "/fr/a", "com/fr/", "allow"), ("http://q.net?a=/b", "q.net", "", None, None), ("no url", "", "", None, None),
