@@ -32,7 +32,7 @@ END = 2
 CHUNK = 50_000
 SLACK = 8
 #: Words that a worker keeps the ids of, and the longest one kept.
-CACHE, LONGEST = 400_000, 100
+CACHE, LONGEST = 300_000, 100
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
