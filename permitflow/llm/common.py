@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names it.
 
-    Only where the setting is absent (a bare test session) a folder below the warehouse is used.
+    Only in a session of one machine may the setting be absent; then a folder below the warehouse is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_lineage").rstrip("/")
 
 
