@@ -13,7 +13,7 @@ def cut(df: DataFrame) -> DataFrame:
     serves. The files go when the JVM ends."""
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not (spark.sparkContext.master + "[").startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = named or spark.conf.get("spark.sql.warehouse.dir") + "/_lineage"
     path = f"{base.rstrip('/')}/permits-{uuid.uuid4().hex}"
