@@ -5,6 +5,7 @@ python -m permitflow run --today 2026-01-31 [--pdf pages.json] [--api rows.json
     [--unmatched unmatched/] [--footer-table URL] [--dry-run]
 python -m permitflow migrate --state state/ --old-ids ids.txt
 python -m permitflow stats --today 2026-01-31 [--pdf ...] [--api ...] --streets ... --blocks ... --landmarks ... --out dataset/
+python -m permitflow capture --api-url URL --city N --out rows/
 python -m permitflow api-report --api rows.json --year 2026
 python -m permitflow street-index --points points.csv --areas areas.geojson --out index/ [--lines lines.geojson] [--legacy old.csv]
     [--aliases aliases.csv] [--report report.txt]
@@ -122,6 +123,11 @@ def make_stats(spark: SparkSession, o: argparse.Namespace) -> int:
     return 0
 
 
+def capture(spark: SparkSession, o: argparse.Namespace) -> int:
+    sinks.write_capture(permits.fetch_api(spark, o.api_url, o.city), o.out)
+    return 0
+
+
 def api_report(spark: SparkSession, o: argparse.Namespace) -> int:
     rows = cut(permits.read_api(spark, o.api))
     issued = rows.filter("licenseId is not null")
@@ -208,6 +214,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--dry-run", action="store_true")
     command("migrate", migrate, "state old-ids")
     command("stats", make_stats, "today streets blocks landmarks out", "pdf api aliases")
+    command("capture", capture, "api-url out").add_argument("--city", type=int, default=0)
     command("api-report", api_report, "api").add_argument("--year", type=int, required=True)
     for name, do, needed, optional in (("street-index", street_index, "points areas out", "lines legacy aliases report"), ("block-index", block_index, "parcels areas out", "report")):
         c = command(name, do, needed, optional)

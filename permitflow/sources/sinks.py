@@ -52,16 +52,26 @@ def inline_json(records: list[dict], page: str, marker: str) -> str:
     return page.replace(marker, json.dumps(records, ensure_ascii=False, separators=(",", ":"), default=str).replace("</", "<\\/"))
 
 
+def _framed(lines: DataFrame, first: str, last: str, path: str) -> None:
+    """One text file: ``first``, the lines (column ``value``) with commas between them, ``last``."""
+    numbered = lines.select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("i"), "value")
+    low = numbered.agg(F.min("i")).first()[0]
+    body = numbered.withColumn("value", F.when(F.col("i") == F.lit(low), F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+    frame = lines.sparkSession.createDataFrame([(0, 0, first), (2, 0, last)], "part int, i long, value string")
+    body.unionByName(frame).coalesce(1).sortWithinPartitions("part", "i").select("value").write.mode("overwrite").text(path)
+
+
 def write_geojson(points: DataFrame, path: str, x: str, y: str) -> None:
-    """One feature collection of points with the other columns as properties. Features are written in parallel; only the
-    file's first and last lines and the commas between are added, by position in one output file."""
+    """One feature collection of points with the other columns as properties, in one file, as readers of the format ask."""
     rest = [c for c in points.columns if c not in (x, y)]
     f = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates")).alias("geometry"), F.struct(*rest).alias("properties"))
-    lines = points.select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("i"), F.to_json(f).alias("value"))
-    first = lines.agg(F.min("i")).first()[0]
-    body = lines.withColumn("value", F.when(F.col("i") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), "value")))
-    frame = points.sparkSession.createDataFrame([(0, 0, '{"type":"FeatureCollection","features":['), (2, 0, "]}")], "part int, i long, value string")
-    body.unionByName(frame).coalesce(1).sortWithinPartitions("part", "i").select("value").write.mode("overwrite").text(path)
+    _framed(points.select(F.to_json(f).alias("value")), '{"type":"FeatureCollection","features":[', "]}", path)
+
+
+def write_capture(rows: DataFrame, path: str) -> None:
+    """Raw rows as one JSON list, as :func:`permitflow.sources.permits.read_api` reads it; nulls are left in."""
+    cols = [c for c in rows.columns if c != "ord"]
+    _framed(rows.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value")), "[", "]", path)
 
 
 def write_dataset(records: DataFrame, path: str, generated: str) -> None:

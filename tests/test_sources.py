@@ -274,7 +274,7 @@ def test_retry():
         api.request(lambda: (429, b""), sleep=waits.append)
 
 
-def test_paged_api(spark):
+def test_paged_api(spark, tmp_path):
     import http.server
     import threading
 
@@ -293,7 +293,10 @@ def test_paged_api(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(api.PagedApi)
     got = spark.read.format("paged_api").option("url", f"http://127.0.0.1:{server.server_port}/").option("delay", "0").load().collect()
+    live = permits.fetch_api(spark, f"http://127.0.0.1:{server.server_port}/", 4, delay=0)
+    sinks.write_capture(live, str(tmp_path / "raw"))
     server.shutdown()
+    assert sorted(r["requestId"] for r in permits.read_api(spark, str(tmp_path / "raw")).collect()) == [10, 11, 20, 21, 30, 31]
     assert sorted(json.loads(r["value"])["requestId"] for r in got) == [10, 11, 20, 21, 30, 31]
 
 
