@@ -31,6 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_lineage").rstrip("/")
 
 
+#: Rows of a batch that goes to a Python worker. Whole texts may be long, and a batch is held several times over.
+BATCH_ROWS = 2000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that no later stage depends on a live executor.
 
@@ -38,6 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
     :func:`drop`. Adaptive execution lowers the number of files of small shuffled results.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     path = f"{shared_dir(spark)}/permitflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

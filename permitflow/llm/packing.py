@@ -32,7 +32,7 @@ END = 2
 CHUNK = 50_000
 SLACK = 8
 #: Words that a worker keeps the ids of, and the longest one kept.
-CACHE, LONGEST = 300_000, 100
+CACHE, LONGEST = 200_000, 100
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -81,19 +81,22 @@ def encoder(path: str) -> Callable[[str], bytes]:
         return _encoders[path]
     import json
 
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     split = made.get("pre_tokenizer") or {}
     by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and made.get("normalizer") is None and made["model"].get("type") == "BPE"
     quick = _ranked(made) if by_word else None
     names = [t["content"] for t in made.get("added_tokens", [])]
+    del made
     cache: dict[str, bytes] = {}
+    library = []  # loaded when the first text needs it
 
     def packed(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not library:
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_file(path))
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of_unit(unit: str) -> bytes:
         if quick is None or not unit.isascii() and max(unit) >= _STABLE:
