@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitflow.llm import decontam, html_extract, line_dedup, packing, quality, simhash, suffix_dedup, token_rollup, toxicity, url_filter
-from permitflow.llm.common import shared_dir, table
+from permitflow.llm.common import cut, shared_dir, sized, table
 
 
 def tokenizer_path() -> str:
@@ -49,7 +49,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = token_rollup.count_tokens(docs, tokenizer_path(), version)
     store.commit("documents", changes)
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    poor = docs.join(marks.filter("coalesce(toxic, 0) <> 1 and quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.btrim("text", F.lit(" \t\r\n")))
+    ids = sized(cut(marks.filter("coalesce(toxic, 0) <> 1 and quality = 0").select("doc_id")))
+    poor = docs.join(ids, "doc_id", "left_semi").withColumn("text", F.btrim("text", F.lit(" \t\r\n")))
     revised = token_rollup.count_tokens(poor, tokenizer_path(), version, seq=1)
     store.commit("corrections", revised.unionByName(token_rollup.withdrawals(marks.filter("toxic = 1"), version, seq=1)))
     store.commit("documents", changes)  # a replay: skipped before it is computed
