@@ -33,7 +33,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays: the smallest doc_id."""
+    """One document of each group of near copies stays, the smallest doc_id: SimHash of five-word shingles, confirmed by
+    Jaccard 0.8 or more; links between fingerprints too far apart are found by shingles."""
     return near_copies.keep_one(docs)
 
 

@@ -1,17 +1,21 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Near copies by SimHash, confirmed by exact Jaccard similarity of word shingles; a prefix filter finds what is left.
 
-Two texts link if the sets of their ``SHINGLE``-word shingles have a Jaccard similarity of 4/5 or more. A fingerprint of
-64 votes cannot find these pairs by covering: at 4/5 they differ by some ten bits, and the tables double with each bit.
-Instead, put all shingles into any one order: of two sets that similar, each has a common shingle among its first
-n - ceil(4n/5) + 1, so sets that share none of these are no link, and no pair is missed, whatever the order. The order
-is by hash, with shingles seen in many places last, so that common passages make few candidates.
+Two texts link if the sets of their ``SHINGLE``-word shingles have a Jaccard similarity of 4/5 or more. Equal sets are one
+node, however many documents share it.
 
-Equal sets are one node, however many documents share it. A shared shingle's nodes are first compared with one of
-them, its centre; what that joins is not compared again, and then every pair of nodes that share a shingle and are not yet in one
-component is compared, but for those whose places of the shingle leave too little behind it (positional filtering). A
-pair's sizes come first, then its spreads: how many shingles lie in each part of the hashes'
-range, whose lesser values add up to no less than what the sets share. Only pairs that pass both are compared by text.
-Shingles and sets are told apart by 64-bit hashes.
+1. A node's 64-bit fingerprint takes the majority votes of its shingles' hashes. Nodes that meet in a covering table of
+   radius ``REACH`` (``simhash.py``) are compared, and what links is joined into components.
+2. Texts that similar may differ by more bits than tables can cover: at 4/5 by some ten of 64, and the tables double with
+   each bit. The rest is therefore sought by their shingles, among nodes that lie in different components only. Put all
+   shingles into any one order: of two sets that similar, each has a common shingle among its first n - ceil(4n/5) + 1, so
+   sets that share none of these are no link, and no pair is missed, whatever the order. The order is by hash, with
+   shingles seen in many places last, so that common passages make few candidates. A shared shingle's nodes are first
+   compared with one of them, its centre; then every pair of nodes that share a shingle and are not yet in one component is
+   compared, but for those whose places of the shingle leave too little behind it (positional filtering).
+
+A pair's sizes come first, then its spreads: how many shingles lie in each part of the hashes' range, whose lesser values
+add up to no less than what the sets share. Only pairs that pass both are compared by text. Shingles and sets are told apart
+by 64-bit hashes.
 
 Defined edge cases: a null text counts as empty, and empty texts are equal; a text of fewer words than a shingle has one
 shingle, all of it; rows with a null ``doc_id`` take part and get the smallest id of their component (null if there is
@@ -31,6 +35,8 @@ from permitflow.llm import simhash
 from permitflow.llm.common import cut, drop, sized
 
 SHINGLE = 5
+#: Bits by which fingerprints that surely share a covering table may differ; 2^(REACH + 1) - 1 tables.
+REACH = 5
 #: Hashes that are put last in the order, the most frequent ones; the order bounds work, not results.
 COMMON = 1 << 18
 _SLICE = 1 << 20
@@ -126,7 +132,7 @@ def _most(x: bytes, y: bytes, n: int, m: int) -> int:
 
 
 def _prefixes(often: np.ndarray, count: np.ndarray, k: int):
-    """(doc_id, node, n, prefix, spread) of (doc_id, text)."""
+    """(doc_id, node, n, fp, prefix, spread) of (doc_id, text)."""
 
     def prefix(h: np.ndarray) -> np.ndarray:
         n = len(h)
@@ -140,8 +146,10 @@ def _prefixes(often: np.ndarray, count: np.ndarray, k: int):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 s = [shingles(x.as_py(), k) for x in part.column(1)]
-                cols = [part.column(0), pa.array(list(map(_node, s)), pa.int64()), pa.array(list(map(len, s)), pa.int32()), _lists(list(map(prefix, s))), pa.array(list(map(_spread, s)), pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "n", "prefix", "spread"])
+                cols = [part.column(0), pa.array(list(map(_node, s)), pa.int64()), pa.array(list(map(len, s)), pa.int32())]
+                fp = np.fromiter(map(simhash.of_hashes, s), np.uint64, len(s)).view(np.int64)
+                cols += [pa.array(fp), _lists(list(map(prefix, s))), pa.array(list(map(_spread, s)), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "n", "fp", "prefix", "spread"])
 
     return run
 
@@ -207,8 +215,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> Da
     return out
 
 
+def by_fingerprint(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(a, b), a < b, of similar nodes that the covering tables bring together. A written table."""
+    nodes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp")))
+    return _confirmed(simhash.meetings(nodes, REACH), docs, rows, k)
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes in different components. ``label``: node, l; written."""
+    of = lambda c: sized(label).select(F.col("node").alias(c), F.col("l").alias(f"l_{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter("coalesce(l_a, a) <> coalesce(l_b, b)").select("a", "b")
+
+
 def links(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(a, b), a < b, of similar nodes, enough to join every component. ``rows``: doc_id, node, n, prefix, spread; written."""
+    """(a, b), a < b, of similar nodes, enough to join every component. ``rows``: doc_id, node, n, fp, prefix, spread; written."""
+    found = by_fingerprint(docs, rows, k)
+    joined = cut(simhash.components(found).withColumnRenamed("label", "l"))
     post = rows.select("node", "n", F.posexplode("prefix").alias("i", "h"))
     met = cut(post.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("c")).filter("low < high"))
     # Two places are one pair; only shingles with more go back to the postings.
@@ -221,7 +244,8 @@ def links(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     live = cut(own.join(centre, "h").select("h", "node", "n", "i", "low"))
     drop(own)
     star = live.filter("node <> low").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"))
-    near = _confirmed(met.filter("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(star), docs, rows, k)
+    two = met.filter("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    near = found.unionByName(_confirmed(_apart(two.unionByName(star), joined), docs, rows, k))
     drop(met)
     label = cut(simhash.components(near).withColumnRenamed("label", "l"))
     left = cut(live.join(sized(label), "node", "left").select("h", "node", "n", "i", "low", F.coalesce("l", "node").alias("l")))
@@ -238,7 +262,7 @@ def links(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 def clusters(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, component_id) per row; component_id is the smallest doc_id reachable over links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(docs.mapInArrow(_prefixes(*common(docs, k), k), "doc_id long, node long, n int, prefix array<long>, spread binary"))
+    rows = cut(docs.mapInArrow(_prefixes(*common(docs, k), k), "doc_id long, node long, n int, fp long, prefix array<long>, spread binary"))
     label = cut(simhash.components(links(docs, rows, k)).withColumnRenamed("label", "l"))
     of = rows.select("doc_id", "node").join(sized(label), "node", "left").select("doc_id", F.coalesce("l", "node").alias("l"))
     least = of.groupBy("l").agg(F.min("doc_id").alias("component_id"))

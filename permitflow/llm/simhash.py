@@ -65,6 +65,14 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of an array of 64-bit shingle hashes, each of which votes once; none: zero."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(h), _SLICE):
+        votes += np.unpackbits(h[at : at + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows).view(np.int64)
@@ -128,6 +136,22 @@ def links(nodes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def meetings(nodes: DataFrame, radius: int) -> DataFrame:
+    """Distinct (a, b), a < b, of the nodes that meet in a covering table of ``radius``. ``nodes``: node, fp; written.
+
+    Any two fingerprints within the radius share a bucket, and many beyond it do. A bucket's nodes are paired with its
+    smallest one only, so there are no more pairs than rows, however alike the fingerprints of a large group are: the pairs
+    are for callers that compare the nodes themselves and look elsewhere for links that have no such path.
+    """
+    masks = covering_masks(list(range(64)), radius)
+    table = F.array(*(F.lit(_signed(m)) for m in masks))
+    rows = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("mask"))
+    # Tables and keys in one hash: if two buckets have the same, they share a centre, which costs comparisons only.
+    rows = rows.select("node", F.xxhash64("mask", F.col("fp").bitwiseAND(F.get(table, F.col("mask")))).alias("bucket"))
+    centre = cut(rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket", "low"))
+    return rows.join(sized(centre), "bucket").filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge: the smallest node reachable. Alternating large and small stars.
 

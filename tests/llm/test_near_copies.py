@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from permitflow.llm import near_copies, simhash
+from permitflow.llm.common import cut
 from tests.llm import brute
 
 
@@ -58,3 +60,42 @@ def test_stage_on_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     out = corpus_pipeline.simhash_stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == 0
+
+
+def test_fingerprints_within_reach_meet(spark):
+    r = random.Random(3)
+    rows, want = [], set()
+    for i in range(0, 400, 2):
+        fp = r.getrandbits(64)
+        other = fp
+        for b in r.sample(range(64), r.randrange(0, near_copies.REACH + 1)):
+            other ^= 1 << b
+        rows += [(i, simhash._signed(fp)), (i + 1, simhash._signed(other))]
+        want.add((i, i + 1))
+    nodes = spark.createDataFrame(rows, "node long, fp long")
+    got = {tuple(x) for x in simhash.meetings(cut(nodes), near_copies.REACH).collect()}
+    assert want <= got and all(a < b for a, b in got)
+
+
+def test_near_copies_are_found_by_fingerprint(spark):
+    """Each text has one copy with a word changed; those within reach are found before any shingle is looked up."""
+    r = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = [f"w{r.randrange(4000)}" for _ in range(r.randrange(100, 600))]
+        copy = list(base)
+        copy[r.randrange(len(copy))] = "other"
+        texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = cut(docs.mapInArrow(near_copies._prefixes(*near_copies.common(docs, 5), 5), "doc_id long, node long, n int, fp long, prefix array<long>, spread binary"))
+    of = {x["doc_id"]: x for x in rows.collect()}
+    want = set()
+    for i in range(0, len(texts), 2):
+        a, b = of[i], of[i + 1]
+        x, y = shingle_set(texts[i]), shingle_set(texts[i + 1])
+        if (a["fp"] ^ b["fp"]).bit_count() <= near_copies.REACH and 5 * len(x & y) >= 4 * len(x | y):
+            want.add((min(a["node"], b["node"]), max(a["node"], b["node"])))
+    got = {tuple(x) for x in near_copies.by_fingerprint(docs, rows, 5).collect()}
+    alike = {tuple(sorted((of[i]["node"], of[i + 1]["node"]))) for i in range(0, len(texts), 2)}
+    assert len(want) >= 20 and want <= got <= alike
+    assert all(simhash.of_hashes(near_copies.shingles(t)) % (1 << 64) == of[i]["fp"] % (1 << 64) for i, t in enumerate(texts))
