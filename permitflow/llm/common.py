@@ -35,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = 2000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on, batches of BATCH_ROWS at most go to Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that no later stage depends on a live executor.
 
@@ -42,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
     :func:`drop`. Adaptive execution lowers the number of files of small shuffled results.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     path = f"{shared_dir(spark)}/permitflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

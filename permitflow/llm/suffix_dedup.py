@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitflow.llm.common import cut
+from permitflow.llm.common import cut, small_batches
 
 LEAST = 50
 K = 16
@@ -42,8 +42,10 @@ HOT = 20_000
 #: One text in so many shows which keys are hot before they are dealt out, and so many of them are told apart at most.
 SAMPLE, HOT_MOST = 64, 1 << 20
 SIDE = (LEAST - K) // 2
-CHUNK = 2 << 20
-BLOCK = 1 << 20
+#: Bytes of text that are hashed at once, and of stretches that are compared at once: they bound a worker's memory and
+#: change no result. A block takes whole keys.
+CHUNK = 1 << 20
+BLOCK = 1 << 18
 BUCKET_BYTES = 2 << 20
 BUCKETS = 1024
 BROADCAST_BYTES = 32 << 20
@@ -129,14 +131,14 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, n, h[gram], s, left, right
 
 
-def _reduced(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entries of each stretch's smallest document, entries of all others). Sorted by key, stretch, document, start."""
-    e = e[np.lexsort((e["start"], e["tag"], e["doc"], e["s"], e["h"]))]
+def _reduced(e: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket and stretch, and which entries in that order are of their stretch's smallest document."""
+    order = np.lexsort((e["s"], e["h"], bucket))
+    s, h, of, doc = e["s"][order], e["h"][order], bucket[order], e["doc"][order]
     first = np.ones(len(e), bool)
-    first[1:] = (e["h"][1:] != e["h"][:-1]) | (e["s"][1:] != e["s"][:-1])
-    low = e["doc"][np.nonzero(first)[0]][np.cumsum(first) - 1]
-    least = e["doc"] == low
-    return e[least], e[~least]
+    first[1:] = (s[1:] != s[:-1]) | (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    low = np.minimum.reduceat(doc, np.nonzero(first)[0])[np.cumsum(first) - 1]
+    return order, doc == low
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
@@ -205,20 +207,18 @@ def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray,
         e["h"], e["s"], e["doc"], e["n"], e["left"], e["right"] = (key >> _U(32)).astype(np.uint32), s, np.array(ids, np.int64)[text], n, left, right
         e["tag"] = np.array(tags, np.uint32)[text]
         e["start"] = start - np.concatenate([[0], ends])[text] + np.array(bases, np.int64)[text]
-        order = np.argsort(bucket, kind="stable")
-        e, bucket = e[order], bucket[order]
-        names, blobs, gone = [], [], []
-        at = np.nonzero(np.diff(bucket, prepend=-1))[0]
-        for a, b in zip(at, [*at[1:], len(e)], strict=True):
-            keep, rest = _reduced(e[a:b])
-            names.append(int(bucket[a]))
-            blobs.append(keep.tobytes())
-            gone.append(rest)
-        rest = np.concatenate(gone) if gone else e[:0]
+        if not len(e):
+            continue
+        order, least = _reduced(e, bucket)
+        keep, rest = e[order[least]], e[order[~least]]
+        of = bucket[order[least]]
+        at = np.nonzero(np.diff(of, prepend=-1))[0]
+        names, ends_at = of[at], np.append(at, len(keep))
         if len(rest):
-            names.append(-1 - int(rest["s"][0] % _U(buckets)))
-            blobs.append(rest.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            names, ends_at = np.append(names, -1 - int(rest["s"][0] % _U(buckets))), np.append(ends_at, len(e))
+        offsets = pa.py_buffer((ends_at * _ENTRY.itemsize).astype(np.int32))
+        blobs = pa.Array.from_buffers(pa.binary(), len(names), [None, offsets, pa.py_buffer(keep.tobytes() + rest.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(names), blobs], names=["bucket", "blob"])
 
 
 _FOUND = "doc long, tag long, start long, n int, key long, left int, right int"
@@ -238,7 +238,8 @@ def _settled(batches: Iterator[pa.RecordBatch], buckets: int, spread: int) -> It
         if bucket < 0:
             yield rows(e, None)
             return
-        keep, rest = _reduced(e)
+        order, least = _reduced(e, np.zeros(len(e), np.int64))
+        keep, rest = e[order[least]], e[order[~least]]
         if len(rest):
             yield rows(rest, None)
         if bucket >= buckets:
@@ -286,27 +287,29 @@ def _open_hot(rows: DataFrame) -> DataFrame:
     return j.filter("left_hit or right_hit").select("doc", "tag", "start", "n", "key")
 
 
-def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+def suffix_order(text: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
     """Suffix array of strings that each end in symbol 0 (bytes are symbols 1 to 256); ``left``: symbols before that 0.
-    A suffix ends at its string's 0; equal suffixes keep the order of their strings."""
+    A suffix ends at its string's 0; suffixes that agree on ``least`` symbols or to their ends come in any order."""
     n = len(text)
     depth = 7  # symbols of 9 bits in one key
     key = np.zeros(n, np.int64)
     padded = np.concatenate([text.astype(np.int64), np.zeros(depth, np.int64)])
     for i in range(depth):
         key = (key << 9) | np.where(left > i, padded[i : i + n], 0)
-    order = np.argsort(key, kind="stable")
-    while True:
-        new = np.ones(n, np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
+    order = np.argsort(key)
+    while depth < least and depth <= left.max(initial=0):
+        in_order = key[order]
+        new = np.ones(n, bool)
+        np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+        if new.all():
+            break
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        if depth > left.max(initial=0) or new.all():
-            return order
-        second = np.where(left > depth, rank[np.minimum(np.arange(n) + depth, n - 1)], 0)
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        key = rank * (n + 1)
+        key[:-depth] += np.where(left[:-depth] > depth, rank[depth:], 0)
+        order = np.argsort(key)
         depth *= 2
+    return order
 
 
 def owners(strings: list[bytes], docs: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +323,7 @@ def owners(strings: list[bytes], docs: np.ndarray, least: int = LEAST) -> tuple[
     body[offsets[1:] - 1] = False
     text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
     left = np.repeat(offsets[1:] - 1, sizes + 1) - np.arange(n)
-    sa = suffix_order(text, left)
+    sa = suffix_order(text, left, least)
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
     # bwt[i] = text[sa[i] - 1]; the suffix at rank r is the backward extension of the one at tail[r] by its first symbol.
@@ -460,6 +463,7 @@ def _meet(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc, tag, spans) of documents that lose bytes, with the runs packed."""
+    small_batches(docs.sparkSession)
     d = _rows(docs)
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, total // BUCKET_BYTES)

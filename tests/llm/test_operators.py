@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -436,3 +438,24 @@ def test_toxicity_learns_and_tolerates_gaps(spark, odd):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert toxicity.toxicity(odd, lb.limit(0)).count() == 6
     assert {r["score"] for r in toxicity.toxicity(odd, lb.limit(0)).collect()} != {None}
+
+
+def test_suffix_dedup_memory_of_a_worker():
+    """Both steps that hold many arrays at once, on more text than they take at a time."""
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    strings = [t[i : i + 70].encode() for t in texts[:800] for i in range(0, 1400, 70)]
+    open_ = pa.RecordBatch.from_arrays([pa.array(x) for x in (range(len(strings)), range(len(strings)), [0] * len(strings), [0] * len(strings), strings)], names=["key", "doc", "tag", "start", "data"])
+
+    def peak(rows):
+        tracemalloc.start()
+        for _ in rows:
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    assert peak(suffix_dedup._bucketed(iter([batch]), 1024, np.zeros(0, np.uint64), 4)) < 120
+    assert peak(suffix_dedup._compared(iter([open_]))) < 50
