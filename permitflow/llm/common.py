@@ -40,8 +40,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that no later stage depends on a live executor.
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that no later stage depends on a live executor. With ``by``,
+    a column of few values, a folder for each: a filter on it reads nothing else.
 
     Parquet is compressed and columnar, unlike an RDD checkpoint. The files go when the JVM ends, or earlier through
     :func:`drop`. Adaptive execution lowers the number of files of small shuffled results.
@@ -49,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/permitflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
