@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,24 +67,25 @@ LINKS_MOST = 0.5
 STOPS_LEAST = 0.2
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     """A run of text, the characters of it in links, and where it stands."""
 
     text: str
     links: int
     article: bool
-    within: tuple[int, ...]  # containers around it
+    box: int  # the innermost container around it, or -1
     heading: bool
 
 
-@dataclass
+@dataclass(slots=True)
 class Container:
-    """An element that may hold no main text: ``named`` by an attribute, else by its kind; ``article``: one is inside."""
+    """An element that may hold no main text: ``named`` by an attribute, else by its kind; ``article``: one is inside.
+    ``outer`` is the next container around it, which has a smaller number, or -1."""
 
     named: bool
+    outer: int
     article: bool = False
-    around: tuple[int, ...] = field(default=())
 
 
 def _names(attrs: str) -> list[str]:
@@ -109,7 +111,8 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
     boxes: list[Container] = []
     text: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # name, container number or -1, is an article
-    around: tuple[int, ...] = ()
+    open_tags: Counter[str] = Counter()  # a stray end tag must not cost a look through the stack
+    inner = -1  # the innermost open container
     article = links = in_link = 0
 
     def close() -> None:
@@ -118,7 +121,7 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
             t = " ".join("".join(text).split())
             if t:
                 heading = any(name in ("h1", "h2", "h3", "h4", "h5", "h6") for name, *_ in stack[-3:])
-                out.append(Block(t, min(links, len(t)), article > 0, around, heading))
+                out.append(Block(t, min(links, len(t)), article > 0, inner, heading))
             text.clear()
         links = 0
 
@@ -131,11 +134,12 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
                 links += len(" ".join(t.split()))
 
     def pop(to: int) -> None:
-        nonlocal around, article, in_link
+        nonlocal inner, article, in_link
         while len(stack) > to:
             name, box, art = stack.pop()
+            open_tags[name] -= 1
             if box >= 0:
-                around = around[:-1]
+                inner = boxes[box].outer
             article -= art
             in_link -= name == "a"
 
@@ -156,9 +160,8 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
         if is_block:
             close()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if k >= 0:
-                pop(k)
+            if open_tags[name] > 0:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name == "br":
             text.append(" ")
@@ -179,25 +182,36 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
         box = -1
         if by_kind or by_name:
             box = len(boxes)
-            boxes.append(Container(not by_kind, around=around))
-            around = (*around, box)
-        if art and not by_name:
-            for b in around:
-                boxes[b].article = True
+            boxes.append(Container(not by_kind, inner))
+            inner = box
+        if art and not by_name and inner >= 0:
+            boxes[inner].article = True
         stack.append((name, box, art))
+        open_tags[name] += 1
         article += art
         in_link += name == "a"
     close()
+    for b in reversed(boxes):  # what is in a container is in those around it
+        if b.article and b.outer >= 0:
+            boxes[b.outer].article = True
     return out, boxes
 
 
+def outside(found: list[Block], boxes: list[Container], harmless: list[bool]) -> list[Block]:
+    """The blocks that stand in ``harmless`` containers alone, if in any."""
+    clear: list[bool] = []
+    for b, fine in zip(boxes, harmless, strict=True):
+        clear.append(fine and (b.outer < 0 or clear[b.outer]))
+    return [b for b in found if b.box < 0 or clear[b.box]]
+
+
 def readable(found: list[Block], boxes: list[Container]) -> list[Block]:
     """The blocks outside of containers."""
-    free = [b for b in found if not b.within]
+    free = [b for b in found if b.box < 0]
     if any(b.article or _mark(b) > 0 for b in free) or not any(b.article for b in found):
         return free
     # Neither an article nor prose is left: those around an article are no containers.
-    return [b for b in found if all(boxes[w].article for w in b.within)]
+    return outside(found, boxes, [b.article for b in boxes])
 
 
 def _mark(b: Block) -> int:
@@ -263,7 +277,7 @@ def main_blocks(page: str) -> list[str]:
     keep = decide(free)
     if not any(keep):
         # Nothing but boilerplate outside: the names of containers may have been misread, their kinds were not.
-        free = [b for b in found if not any(not boxes[w].named for w in b.within)]
+        free = outside(found, boxes, [b.named for b in boxes])
         keep = decide(free)
     return [b.text for b, k in zip(free, keep, strict=True) if k]
 
