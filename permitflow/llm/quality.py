@@ -5,6 +5,11 @@ of languages and of the corpus. A group's quartiles are drawn towards its langua
 PULL documents' weight, so a small group borrows and a large one speaks for itself. Fences come from these quartiles,
 replace fixed cutoffs, and are joined back to the documents.
 
+A fence stands SPREADS spreads beyond a quartile. A spread is the distance of the quartiles, or what chance alone makes of a
+count if that is more: every measure is a count by a size, and a text of the group's median size, or of its own if that is
+less, differs from the quartile's count by the root of that count, and by one event at least. So most documents may lack a
+thing altogether without a fixed cutoff for the rest, and a short text may hold one or two.
+
 Defined edge cases: a null text has no words and fails the base rule like an empty one; null ``lang`` or ``source``
 form a group of their own; repeated rows are measured and judged each by itself; an empty table gives an empty result;
 extra columns never enter, since only the named columns are read.
@@ -26,14 +31,15 @@ from permitflow.llm.common import cut
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
-#: measure -> (side, least spread). A fence stands 6 spreads beyond the quartile. The floor on a spread keeps groups
-#: whose documents are nearly alike from rejecting each slight deviation.
+#: measure -> (side, size, events in a row). A measure is a count by a size; words of repeated windows come six at a time.
 MEASURES = {
-    "mean_word": ("both", 0.5),
-    "symbol_ratio": ("high", 0.01),
-    "dup_line_ratio": ("high", 0.05),
-    "repeat_ratio": ("high", 0.05),
+    "mean_word": ("both", "n_words", 1),
+    "symbol_ratio": ("high", "word_chars", 1),
+    "dup_line_ratio": ("high", "n_lines", 1),
+    "repeat_ratio": ("high", "n_words", 6),
 }
+#: What is drawn from each group's sketches: name -> (column, share of documents below).
+DRAWN = {f"{k}_{c}": (c, p) for c in MEASURES for k, p in (("q1", 0.25), ("q3", 0.75))} | {f"mid_{c}": (c, 0.5) for c in ("n_words", "word_chars", "n_lines")}
 SPREADS = 6.0
 #: Documents that the wider group's quartile counts for when it is averaged with a group's own.
 PULL = 10
@@ -122,61 +128,64 @@ def metrics(docs: DataFrame, carry: str = "") -> DataFrame:
     })
 
 
-def _fences(m: DataFrame) -> DataFrame:
-    """One row per (lang, source): lo_/hi_ of each measure. The number of groups is that of the sources times languages.
+def thresholds(m: DataFrame) -> DataFrame:
+    """One row per (lang, source) with the columns of DRAWN. The number of groups is that of the sources times languages.
 
     Sketches are built once per group and merged upwards, so the corpus is aggregated once.
     """
-    names = list(MEASURES)
+    names = sorted({c for c, _ in DRAWN.values()})
     base = m.filter(~F.col("base_failed"))
     by_group = base.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in names)
+        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_K)).alias(c) for c in names)
     )
     by_group = cut(by_group)
     merged = [F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(f"l_{c}") for c in names]
     by_lang = by_group.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("l_n"), *merged)
     q = lambda c, p: F.kll_sketch_get_quantile_double(c, F.lit(p))
-    # The whole corpus's quartiles: one row of eight numbers.
+    # The whole corpus's quantiles: one row of eleven numbers.
     whole = by_group.agg(F.sum("n").alias("n"), *merged).filter("n > 0")
-    whole = whole.select(*(q(F.col(f"l_{c}"), p).alias(f"{k}_{c}") for c in names for k, p in (("q1", 0.25), ("q3", 0.75)))).first()
+    whole = whole.select(*(q(F.col(f"l_{c}"), p).alias(k) for k, (c, p) in DRAWN.items())).first()
 
-    def drawn(c: str, k: str, p: float) -> Column:
-        to = F.lit(whole[f"{k}_{c}"] if whole else None).cast("double")
+    def drawn(k: str, c: str, p: float) -> Column:
+        to = F.lit(whole[k] if whole else None).cast("double")
         to = (F.col("l_n") * q(F.col(f"l_{c}"), p) + PULL * to) / (F.col("l_n") + PULL)
         return (F.col("n") * q(F.col(c), p) + PULL * to) / (F.col("n") + PULL)
 
     g = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-    g = g.select("lang", "source", *(drawn(c, k, p).alias(f"{k}_{c}") for c in names for k, p in (("q1", 0.25), ("q3", 0.75))))
-    out = ["lang", "source"]
-    for c, (side, floor) in MEASURES.items():
-        spread = F.greatest(F.col(f"q3_{c}") - F.col(f"q1_{c}"), F.lit(floor))
-        out.append((F.col(f"q3_{c}") + SPREADS * spread).alias(f"hi_{c}"))
-        if side == "both":
-            out.append((F.col(f"q1_{c}") - SPREADS * spread).alias(f"lo_{c}"))
-    return g.select(*out)
+    return g.select("lang", "source", *(drawn(k, c, p).alias(k) for k, (c, p) in DRAWN.items()))
+
+
+def fences(c: str) -> tuple[Column | None, Column]:
+    """Lowest and highest value of measure ``c`` for a document joined with its group's thresholds."""
+    side, size, lump = MEASURES[c]
+    n = F.greatest(F.least(F.col(size).cast("double"), F.col(f"mid_{size}")), F.lit(1.0))
+    by_chance = lump * F.sqrt(F.col(f"q3_{c}") * n / lump + 1) / n
+    reach = SPREADS * F.greatest(F.col(f"q3_{c}") - F.col(f"q1_{c}"), by_chance)
+    return F.col(f"q1_{c}") - reach if side == "both" else None, F.col(f"q3_{c}") + reach
 
 
-def judge(m: DataFrame, fences: DataFrame) -> DataFrame:
-    """Adds ``kept`` to measured rows: false where the base rule failed or a measure lies beyond its group's fence.
+def judge(m: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Adds ``kept`` to measured rows: false where the base rule failed or a measure lies beyond its fence.
 
-    ``fences`` is a written table of one row per group, so Catalyst knows its size: it broadcasts a small one by itself
+    ``drawn`` is a written table of one row per group, so Catalyst knows its size: it broadcasts a small one by itself
     and shuffles a large one.
     """
-    f = fences.withColumnRenamed("lang", "f_lang").withColumnRenamed("source", "f_source")
+    f = drawn.withColumnRenamed("lang", "f_lang").withColumnRenamed("source", "f_source")
     # Null-safe equality is an equi-join key in Spark.
     j = m.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     ok = ~F.col("base_failed")
-    for c, (side, _) in MEASURES.items():
-        ok = ok & (F.col(c) <= F.coalesce(F.col(f"hi_{c}"), F.lit(float("inf"))))
-        if side == "both":
-            ok = ok & (F.col(c) >= F.coalesce(F.col(f"lo_{c}"), F.lit(float("-inf"))))
-    return j.withColumn("kept", ok).drop("f_lang", "f_source", *(x for c in MEASURES for x in (f"hi_{c}", f"lo_{c}")))
+    for c in MEASURES:
+        low, high = fences(c)
+        ok = ok & F.coalesce(F.col(c) <= high, F.lit(True))
+        if low is not None:
+            ok = ok & F.coalesce(F.col(c) >= low, F.lit(True))
+    return j.withColumn("kept", ok).drop("f_lang", "f_source", *DRAWN)
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Measures and verdict per document row."""
     m = cut(metrics(docs))
-    return judge(m, cut(_fences(m)))
+    return judge(m, cut(thresholds(m)))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -185,6 +194,6 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     The first pass gathers the sketches; the second measures again in the pass that filters, which costs less than
     shuffling every text to meet its verdict. The input row travels as one struct, so its column names cannot clash.
     """
-    fences = cut(_fences(metrics(docs)))
+    drawn = cut(thresholds(metrics(docs)))
     m = metrics(docs.select("doc_id", "lang", "source", "text", F.struct(*docs.columns).alias("row")), carry="row")
-    return judge(m, fences).filter("kept").select("row.*")
+    return judge(m, drawn).filter("kept").select("row.*")

@@ -62,15 +62,57 @@ def test_measures_and_fences_by_hand(spark, odd, texts):
     got = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
     for r in m:
         ok = not r["base_failed"]
-        for c, (side, floor) in quality.MEASURES.items():
+        for c, (side, size, lump) in quality.MEASURES.items():
             if r["base_failed"]:
                 break
             low, high = drawn(r, c, 0.25), drawn(r, c, 0.75)
-            spread = max(high - low, floor)
-            ok = ok and r[c] <= high + quality.SPREADS * spread and (side != "both" or r[c] >= low - quality.SPREADS * spread)
+            n = max(1.0, min(r[size], drawn(r, size, 0.5)))
+            reach = quality.SPREADS * max(high - low, lump * math.sqrt(high * n / lump + 1) / n)
+            ok = ok and r[c] <= high + reach and (side != "both" or r[c] >= low - reach)
         assert got[r["doc_id"]] == ok, r["doc_id"]
 
 
+def test_a_group_moves_its_own_fence(spark):
+    """Symbols in most texts of one source raise what that source may hold, and nobody else's threshold."""
+    rng = random.Random(4)
+
+    def text(symbols):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(120)]
+        return " ".join(w + "#" * (i < symbols) for i, w in enumerate(words))
+
+    plain = [(i, text(0), "en", f"s{i % 8}", 0) for i in range(800)]
+    planted = [(d, text(rng.randint(20, 60)) if s == "s3" else t, lang, s, n) for d, t, lang, s, n in plain]
+    drawn = []
+    for rows in (plain, planted):
+        docs = spark.createDataFrame(rows, DOCS)
+        drawn.append({r["source"]: r for r in quality.thresholds(quality.metrics(docs)).collect()})
+    assert drawn[0].keys() == drawn[1].keys()
+    for s, before in drawn[0].items():
+        after = drawn[1][s]
+        assert (after["q3_symbol_ratio"] > 0.05 and after["q3_symbol_ratio"] > after["q1_symbol_ratio"]) if s == "s3" else after["q3_symbol_ratio"] == before["q3_symbol_ratio"] == 0
+    # A text with forty symbols is usual in s3 and rejected elsewhere.
+    extra = [(9000 + k, text(40), "en", f"s{k}", 0) for k in range(8)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(planted + extra, DOCS)).filter("doc_id >= 9000").collect()}
+    assert got == {9000 + k: k == 3 for k in range(8)}
+
+
+@pytest.mark.parametrize("page", ["<form>x " * (1 << 17), "<b>x" * 131_072 + "</i>" * 131_072, "<div class=sidebar><article>x " * 35_000, "<li><b>x" * 120_000], ids=["forms", "stray ends", "nested", "items"])
+def test_a_million_characters_of_odd_markup(page):
+    """Time and memory in proportion: unclosed elements, end tags without a start, and containers in containers."""
+    import time
+    import tracemalloc
+
+    assert len(page) > 900_000
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 5
+    tracemalloc.start()
+    html_extract.extract(page[: len(page) // 4])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+
+
 def test_lines_of_odd_rows(odd, texts):
     out = line_dedup.dedup_lines(odd, 1)
     assert out.columns == odd.columns
