@@ -148,13 +148,15 @@ def api_report(spark: SparkSession, o: argparse.Namespace) -> int:
     return 0
 
 
-def _areas(spark: SparkSession, path: str, name: str) -> DataFrame:
-    a = tables.layer(tables.read_geojson(spark, path, f"`{name}`:string"))
-    return a.filter("kind in ('Polygon', 'MultiPolygon')").select(T.clean_text(name).alias("neighborhood"), "rings")
+def _areas(spark: SparkSession, path: str, name: str, crs: str | None, target: str) -> DataFrame:
+    """Areas of a layer in the system of the layer that they are joined with."""
+    a, own = tables.layer(tables.read_geojson(spark, path, f"`{name}`:string"), crs)
+    a = projection.reproject_rings(a.filter("kind in ('Polygon', 'MultiPolygon')"), own, target)
+    return a.select(T.clean_text(name).alias("neighborhood"), "rings")
 
 
 def street_index(spark: SparkSession, o: argparse.Namespace) -> int:
-    areas = _areas(spark, o.areas, o.area_field)
+    areas = _areas(spark, o.areas, o.area_field, o.areas_crs, o.points_crs)
     head = spark.read.csv(o.points, header=True).columns
     pick = lambda guesses: tables.guess_column(head, guesses)
     raw = tables.read_csv(spark, o.points, ", ".join(f"`{c}` string" for c in head), None)
@@ -162,8 +164,11 @@ def street_index(spark: SparkSession, o: argparse.Namespace) -> int:
     p = p.select(F.col("ord").alias("id"), "x", "y", F.col(pick(["street", "street_name"])).alias("street"), F.col(pick(["house", "house_no"])).alias("house"))
     lines = legacy = aliases = None
     if o.lines:
-        g = tables.layer(tables.read_geojson(spark, o.lines, "street:string"))
-        lines = g.filter("kind in ('LineString', 'MultiLineString')").select("street", F.explode("rings").alias("points"))
+        g, own = tables.layer(tables.read_geojson(spark, o.lines, "street:string"), o.lines_crs)
+        g = projection.reproject_rings(g, own, o.points_crs)
+        # An area's boundary runs along streets like a line does.
+        closed = F.when(F.col("kind").endswith("Polygon"), F.transform("rings", lambda r: F.when(r[0] != F.element_at(r, -1), F.concat(r, F.slice(r, 1, 1))).otherwise(r))).otherwise(F.col("rings"))
+        lines = g.withColumn("rings", closed).select("street", F.explode("rings").alias("points"))
     if o.legacy:
         legacy = tables.read_csv(spark, o.legacy, "street string, neighborhood string", None)
     if o.aliases:
@@ -183,8 +188,8 @@ def street_index(spark: SparkSession, o: argparse.Namespace) -> int:
 
 
 def block_index(spark: SparkSession, o: argparse.Namespace) -> int:
-    areas = _areas(spark, o.areas, o.area_field)
-    g = tables.layer(tables.read_geojson(spark, o.parcels, "block:string,parcel:string"))
+    g, own = tables.layer(tables.read_geojson(spark, o.parcels, "block:string,parcel:string"), o.parcels_crs)
+    areas = _areas(spark, o.areas, o.area_field, o.areas_crs, own)
     parcels = cut(g.select("block", "parcel", "rings").withColumn("id", F.xxhash64("block", "parcel", "rings")))
     shared = spatial.overlay(parcels.select("id", "rings"), areas, "id", "neighborhood", o.cell)
     rows = cut(index.block_index(shared.join(parcels.select("id", "block", "parcel").distinct(), "id")))
@@ -216,10 +221,12 @@ def parser() -> argparse.ArgumentParser:
     command("stats", make_stats, "today streets blocks landmarks out", "pdf api aliases")
     command("capture", capture, "api-url out").add_argument("--city", type=int, default=0)
     command("api-report", api_report, "api").add_argument("--year", type=int, required=True)
-    for name, do, needed, optional in (("street-index", street_index, "points areas out", "lines legacy aliases report"), ("block-index", block_index, "parcels areas out", "report")):
+    for name, do, needed, optional in (("street-index", street_index, "points areas out", "lines legacy aliases report areas-crs lines-crs"), ("block-index", block_index, "parcels areas out", "report areas-crs parcels-crs")):
         c = command(name, do, needed, optional)
         c.add_argument("--area-field", default="name")
         c.add_argument("--cell", type=float, default=500.0)
+        if name == "street-index":
+            c.add_argument("--points-crs", default="EPSG:2039")
     return top
 
 

@@ -7,7 +7,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
+
+from permitflow.functions.bidi import turned
 
 
 @F.pandas_udf(StringType())
@@ -16,44 +18,10 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching characters of two texts, 0 to 100. Distinct pairs are scored once per batch."""
-    from difflib import SequenceMatcher
-
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if (x, y) not in known:
-            known[x, y] = 100 * SequenceMatcher(None, x or "", y or "").ratio()
-        out.append(known[x, y])
-    return pd.Series(out, dtype="float64")
-
-
-def logical_line(line: str) -> str:
-    """One line of visually ordered right-to-left text in reading order: runs of digits and left-to-right letters keep
-    their inner order, paired brackets are mirrored. A line without right-to-left letters stays as it is."""
-    kinds = [unicodedata.bidirectional(c) for c in line]
-    if not any(k in ("R", "AL") for k in kinds):
-        return line
-    mirror = dict(zip("()[]{}<>", ")(][}{><", strict=True))
-    runs: list[tuple[bool, str]] = []
-    for i, (c, k) in enumerate(zip(line, kinds, strict=True)):
-        ltr = k in ("L", "EN", "AN")
-        # A separator between two digits belongs to the number.
-        if k in ("CS", "ES") and 0 < i < len(line) - 1 and kinds[i - 1] == kinds[i + 1] == "EN":
-            ltr = True
-        if runs and runs[-1][0] and ltr:
-            runs[-1] = (True, runs[-1][1] + c)
-        else:
-            runs.append((ltr, c if ltr else mirror.get(c, c)))
-    return "".join(text for _, text in reversed(runs))
-
-
 @F.pandas_udf(StringType())
 def fix_bidi(s: pd.Series) -> pd.Series:
     """Visual to reading order, each line a paragraph of its own."""
-    return s.map(lambda x: "\n".join(logical_line(y) for y in x.split("\n")), na_action="ignore")
+    return s.map(lambda x: "\n".join(map(turned, x.split("\n"))), na_action="ignore")
 
 
 def stable(c: Column) -> Column:

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from permitflow.functions import similarity as sim
 from permitflow.functions import text as T
-from permitflow.functions.arrow import compose, ratio
+from permitflow.functions.arrow import compose
 from permitflow.operators import index, merge, ranges, render, reports, resolver, spatial, state
 from permitflow.operators.lineage import cut
 
@@ -305,12 +306,38 @@ def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolver.near_names(q, "q", n, "name", 2).select("q", "name", "d")
 
 
-@query()
+# Weighted similarity of the pairs ``p`` (a, b): every LCS by its table, row after row, every stretch one by one.
+_SCORED = """w as (select a, b, list_filter(string_split(a, ' '), lambda v: v <> '') as x, list_filter(string_split(b, ' '), lambda v: v <> '') as y from p),
+k as (select a, b, array_to_string(list_sort(x), ' ') as sa, array_to_string(list_sort(y), ' ') as sb, array_to_string(list_sort(list_distinct(x)), ' ') as ua, array_to_string(list_sort(list_distinct(y)), ' ') as ub,
+  array_to_string(list_sort(list_intersect(x, y)), ' ') as joint, array_to_string(list_sort(list_distinct(list_filter(x, lambda v: not list_contains(y, v)))), ' ') as da, array_to_string(list_sort(list_distinct(list_filter(y, lambda v: not list_contains(x, v)))), ' ') as db from w),
+g as (select a, b, 'raw' as kind, a as s, b as l from k union all select a, b, 'words', sa, sb from k union all select a, b, 'words', ua, ub from k),
+h as (select a, b, kind, s, l from g where length(s) <= length(l) union all select a, b, kind, l, s from g where length(l) <= length(s)),
+v as (select a, b, kind, s, substr(l, greatest(st, 0)::int + 1, (least(st + length(s), length(l)) - greatest(st, 0))::int) as t from (select *, unnest(range(1 - length(s), length(l))) as st from h)),
+need as (select a as s, b as t from k union select sa, sb from k union select da, db from k union select s, t from v),
+r as (select s, t, 0 as i, list_transform(range(length(t)), lambda j: 0::bigint) as line from need union all
+  select s, t, i + 1, list_transform(range(1, length(t) + 1), lambda j: list_max(step[1 : j])) from (select *, list_transform(range(1, length(t) + 1), lambda j: greatest(line[j], case when substr(t, j::int, 1) = substr(s, i + 1, 1) then coalesce(line[j - 1], 0) + 1 else 0 end)) as step from r where i < length(s))),
+c as (select s, t, coalesce(line[length(t)], 0) as m from r where i = length(s)),
+best as (select a, b, max(200.0 * m / (length(s) + length(t))) filter (where kind = 'raw') as partial, max(200.0 * m / (length(s) + length(t))) filter (where kind = 'words') as words from v join c using (s, t) group by a, b),
+m as (select k.*, 200.0 * c1.m / (length(a) + length(b)) as share, 200.0 * c2.m / (length(sa) + length(sb)) as word_sorted, partial, case when joint <> '' then 100.0 else words end as partial_words,
+  case when joint <> '' and (da = '' or db = '') then 100.0 else greatest(100.0 * (1 - (length(da) + length(db) - 2.0 * c3.m) / (2 * length(joint) + 2 * (joint <> '')::int + length(da) + length(db))),
+    case when joint <> '' then 100.0 * (1 - (1.0 + length(da)) / (2 * length(joint) + 1 + length(da))) else 0 end, case when joint <> '' then 100.0 * (1 - (1.0 + length(db)) / (2 * length(joint) + 1 + length(db))) else 0 end) end as word_set
+  from k join c c1 on c1.s = a and c1.t = b join c c2 on c2.s = sa and c2.t = sb join c c3 on c3.s = da and c3.t = db join best using (a, b)),
+scored as (select *, case when greatest(length(a), length(b)) < 1.5 * least(length(a), length(b)) then greatest(share, 0.95 * word_sorted, 0.95 * word_set)
+  else greatest(share, partial * case when greatest(length(a), length(b)) <= 8 * least(length(a), length(b)) then 0.9 else 0.6 end, 0.95 * partial_words * case when greatest(length(a), length(b)) <= 8 * least(length(a), length(b)) then 0.9 else 0.6 end) end as score from m)"""
+_ASKED = "case p_partkey % 5 when 0 then p_name || 's' when 1 then split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) when 2 then p_name || ' ' || lower(p_type) when 3 then substr(p_name, 1, 1) || substr(p_name, 3) else split_part(p_name, ' ', 2) end"
+
+
+@query(f"""with recursive p as (select * from (select distinct {_ASKED} as a from part), (select distinct p_name as b from part)), {_SCORED},
+ix as (select p_name as b, min(p_brand) as area from part group by p_name),
+top as (select *, row_number() over (partition by a order by score desc, b) as n, max(score) over (partition by a) as high from scored where score >= 88),
+tied as (select a, min(area) as lo, max(area) as hi, arg_min(area, n) as neighborhood, max(high) as high from top join ix using (b) where n <= 40 and high - score <= 2 group by a)
+select p_partkey as rid, neighborhood, round(high / 100, 6) as confidence, 'fuzzy_street_level_p2' as method, true as approximate from part join tied on a = {_ASKED} where lo = hi""")
 def fuzzy_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that were lengthened, turned around, shortened by a letter or cut to a word, looked up among the right ones."""
     part = _t(spark, sf_dir, "part")
     ix = part.groupBy(F.col("p_name").alias("street_key")).agg(F.min("p_brand").alias("neighborhood"), F.min("p_partkey").alias("ord")).select("*", F.lit(0).alias("house_from"), F.lit(99999).alias("house_to"), F.lit(2).alias("priority"))
-    q = part.select(F.col("p_partkey").alias("rid"), F.concat("p_name", F.lit("s")).alias("street"), F.col("p_size").alias("number"))
-    return resolver.fuzzy(q, ix)
+    q = part.select(F.col("p_partkey").alias("rid"), F.expr(_ASKED).alias("street"), F.col("p_size").alias("number"))
+    return resolver.fuzzy(q, ix).withColumn("confidence", F.round("confidence", 6))
 
 
 _CHAIN = "a as (select 'N' || n_nationkey as alias, case when n_nationkey = 0 then '' when n_nationkey = 13 then 'N21' else 'N' || (n_nationkey // 2) end as canonical from nation)"
@@ -471,10 +498,15 @@ def spatial_pip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.within(points, areas, cell_x=20.0, cell_y=2200.0).select("c_custkey", "area")
 
 
-@query()
+_TURNED = "case when p_size % 3 = 0 then reverse(p_name) when p_size % 3 = 1 then split_part(p_name, ' ', 2) || ' ' || lower(p_type) || ' ' || split_part(p_name, ' ', 1) else p_name || ' ' || p_name || ' ' || lower(p_brand) end"
+
+
+@query(f"""with recursive p as (select distinct p_name as a, {_TURNED} as b from part), {_SCORED}
+select a as p_name, b as other, round(share, 6) as share, round(partial, 6) as partial, round(word_sorted, 6) as word_sorted, round(word_set, 6) as word_set, round(partial_words, 6) as partial_words, round(score, 6) as score from scored""")
 def text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _t(spark, sf_dir, "part").select("p_name").distinct()
-    return n.select("p_name", ratio("p_name", F.reverse("p_name")).alias("score"))
+    n = cut(_t(spark, sf_dir, "part").select("p_name", F.expr(_TURNED).alias("other")).distinct())
+    of = (sim.share, sim.partial, sim.word_sorted, sim.word_set, sim.partial_words)
+    return n.select("p_name", "other", *(F.round(sim.measure(f, "p_name", "other"), 6).alias(f.__name__) for f in of), F.round(sim.similarity("p_name", "other"), 6).alias("score"))
 
 
 @query("""with s as (select distinct 'Supplier' as street, s_nationkey::varchar as house from supplier), h as (select distinct 'Supplier' as street, n_nationkey::varchar as house from nation where n_regionkey = 2)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
-from permitflow.operators import index, merge, ranges, render, reports, resolver, spatial, state
+from permitflow.functions.arrow import fix_bidi
+from permitflow.operators import index, merge, projection, ranges, render, reports, resolver, spatial, state
 from permitflow.plans import daily
 from permitflow.queries import _LINES, _STATE, QUERIES, SQL, _lines, _records, _t, query
 from permitflow.sources import permits
@@ -28,17 +29,15 @@ def split_house(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select o_orderkey, o_orderkey::varchar as digits, case when o_custkey % 5 = 0 then '' else o_custkey::varchar end as block,
   case when o_custkey % 5 = 0 then '' else 'גוש ' || o_custkey || case when o_orderkey % 4 = 0 then '' else ' חלקה ' || o_orderkey end end as block_text,
-  case when o_orderkey % 3 = 0 then o_orderpriority else o_orderpriority || ' ' || o_orderkey end as address,
+  case when o_orderkey % 3 = 0 or contains(o_orderpriority, o_orderkey::varchar) then o_orderpriority else o_orderpriority || ' ' || o_orderkey end as address,
   'o:' || o_orderkey as key, 'o:legacy:' || o_orderkey as old_key, case when length(o_orderkey::varchar) = 7 then 'yeela' else 'haifa_pdf' end as source from orders""")
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     block, parcel = F.when(F.col("o_custkey") % 5 == 0, "None").otherwise(F.concat(F.lit(" "), cust)), F.when(F.col("o_orderkey") % 4 == 0, "0").otherwise(key)
     house = F.when(F.col("o_orderkey") % 3 == 0, "none").otherwise(key)
-    # A house that is part of the street is not repeated, so the street holds no digits: a priority's go in front afterwards.
-    rank, street = F.regexp_extract("o_orderpriority", "^[0-9]*-?", 0), F.regexp_replace("o_orderpriority", "^[0-9]*-?", "")
     return _t(spark, sf_dir, "orders").select(
         "o_orderkey", T.digits(F.concat(F.lit("№ 00"), key, F.lit("/"))).alias("digits"), T.clean_block(block).alias("block"), T.block_text(block, parcel).alias("block_text"),
-        F.concat(rank, T.address(street, house)).alias("address"), T.state_key(F.lit("o"), "o_orderkey").alias("key"), T.legacy_key(F.lit("o"), "o_orderkey").alias("old_key"), state.legacy_source(key).alias("source"),
+        T.address("o_orderpriority", house).alias("address"), T.state_key(F.lit("o"), "o_orderkey").alias("key"), T.legacy_key(F.lit("o"), "o_orderkey").alias("old_key"), state.legacy_source(key).alias("source"),
     )
 
 
@@ -64,6 +63,35 @@ def usable_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", T.usable_street(name).alias("usable"), T.confidence(F.col("p_size") % 9).cast("double").alias("confidence"))
 
 
+_HEBREW = "translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'אבגדהוזחטיכלמנסעפצקרשתךםןף')"
+_WORD = ("split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)")
+_H1, _H2 = (_HEBREW.format(w) for w in _WORD)
+#: Lines of Hebrew, Latin phrases and numbers, in Spark's SQL and DuckDB's alike.
+_MIXED = f"""case p_partkey % 8 when 0 then concat({_H1}, ' ', {_H2}) when 1 then concat({_WORD[0]}, ' ', {_H2}) when 2 then concat({_H1}, ' ', p_name, ' ltd ', p_size)
+  when 3 then concat({_H1}, ' ', p_size, '% ', {_H2}) when 4 then concat({_WORD[0]}, ' ', {_H2}, ' ', p_size, ',', p_partkey, ' ', {_WORD[1]}) when 5 then concat(p_size, ' ', {_H1}, ', ', {_WORD[1]}, '. ')
+  when 6 then concat({_H1}, ' ', p_size, '-', p_partkey, '/', p_size, ' ', {_WORD[1]}, ' - ', {_H2}) else concat(p_name, ' +', p_size, '$ ', {_H1}) end"""
+
+
+@query(f"""with d as (select p_partkey, {_MIXED} as line from part),
+c as (select p_partkey, line, unnest(generate_series(1, length(line))) as i, case when regexp_extract(line, '[א-תa-z]') >= 'א' then 'R' else 'L' end as base from d),
+t as (select *, substr(line, i, 1) as ch, case when substr(line, i, 1) between 'א' and 'ת' then 'R' when substr(line, i, 1) between 'a' and 'z' then 'L' when substr(line, i, 1) between '0' and '9' then 'EN'
+  when substr(line, i, 1) in ('%', '$') then 'ET' when substr(line, i, 1) in ('+', '-') then 'ES' when substr(line, i, 1) in (',', '.', '/') then 'CS' else 'ON' end as k from c),
+w4 as (select * replace (case when k in ('ES', 'CS') and lag(k) over (partition by p_partkey order by i) = 'EN' and lead(k) over (partition by p_partkey order by i) = 'EN' then 'EN' else k end as k) from t),
+w5 as (select * replace (case when k = 'ET' and 'EN' in (last_value(nullif(k, 'ET') ignore nulls) over (partition by p_partkey order by i rows unbounded preceding), first_value(nullif(k, 'ET') ignore nulls) over (partition by p_partkey order by i rows between current row and unbounded following)) then 'EN'
+  when k in ('ET', 'ES', 'CS') then 'ON' else k end as k) from w4),
+w7 as (select * replace (case when k = 'EN' and coalesce(last_value(case when k in ('L', 'R') then k end ignore nulls) over (partition by p_partkey order by i rows unbounded preceding), base) = 'L' then 'L' else k end as k) from w5),
+n0 as (select *, case k when 'EN' then 'R' when 'ON' then null else k end as side from w7),
+n1 as (select *, coalesce(last_value(side ignore nulls) over (partition by p_partkey order by i rows unbounded preceding), base) as before, coalesce(first_value(side ignore nulls) over (partition by p_partkey order by i rows between current row and unbounded following), base) as after from n0),
+n2 as (select * replace (case when k <> 'ON' then k when before = after then before else base end as k) from n1),
+v as (select p_partkey, i, ch, case when i > length(rtrim(line)) then (base = 'R')::int when k = 'L' then case when base = 'R' then 2 else 0 end when k = 'R' then 1 else 2 end as v from n2),
+g as (select *, i - row_number() over (partition by p_partkey, v >= 1 order by i) as g1, i - row_number() over (partition by p_partkey, v >= 2 order by i) as g2 from v),
+x as (select *, case when v >= 2 then min(i) over (partition by p_partkey, v >= 2, g2) + max(i) over (partition by p_partkey, v >= 2, g2) - i else i end as p from g),
+y as (select *, case when v >= 1 then min(i) over (partition by p_partkey, v >= 1, g1) + max(i) over (partition by p_partkey, v >= 1, g1) - p else p end as q from x)
+select p_partkey, string_agg(ch, '' order by q) as reading from y group by p_partkey""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", fix_bidi(F.expr(_MIXED)).alias("reading"))
+
+
 # ---------------------------------------------------------------- sources
 
 _ACTION = {"fell": "כריתה", "relocate": "העתקה", "preserve": "שימור"}
@@ -338,3 +366,62 @@ def pending_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with n as (select l_orderkey, count(*) as size from lineitem group by 1) select l_orderkey, size from n order by size desc, l_orderkey limit 1""")
 def longest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.longest(_t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("size")), "l_orderkey", "size", "l_orderkey")
+
+
+# ---------------------------------------------------------------- coordinates
+
+_NATIONAL, _ZONE = "EPSG:2039", "EPSG:32636"
+
+
+def _geographic_sql() -> str:
+    """CTE ``geo``: the points of ``p`` (id, x, y), in the national grid, as longitude and latitude in radians on WGS 84."""
+    s = projection.system(_NATIONAL)
+    k, (rows, move), w = projection.series(s), projection.matrix(s.shift), projection.WGS84
+    e2, t2 = s.ellipsoid.f * (2 - s.ellipsoid.f), w.f * (2 - w.f)
+    b = w.a * (1 - w.f)
+    eta = " - ".join(["eta", *(f"{c!r} * cos({2 * j + 2} * xi) * sinh({2 * j + 2} * eta)" for j, c in enumerate(k.back))])
+    xi = " - ".join(["xi", *(f"{c!r} * sin({2 * j + 2} * xi) * cosh({2 * j + 2} * eta)" for j, c in enumerate(k.back))])
+    lat = " + ".join(["chi", *(f"{c!r} * sin({2 * j + 2} * chi)" for j, c in enumerate(k.latitude))])
+    mx, my, mz = (" + ".join([repr(m), *(f"{c!r} * {v}" for c, v in zip(r, "xyz", strict=True))]) for r, m in zip(rows, move, strict=True))
+    return f"""g1 as (select id, (x - {s.east!r}) / {k.radius!r} as eta, (y - {s.north!r} + {k.start!r}) / {k.radius!r} as xi from p), g2 as (select id, {eta} as eta, {xi} as xi from g1),
+g3 as (select id, atan2(sinh(eta), cos(xi)) + radians({s.meridian!r}) as lon, asin(sin(xi) / cosh(eta)) as chi from g2), g4 as (select id, lon, {lat} as lat from g3),
+g5 as (select *, {s.ellipsoid.a!r} / sqrt(1 - {e2!r} * sin(lat) ** 2) as n from g4), g6 as (select id, n * cos(lat) * cos(lon) as x, n * cos(lat) * sin(lon) as y, n * {1 - e2!r} * sin(lat) as z from g5),
+g7 as (select id, {mx} as x, {my} as y, {mz} as z from g6), g8 as (select *, sqrt(x * x + y * y) as d, atan2(z * {w.a!r}, sqrt(x * x + y * y) * {b!r}) as t from g7),
+geo as (select id, atan2(y, x) as lon, atan2(z + {t2 / (1 - w.f) ** 2 * b!r} * sin(t) ** 3, d - {t2 * w.a!r} * cos(t) ** 3) as lat from g8)"""
+
+
+def _zone_sql() -> str:
+    """CTE ``zone``: the points of ``geo`` in the universal grid."""
+    s = projection.system(_ZONE)
+    k = projection.series(s)
+    east = " + ".join(["eta", *(f"{c!r} * cos({2 * j + 2} * xi) * sinh({2 * j + 2} * eta)" for j, c in enumerate(k.forth))])
+    north = " + ".join(["xi", *(f"{c!r} * sin({2 * j + 2} * xi) * cosh({2 * j + 2} * eta)" for j, c in enumerate(k.forth))])
+    return f"""z1 as (select *, lon - radians({s.meridian!r}) as l, sinh(atanh(sin(lat)) - {k.ecc!r} * atanh({k.ecc!r} * sin(lat))) as t from geo),
+z2 as (select *, atanh(sin(l) / sqrt(1 + t * t)) as eta, atan2(t, cos(l)) as xi from z1),
+zone as (select id, lon, lat, {s.east!r} + {k.radius!r} * ({east}) as e, {s.north!r} - {k.start!r} + {k.radius!r} * ({north}) as n from z2)"""
+
+
+_PLACED = "c_custkey as id, 130000.0::double + (c_custkey * 37 % 150000) as x, 380000.0::double + (c_acctbal + 1000) * 37 as y"
+
+
+@query(f"with p as (select {_PLACED} from customer), {_geographic_sql()}, {_zone_sql()} select id, round(degrees(lon), 9) as lon, round(degrees(lat), 9) as lat, round(e, 3) as east, round(n, 3) as north, true as returned from zone")
+def reprojected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the national grid in degrees and in the universal grid, and from there back within a millimetre."""
+    p = _t(spark, sf_dir, "customer").selectExpr("c_custkey as id", "130000D + (c_custkey * 37 % 150000) as x", "380000D + (c_acctbal + 1000) * 37 as y")
+    c = p.select("*", projection.converted("x", "y", _NATIONAL, "EPSG:4326").alias("g"), projection.converted("x", "y", _NATIONAL, _ZONE).alias("z"))
+    back = projection.converted("z.x", "z.y", _ZONE, _NATIONAL)
+    near = (F.abs(F.col("b.x") - F.col("x")) < 0.001) & (F.abs(F.col("b.y") - F.col("y")) < 0.001)
+    return c.withColumn("b", back).select("id", F.round("g.x", 9).alias("lon"), F.round("g.y", 9).alias("lat"), F.round("z.x", 3).alias("east"), F.round("z.y", 3).alias("north"), near.alias("returned"))
+
+
+@query(f"""with p as (select {_PLACED} from customer), b as (select n_nationkey::bigint as area, 130000.0 + n_nationkey % 5 * 30000 as x0, 380000.0 + n_nationkey // 5 * 80000 as y0 from nation)
+select id, area from p join b on x > x0 + 0.25 and x < x0 + 29000.25 and y > y0 + 0.25 and y < y0 + 79000.25""")
+def mixed_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points given in the universal grid and areas given in degrees, both brought to the national grid and joined."""
+    p = _t(spark, sf_dir, "customer").selectExpr("c_custkey as id", "130000D + (c_custkey * 37 % 150000) as x", "380000D + (c_acctbal + 1000) * 37 as y")
+    p = projection.reproject_points(p, _NATIONAL, _ZONE)
+    x0, y0 = 130000.25 + (F.col("n_nationkey") % 5) * 30000.0, 380000.25 + F.floor(F.col("n_nationkey") / 5) * 80000.0
+    ring = F.array(*(F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y")) for dx, dy in ((0, 0), (29000, 0), (29000, 79000), (0, 79000))))
+    areas = projection.reproject_rings(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("area"), F.array(ring).alias("rings")), _NATIONAL, "EPSG:4326")
+    p, areas = projection.reproject_points(p, _ZONE, _NATIONAL), projection.reproject_rings(areas, "EPSG:4326", _NATIONAL)
+    return spatial.within(p, areas, 30000.0, 80000.0).select("id", "area")

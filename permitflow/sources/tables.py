@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from permitflow.functions import arrow as A
 from permitflow.functions import text as T
-from permitflow.operators import index
+from permitflow.operators import index, projection
 
 STATE = (
     "run long, key string, source string, source_id string, licence_id string, legacy_ids array<string>, first_seen date, stage string, "
@@ -87,14 +87,19 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     return f.select("crs", kind.alias("kind"), F.transform(rings, ring).alias("rings"), "g.properties.*").filter("rings is not null")
 
 
-def layer(shapes: DataFrame) -> DataFrame:
-    """A layer that :func:`read_geojson` gave, once it was found to hold shapes, all of one coordinate system."""
-    n = shapes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("crs").alias("crs")).first()
+def layer(shapes: DataFrame, crs: str | None = None) -> tuple[DataFrame, str]:
+    """A layer that :func:`read_geojson` gave, and the name of its coordinate system, once it was found to hold shapes, all
+    of one system. ``crs`` names the system in place of what the layer says; a layer that says nothing needs it."""
+    n = shapes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("crs", F.lit(""))).alias("crs"), F.max("crs").alias("name")).first()
     if not n["n"]:
         raise ValueError("the layer holds no shapes")
     if n["crs"] > 1:
         raise ValueError("the layer mixes coordinate systems")
-    return shapes
+    name = projection.name_of(crs or n["name"])
+    if name is None:
+        raise ValueError("the layer names no coordinate system; pass one, such as EPSG:2039")
+    projection.system(name)
+    return shapes, name
 
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from permitflow.operators import state
+from permitflow.operators import projection, state
 from permitflow.plans import daily, stats
 from permitflow.sources import api, permits, sinks, tables
 from permitflow.streaming import incremental
@@ -209,13 +209,24 @@ def test_commands(spark, pages, captured, tmp_path, capsys, monkeypatch):
     text = capsys.readouterr().out
     assert "by status" in text and "2  1  2" in text.split("== pending")[1]
     area = {"type": "Feature", "properties": {"name": "A", "block": "7", "parcel": "1"}, "geometry": {"type": "Polygon", "coordinates": [[[200000, 740000], [200100, 740000], [200100, 740100], [200000, 740100]]]}}
-    areas = w("a.geojson", json.dumps({"type": "FeatureCollection", "features": [area]}))
+    areas = w("a.geojson", json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::2039"}}, "features": [area]}))
     points = w("p.csv", "street,house,x,y\nציון,3,200010,740010\nציון,5,200020,740010\n")
     assert command(["street-index", "--points", points, "--areas", areas, "--out", str(tmp_path / "si"), "--report", str(tmp_path / "si.txt")]) == 0
     made = tables.read_csv(spark, str(tmp_path / "si"), tables.STREETS).first()
     assert (made.street_key, made.neighborhood, made.method) == ("ציון", "A", "points_range") and "street keys" in (tmp_path / "si.txt").read_text()
     assert command(["block-index", "--parcels", areas, "--areas", areas, "--out", str(tmp_path / "bi"), "--report", str(tmp_path / "bi.txt")]) == 0
     assert {(r.block, r.parcel) for r in tables.read_csv(spark, str(tmp_path / "bi"), tables.BLOCKS).collect()} == {("7", "1"), ("7", None)}
+    # The same layer without a system is refused, unless the command names one; one in degrees is brought to the points' grid.
+    bare = w("bare.geojson", json.dumps({"type": "FeatureCollection", "features": [area]}))
+    with pytest.raises(ValueError, match="no coordinate system"):
+        command(["block-index", "--parcels", bare, "--areas", areas, "--out", str(tmp_path / "b0")])
+    corners = spark.createDataFrame([(x, y) for x, y in area["geometry"]["coordinates"][0]], "x double, y double").coalesce(1)
+    area["geometry"]["coordinates"] = [[list(r) for r in projection.reproject_points(corners, "EPSG:2039", "EPSG:4326").collect()]]
+    degrees = w("deg.geojson", json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}, "features": [area]}))
+    assert command(["block-index", "--parcels", bare, "--parcels-crs", "EPSG:2039", "--areas", degrees, "--out", str(tmp_path / "b1")]) == 0
+    assert {(r.block, r.parcel, r.neighborhood) for r in tables.read_csv(spark, str(tmp_path / "b1"), tables.BLOCKS).collect()} == {("7", "1", "A"), ("7", None, "A")}
+    assert command(["street-index", "--points", points, "--areas", degrees, "--out", str(tmp_path / "s1")]) == 0
+    assert tables.read_csv(spark, str(tmp_path / "s1"), tables.STREETS).first().neighborhood == "A"
     with pytest.raises(ValueError, match="no shapes"):
         tables.layer(tables.read_geojson(spark, w("e.geojson", '{"features":[]}'), "name:string"))
 

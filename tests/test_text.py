@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
-from permitflow.functions.arrow import logical_line
+from permitflow.functions.bidi import levels, turned
 
 
 def one(spark, f, *values):
@@ -85,6 +85,43 @@ def test_escape(spark):
 
 
 def test_visual_order():
-    assert "\n".join(map(logical_line, "סוקיפ\nתורדשה".split("\n"))) == "פיקוס\nהשדרות"
-    assert logical_line("abc 12") == "abc 12"
-    assert logical_line("12 ןויצ") == "ציון 12"
+    assert "\n".join(map(turned, "סוקיפ\nתורדשה".split("\n"))) == "פיקוס\nהשדרות"
+    assert turned("abc 12") == "abc 12" and turned("") == ""
+    assert turned("12 ןויצ") == "ציון 12"
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("abc אבג", "abc גבא"),  # the first strong character is Latin
+        ("12 אבג", "גבא 12"),  # a number is not strong
+        ("דתלא Electra Power Ltd 12", "Electra Power Ltd 12 אלתד"),  # spaces between Latin words go with them
+        ("אבג abc, def דהו", "והד abc, def גבא"),
+        ("אבג abc, דהו", "והד ,abc גבא"),  # a comma between two ways takes the paragraph's
+        ("5% אבג", "גבא 5%"),  # terminators belong to their number, on either side
+        ("אבג $$5", "$$5 גבא"),
+        ("אבג % 5", "5 % גבא"),
+        ("אבג 1,234.5", "1,234.5 גבא"),  # one separator in a number does; two do not
+        ("אבג 1,,2", "2,,1 גבא"),
+        ("אבג 12-34", "12-34 גבא"),
+        ("abc אבג 12", "abc 12 גבא"),  # a number after Hebrew is in its stretch
+        ("abc 12 אבג", "abc 12 גבא"),
+        ("אבג (abc) דהו", "והד (abc) גבא"),  # brackets are mirrored with what they stand in
+        ("אבג abc (def) ghi", "abc (def) ghi גבא"),
+        ("abc (אבג) 1", "abc (גבא) 1"),
+        ("אבג [דהו", "והד] גבא"),
+        ("שׁ", "\u05c1ש"),  # a point goes with its letter
+        ("ابج 12", "12 جبا"),  # a number after Arabic letters
+        ("אבג ١,٢", "١,٢ גבא"),
+        ("אבג  ", "  גבא"),  # trailing blanks are the paragraph's
+        ("abc אבג  ", "abc גבא  "),
+    ],
+)
+def test_directions_of_mixed_lines(line, want):
+    assert turned(line) == want
+
+
+def test_turning_twice_gives_back_what_has_one_way():
+    for line in ("אבג דהו", "אבג 12 דהו", "abc אבג def"):
+        assert turned(turned(line)) == line
+    assert levels("א1b") == [1, 2, 2]
