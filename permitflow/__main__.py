@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
-from permitflow.operators import index, render, reports, spatial, state
+from permitflow.operators import index, projection, render, reports, spatial, state
 from permitflow.operators.lineage import cut
 from permitflow.plans import daily, lookup_build, stats
-from permitflow.sources import api, permits, sinks, tables
+from permitflow.sources import api, log_sink, permits, sinks, tables
 
 log = logging.getLogger("permitflow")
 
@@ -64,7 +64,7 @@ def _sources(spark: SparkSession, o: argparse.Namespace) -> dict[str, Callable[[
     if o.api:
         out[state.API] = lambda: permits.decode_api(permits.read_api(spark, o.api))
     elif getattr(o, "api_url", None):
-        out[state.API] = lambda: permits.decode_api(permits.fetch_api(spark, o.api_url, o.city))
+        out[state.API] = lambda: permits.decode_api(permits.fetch_api(spark, o.api_url, o.city, page_size=o.page_size, max_pages=o.max_pages))
     return out
 
 
@@ -109,7 +109,7 @@ def migrate(spark: SparkSession, o: argparse.Namespace) -> int:
     lines = _state(spark, o.state)
     new = cut(state.migrate(tables.read_ids(spark, o.old_ids), state.fold(lines)))
     if not new.isEmpty():
-        sinks.append_state(new, o.state, tables.next_run(lines))
+        log_sink.publish(new, o.state, tables.next_run(lines) - 1)
     print(f"{new.count()} record(s) added")
     return 0
 
@@ -124,7 +124,7 @@ def make_stats(spark: SparkSession, o: argparse.Namespace) -> int:
 
 
 def capture(spark: SparkSession, o: argparse.Namespace) -> int:
-    sinks.write_capture(permits.fetch_api(spark, o.api_url, o.city), o.out)
+    sinks.write_capture(permits.fetch_api(spark, o.api_url, o.city, page_size=o.page_size, max_pages=o.max_pages), o.out)
     return 0
 
 
@@ -215,11 +215,13 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     r = command("run", run, "today streets blocks landmarks state", "pdf api api-url aliases old-ids unmatched footer-table")
-    r.add_argument("--city", type=int, default=0)
     r.add_argument("--dry-run", action="store_true")
     command("migrate", migrate, "state old-ids")
     command("stats", make_stats, "today streets blocks landmarks out", "pdf api aliases")
-    command("capture", capture, "api-url out").add_argument("--city", type=int, default=0)
+    for c in (r, command("capture", capture, "api-url out")):
+        c.add_argument("--city", type=int, default=0)
+        c.add_argument("--page-size", type=int, default=api.PAGE_SIZE)
+        c.add_argument("--max-pages", type=int, default=api.MAX_PAGES)
     command("api-report", api_report, "api").add_argument("--year", type=int, required=True)
     for name, do, needed, optional in (("street-index", street_index, "points areas out", "lines legacy aliases report areas-crs lines-crs"), ("block-index", block_index, "parcels areas out", "report areas-crs parcels-crs")):
         c = command(name, do, needed, optional)

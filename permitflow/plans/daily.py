@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from permitflow.functions import text as T
 from permitflow.operators import merge, render, reports, resolver, state
 from permitflow.operators.lineage import cut
-from permitflow.sources import sinks, tables
+from permitflow.sources import log_sink, sinks, tables
 
 log_ = logging.getLogger(__name__)
 
@@ -173,7 +173,7 @@ def run(
         return len(outbound)
     if unmatched_path:
         sinks.append_unmatched(misses(placed, tables.read_unmatched(log.sparkSession, unmatched_path), today), unmatched_path)
-    current, ordinal = cut(state.fold(log)), tables.next_run(log)
+    current, after = cut(state.fold(log)), tables.next_run(log) - 1
     for text, rows in outbound:
         try:
             sinks.deliver(text, post)
@@ -183,7 +183,7 @@ def run(
         if rows is not None:
             content = F.struct("street", "house", "neighborhood", "fell_count", "published", "appeal_last").alias("content")
             lines = state.log_lines(rows.select("key", "source", "source_id", "licence_id", "legacy_id", "stage", content), current, F.lit(today).cast("date"))
-            sinks.append_state(lines, state_path, ordinal)
+            log_sink.publish(lines, state_path, after)
     if got.errors:
         tell_operator("the run is over, with data missing:\n" + "\n".join(got.errors))
     return len(outbound)

@@ -8,7 +8,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RETRIES, BACKOFF, TIMEOUT = 3, 2.0, 60
 PAGE_SIZE, MAX_PAGES, DELAY = 100, 50, 0.3
@@ -59,6 +59,9 @@ class PagedApi(DataSource):
     def reader(self, schema) -> PagedReader:  # noqa: ANN001
         return PagedReader(dict(self.options))
 
+    def streamReader(self, schema) -> PagedStream:  # noqa: ANN001, N802
+        return PagedStream(dict(self.options))
+
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
@@ -78,3 +81,39 @@ class PagedReader(DataSourceReader):
         time.sleep(self.delay)
         for i, row in enumerate(self.fetch(partition.value).get("result") or []):
             yield partition.value, i, json.dumps(row, ensure_ascii=False)
+
+
+class Rows(InputPartition):
+    """Rows ``low`` to ``high`` of a page, counted from 0."""
+
+    def __init__(self, page: int, low: int, high: int) -> None:
+        self.page, self.low, self.high = page, low, high
+
+
+class PagedStream(DataSourceStreamReader, PagedReader):
+    """New rows of a list that grows at its end. The offset is the number of rows read, so a page that was read while it was
+    not full is read on from there, and a batch that is replayed reads the same rows."""
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"rows": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        about = self.fetch(1).get("pagination") or {}
+        pages = int(about.get("totalPages") or 1)
+        if about.get("totalCount") is None or pages > self.most:
+            pages = min(pages, self.most)
+            return {"rows": (pages - 1) * self.size + len(self.fetch(pages).get("result") or [])}
+        return {"rows": int(about["totalCount"])}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        low, high = int(start["rows"]), int(end["rows"])
+        first, size = low // self.size, self.size
+        return [Rows(p + 1, max(low - p * size, 0), min(high - p * size, size)) for p in range(first, -(-high // size))] if high > low else []
+
+    def read(self, partition: Rows) -> Iterator[tuple]:
+        time.sleep(self.delay)
+        rows = self.fetch(partition.page).get("result") or []
+        if len(rows) < partition.high:
+            raise RuntimeError(f"page {partition.page} has {len(rows)} rows of the {partition.high} that were announced")
+        for i in range(partition.low, partition.high):
+            yield partition.page, i, json.dumps(rows[i], ensure_ascii=False)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from permitflow.functions import text as T
 from permitflow.functions.arrow import compose, fix_bidi
 from permitflow.operators.state import API, PDF
-from permitflow.sources.api import DELAY, PagedApi
+from permitflow.sources.api import DELAY, MAX_PAGES, PAGE_SIZE, PagedApi
 
 PAGES = "array<struct<page:int,n_rows:int,table:array<array<string>>>>"
 API_ROW = (
@@ -122,8 +122,18 @@ def read_api(spark: SparkSession, path: str) -> DataFrame:
     return flat.unionByName(env)
 
 
-def fetch_api(spark: SparkSession, url: str, city: int, delay: float = DELAY) -> DataFrame:
+def fetch_api(spark: SparkSession, url: str, city: int, delay: float = DELAY, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES) -> DataFrame:
     """Rows of the live paged API, a task per page, in the shape of :func:`read_api`."""
     spark.dataSource.register(PagedApi)
-    raw = spark.read.format("paged_api").option("url", url).option("city", city).option("delay", delay).load()
+    raw = spark.read.format("paged_api").options(url=url, city=city, delay=delay, pageSize=page_size, maxPages=max_pages).load()
+    return _api_rows(raw)
+
+
+def stream_api(spark: SparkSession, url: str, city: int, delay: float = DELAY, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES) -> DataFrame:
+    """The same as a stream, which goes on from the last row that a checkpoint saw."""
+    spark.dataSource.register(PagedApi)
+    return _api_rows(spark.readStream.format("paged_api").options(url=url, city=city, delay=delay, pageSize=page_size, maxPages=max_pages).load())
+
+
+def _api_rows(raw: DataFrame) -> DataFrame:
     return raw.select(F.from_json("value", API_ROW).alias("r"), F.struct("page", "i").alias("ord")).select("r.*", "ord")

@@ -104,13 +104,14 @@ def layer(shapes: DataFrame, crs: str | None = None) -> tuple[DataFrame, str]:
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(state lines with line_no, number of lines that could not be read). Lines are ordered by ``run``, the ordinal that
-    each append carries, since names of written files have no order; lines without it, from a log kept by hand or by the
+    each append carries or its folder is named by, since names of written files have no order; lines without it, from a log kept by hand or by the
     predecessor, come first, in the order of their file. A date that can't be read is null and costs nothing else."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).filter(F.trim("value") != "")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).filter(F.trim("value") != "")
     raw = re.sub(r"\bdate\b", "string", STATE)
     parsed = lines.select(F.from_json("value", raw).alias("s"), "f", "b", "i")
     bad = parsed.filter("s is null or s.key is null").count()
-    good = parsed.filter("s.key is not null").select("s.*", F.struct(F.coalesce("s.run", F.lit(0)).alias("run"), "f", "b", "i").alias("line_no"))
+    published = F.regexp_extract("f", "/run=([0-9]+)/", 1).try_cast("long")
+    good = parsed.withColumn("s", F.col("s").withField("run", F.coalesce("s.run", published))).filter("s.key is not null").select("s.*", F.struct(F.coalesce("s.run", F.lit(0)).alias("run"), "f", "b", "i").alias("line_no"))
     day = lambda c: F.try_to_date(c, "yyyy-MM-dd")
     content = F.col("content").withField("published", day("content.published")).withField("appeal_last", day("content.appeal_last"))
     return good.withColumns({"first_seen": day("first_seen"), "content": content, "legacy_ids": F.coalesce("legacy_ids", F.array().cast("array<string>"))}), bad
