@@ -483,7 +483,18 @@ def split_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "n", F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
+@query(f"""with recursive {_MODAL},
+lists as (select p_brand, list(struct_pack(v := p_type, f := first, l := last, s := support) order by first) as x from runs group by p_brand),
+step as (select p_brand, x, 1 as phase from lists union all
+  select p_brand, case when phase = 1 and i is not null then x[1 : i - 2] || [struct_pack(v := x[i - 1].v, f := x[i - 1].f, l := x[i + 1].l, s := x[i - 1].s + x[i].s + x[i + 1].s)] || x[i + 2 :]
+    when phase = 2 and len(x) > 1 and x[w].s < 2 then x[1 : lo - 1] || [struct_pack(v := x[case when lo = w then w + 1 else lo end].v, f := x[lo].f, l := x[lo + 1].l, s := x[lo].s + x[lo + 1].s)] || x[lo + 2 :] else x end,
+    case when phase = 1 and i is null then 2 when phase = 2 and not (len(x) > 1 and x[w].s < 2) then 3 else phase end
+  from (select *, case when w = 1 or w < len(x) and x[w + 1].s > x[w - 1].s then w else w - 1 end as lo from (select *, list_filter(range(2, len(x)), lambda k: x[k].s < 2 and x[k - 1].v = x[k + 1].v)[1] as i,
+    list_position(list_transform(x, lambda r: r.s), list_min(list_transform(x, lambda r: r.s))) as w from step where phase < 3))),
+flat as (select p_brand, unnest(x) as r from step where phase = 3),
+same as (select *, sum(new) over (partition by p_brand order by r.f) as run from (select *, case when lag(r.v) over (partition by p_brand order by r.f) is not distinct from r.v then 0 else 1 end as new from flat)),
+one as (select p_brand, r.v as p_type, min(r.f) as first, max(r.l) as last, sum(r.s)::bigint as support from same group by p_brand, run, r.v)
+select p_brand, (coalesce(lag(last) over w + 1, 0))::int as house_from, (case when lead(last) over w is null then 99999 else last end)::int as house_to, p_type, support from one window w as (partition by p_brand order by first)""")
 def absorb_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.build(_houses(spark, sf_dir), "p_brand", "p_size", "p_type", min_run=2, min_support=2)
 

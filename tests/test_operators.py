@@ -105,8 +105,9 @@ def slow_absorb(found, min_run, min_support):
     return done
 
 
-def test_absorb_against_slow_form():
+def test_absorb_against_slow_form(spark):
     rnd = random.Random(7)
+    made = []
     for _ in range(400):
         at, runs_ = 0, []
         for _ in range(rnd.randint(1, 9)):
@@ -116,8 +117,16 @@ def test_absorb_against_slow_form():
                 continue
             runs_.append([v, at, at + n - 1, n])
             at += n
-        a, b = rnd.randint(1, 4), rnd.randint(1, 4)
-        assert ranges.absorb(runs_, a, b) == slow_absorb(runs_, a, b)
+        made.append(runs_)
+    made += [[["ab"[i % 2], i, i, 1] for i in range(60)], [["abc"[i % 3], 2 * i, 2 * i + 1, 1 + i % 4] for i in range(90)], []]
+    df = spark.createDataFrame([(i, [tuple(r) for r in m]) for i, m in enumerate(made)], "i int, x array<struct<value: string, first: long, last: long, support: long>>").coalesce(2)
+    for a in range(1, 5):
+        for b in range(1, 5):
+            got = df
+            for step in ranges.absorption(a, b):
+                got = got.withColumn("x", F.expr(step))
+            for r in got.collect():
+                assert [list(x) for x in r.x] == slow_absorb(made[r.i], a, b), (a, b, made[r.i])
 
 
 def test_ranges(spark):

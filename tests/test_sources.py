@@ -220,7 +220,7 @@ def test_commands(spark, pages, captured, tmp_path, capsys, monkeypatch):
     bare = w("bare.geojson", json.dumps({"type": "FeatureCollection", "features": [area]}))
     with pytest.raises(ValueError, match="no coordinate system"):
         command(["block-index", "--parcels", bare, "--areas", areas, "--out", str(tmp_path / "b0")])
-    corners = spark.createDataFrame([(x, y) for x, y in area["geometry"]["coordinates"][0]], "x double, y double").coalesce(1)
+    corners = spark.createDataFrame([(float(x), float(y)) for x, y in area["geometry"]["coordinates"][0]], "x double, y double").coalesce(1)
     area["geometry"]["coordinates"] = [[list(r) for r in projection.reproject_points(corners, "EPSG:2039", "EPSG:4326").collect()]]
     degrees = w("deg.geojson", json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}, "features": [area]}))
     assert command(["block-index", "--parcels", bare, "--parcels-crs", "EPSG:2039", "--areas", degrees, "--out", str(tmp_path / "b1")]) == 0
