@@ -9,25 +9,39 @@ from permitflow.functions import text as T
 from permitflow.operators.lineage import cut
 
 
+def _jumped(state: DataFrame, rounds: int) -> DataFrame:
+    """``state`` (alias, to, open) after at most ``rounds`` in which every open end jumps to its end's end, so that steps
+    double. A written table; an end is open while it is an alias itself."""
+    state = cut(state)
+    for _ in range(rounds):
+        ahead = state.filter("open")
+        if ahead.isEmpty():
+            break
+        end = state.select(F.col("alias").alias("e_alias"), F.col("to").alias("e_to"), F.col("open").alias("e_open"))
+        moved = ahead.join(end, F.col("to") == F.col("e_alias")).select("alias", F.col("e_to").alias("to"), F.col("e_open").alias("open"))
+        state = cut(state.filter("not open").unionByName(moved))
+    return state
+
+
 def canonical(aliases: DataFrame) -> DataFrame:
-    """(alias, canonical): chains followed to their end, or to the last name before a cycle closes, however long.
+    """(alias, canonical): chains followed to their end, or to the name at which they enter a cycle, by pointer doubling in
+    rounds that grow with the logarithm of the longest chain. A name on a cycle stands for itself.
 
-    ``aliases`` has one row per alias. A step is an equi-join of the ends that moved last with the table; rows at their
-    end leave, and the steps stop when none moves.
+    ``aliases`` has one row per alias. After as many steps as there are names, whatever is still open has gone round a
+    cycle, and the names it stands on are those of the cycles; cut there, the rest are chains with an end.
     """
-    aliases = cut(aliases.select("alias", "canonical"))
-    step = aliases.select(F.col("alias").alias("s_alias"), F.col("canonical").alias("s_to"))
-    at = aliases.select("alias", F.col("canonical").alias("to"), F.array("alias").alias("seen"))
-    done: DataFrame | None = None
-    while True:
-        j = at.join(step, F.col("to") == F.col("s_alias"), "left")
-        moves = F.col("s_alias").isNotNull() & ~F.array_contains("seen", F.col("to"))
-        at = cut(j.select("alias", F.when(moves, F.col("s_to")).otherwise(F.col("to")).alias("to"), F.array_append("seen", F.col("to")).alias("seen"), moves.alias("moves")))
-        ended = at.filter("not moves").select("alias", F.col("to").alias("canonical"))
-        done = ended if done is None else done.unionByName(ended)
-        at = at.filter("moves").drop("moves")
-        if at.isEmpty():
-            return done
+    a = cut(aliases.select("alias", F.col("canonical").alias("to")))
+    rounds = a.count().bit_length()
+    names = a.select(F.col("alias").alias("k"))
+    state = _jumped(a.join(names, F.col("to") == F.col("k"), "left").select("alias", "to", F.col("k").isNotNull().alias("open")), rounds)
+    done = state.filter("not open").select("alias", "to")
+    rest = state.filter("open")
+    if not rest.isEmpty():
+        cycle = cut(rest.select(F.col("to").alias("k")).distinct())
+        tails = a.join(rest.select("alias"), "alias", "left_semi").join(cycle, F.col("alias") == F.col("k"), "left_anti")
+        tails = tails.join(cycle, F.col("to") == F.col("k"), "left").select("alias", "to", F.col("k").isNull().alias("open"))
+        done = done.unionByName(_jumped(tails, rounds).select("alias", "to")).unionByName(cycle.select(F.col("k").alias("alias"), F.col("k").alias("to")))
+    return done.select("alias", F.col("to").alias("canonical"))
 
 
 def rename_areas(rows: DataFrame, aliases: DataFrame, column: str = "neighborhood") -> DataFrame:

@@ -270,6 +270,18 @@ def landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolver.landmark(d, marks).select("rid", "neighborhood", F.col("confidence").cast("double").alias("confidence"))
 
 
+@query("""with d as (select doc_id as rid, trim(regexp_replace(coalesce(text, '') || ' ' || coalesce(source, ''), '\\s+', ' ', 'g')) as hay from documents),
+m as (select substr(hay, 1, 14) as pattern, min(rid) as ord from d where hay <> '' group by 1)
+select rid, arg_min('area ' || ord, ord) as neighborhood from d join m on contains(hay, pattern) group by rid""")
+def landmark_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many patterns as there are beginnings of documents, each of which may stand anywhere in another."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.coalesce("text", F.lit("")).alias("full_text"), F.coalesce("source", F.lit("")).alias("street"))
+    hay = T.clean_text(F.concat_ws(" ", "full_text", "street"))
+    marks = d.select(F.substring(hay, 1, 14).alias("pattern"), "rid").filter("pattern <> ''").groupBy("pattern").agg(F.min("rid").alias("ord"))
+    marks = marks.withColumn("neighborhood", F.concat(F.lit("area "), F.col("ord").cast("string")))
+    return resolver.landmark(d, marks).select("rid", "neighborhood")
+
+
 @query("""with q as (select distinct l_linenumber as a, l_quantity::int as b from lineitem),
 x as (select a, b, unnest(generate_series(least(a, b), greatest(a, b)))::varchar as id from q union select a, b, (a + 100)::varchar from q) select distinct a, b, id from x""")
 def id_list_explode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,21 +164,22 @@ def exact_street(spark: SparkSession, sf_dir: str) -> DataFrame:
 q as (select p_partkey as rid, p_size % 4 as k, p_name, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) as turned, p_size from part),
 tok as (select q.rid, min(n.name) as name from q join n on list_has_all(string_split(n.name, ' '), string_split(q.turned, ' ')) where k = 1 and turned not in (select name from n) group by 1 having count(*) = 1)
 select q.rid, case when k = 0 then (case when p_size <= 25 then a.lo else a.hi end) when k = 1 and b.name is not null then (case when p_size <= 25 then b.lo else b.hi end) when k = 1 and t.name is not null then (case when p_size <= 25 then c.lo else c.hi end)
-  when k = 2 then 'campus' else '{resolver.NO_ADDRESS}' end as neighborhood,
+  when k = 2 then 'campus' when p_size % 8 = 7 then '{resolver.UNKNOWN}' else '{resolver.NO_ADDRESS}' end as neighborhood,
   case when k = 0 or (k = 1 and b.name is not null) then (case when p_size <= 25 then 'house_range_p1' else 'street_level_p2' end) when k = 1 and t.name is not null then (case when p_size <= 25 then 'token_subset_p1' else 'token_subset_p2' end)
-  when k = 2 then 'landmark' else 'no_address' end as method
+  when k = 2 then 'landmark' when p_size % 8 = 7 then 'unknown' else 'no_address' end as method
 from q left join n a on a.name = p_name left join n b on b.name = q.turned left join tok t on t.rid = q.rid left join n c on c.name = t.name where k <> 1 or b.name is not null or t.name is not null""")
 def resolve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth record by its street, by its words turned round, by a landmark, and without an address. Turned names
-    that stay open go on to fuzzy matching, which SQL does not have, and are left out of both sides."""
+    """Every fourth record by its street, by its words turned round, by a landmark, and without an address or with one that
+    nothing knows. Turned names that stay open go on to fuzzy matching, which has a query of its own, and are left out of
+    both sides."""
     k = F.col("p_size") % 4
     turned = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1)))
-    street = F.when(k == 0, F.col("p_name")).when(k == 1, turned).when(k == 2, "טכניון צפון").otherwise("")
+    street = F.when(k == 0, F.col("p_name")).when(k == 1, turned).when(k == 2, "טכניון צפון").when(F.col("p_size") % 8 == 7, "qxqx").otherwise("")
     r = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("rid"), street.alias("street"), F.when(k < 2, F.col("p_size").cast("string")).otherwise("").alias("house"), F.lit("").alias("full_text"), F.lit("").alias("block"), F.lit("").alias("parcel"))
     marks = spark.createDataFrame([("טכניון", "campus", 0)], "pattern string, neighborhood string, ord int")
     blocks = spark.createDataFrame([], "block string, parcel string, neighborhood string, priority int, support double, ord int")
     out = resolver.resolve(r, _street_index(spark, sf_dir), marks, blocks)
-    return out.filter(~F.col("method").startswith("fuzzy") & (F.col("method") != "unknown")).select("rid", "neighborhood", "method")
+    return out.filter(~F.col("method").startswith("fuzzy")).select("rid", "neighborhood", "method")
 
 
 # ---------------------------------------------------------------- shapes: boxes, for which SQL has closed forms

@@ -175,12 +175,36 @@ def test_alias_chain_of_any_length(spark):
     assert {r["canonical"] for r in index.canonical(a).collect()} == {"n20"}
 
 
+def test_alias_chain_of_ten_thousand(spark, monkeypatch):
+    """Rounds grow with the logarithm; tails of several lengths enter a cycle where they meet it."""
+    rounds = []
+    made = index.cut
+    monkeypatch.setattr(index, "cut", lambda df: rounds.append(1) or made(df))
+    a = spark.createDataFrame([(f"n{i:05d}", f"n{i + 1:05d}") for i in range(10_000)], "alias string, canonical string")
+    got = index.canonical(a)
+    assert got.count() == 10_000 and {r["canonical"] for r in got.select("canonical").distinct().collect()} == {"n10000"}
+    assert len(rounds) < 20
+    ring = [(f"c{i}", f"c{(i + 1) % 5}") for i in range(5)] + [("t3", "t2"), ("t2", "t1"), ("t1", "c2"), ("u", "c4"), ("self", "self"), ("v", "self"), ("e", "")]
+    got = {r["alias"]: r["canonical"] for r in index.canonical(spark.createDataFrame(ring, "alias string, canonical string")).collect()}
+    assert got == {f"c{i}": f"c{i}" for i in range(5)} | {"t3": "c2", "t2": "c2", "t1": "c2", "u": "c4", "self": "self", "v": "self", "e": ""}
+
+
+def test_landmarks_by_the_hundred_thousand(spark):
+    """One pass over each text, in parts of the list; the first in file order counts."""
+    marks = spark.range(100_000).selectExpr("concat('mark ', id, ' x') as pattern", "concat('area ', id) as neighborhood", "cast(id as int) as ord")
+    q = spark.createDataFrame([(i, f"near mark {99_999 - i * 7} x and mark {i * 13 + 5} x", "") for i in range(60)], "rid long, full_text string, street string")
+    got = {r["rid"]: r["neighborhood"] for r in resolver.landmark(q, marks).collect()}
+    assert got == {i: f"area {min(99_999 - i * 7, i * 13 + 5)}" for i in range(60)}
+
+
 def test_landmarks_beyond_a_list(spark, monkeypatch):
     q = spark.createDataFrame([("1", "the old mill road", ""), ("2", "", "mi"), ("3", "", "")], "rid string, full_text string, street string")
     marks = spark.createDataFrame([("mill", "M", 1), ("old mill", "O", 0), ("mi", "S", 2)], "pattern string, neighborhood string, ord int")
     want = {"1": "O", "2": "S"}
     assert {r["rid"]: r["neighborhood"] for r in resolver.landmark(q, marks).collect()} == want
-    monkeypatch.setattr(resolver, "LIST_BYTES", 0)
+    monkeypatch.setattr(resolver, "LIST_MOST", 0)
+    assert {r["rid"]: r["neighborhood"] for r in resolver.landmark(q, marks).collect()} == want
+    monkeypatch.setattr(resolver, "PART_BYTES", 6)
     assert {r["rid"]: r["neighborhood"] for r in resolver.landmark(q, marks).collect()} == want
 
 
