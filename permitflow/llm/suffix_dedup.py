@@ -15,9 +15,10 @@ steps, each exact:
    Burrows-Wheeler transform, string intervals are extended backward breadth-first: the common-prefix value of two
    neighbouring suffixes becomes known in the round of that value, as soon as the intervals of their tails part. The
    expansion stops at LEAST; suffixes still together share LEAST bytes, and the smallest document among them owns them.
-3. A key of more than HOT stretches is not put in one block: its strings are compared one by one by aggregation. Where a
-   sample of the texts shows such a key, its stretches do not meet in one bucket before either: they are dealt out by
-   stretch in step 1, and the sides are compared by aggregation.
+3. A key of more than SPLIT stretches is dealt out over several blocks, each with a transform of its own. What a block
+   can't settle, its strings that no smaller document of the block has, once each, is settled by the smallest of the
+   blocks' owners of a string. Where a sample of the texts shows a key of more than HOT stretches, they do not meet in one
+   bucket before either: they are dealt out by stretch in step 1, and the sides are compared by aggregation.
 
 Defined edge cases: a null text is empty; a null doc_id counts as larger than any; rows of equal doc_id never remove each
 other's bytes, and are told apart by a checksum of their text, so that each gets its own result; texts below LEAST bytes stay; an empty table gives an empty result; other columns are ignored.
@@ -34,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitflow.llm.common import cut, small_batches
+from permitflow.llm.common import cut, sized, small_batches
 
 LEAST = 50
 K = 16
 HOT = 20_000
+#: Open stretches of a key in one block.
+SPLIT = 4096
 #: One text in so many shows which keys are hot before they are dealt out, and so many of them are told apart at most.
 SAMPLE, HOT_MOST = 64, 1 << 20
 SIDE = (LEAST - K) // 2
@@ -350,10 +353,18 @@ def owners(strings: list[bytes], docs: np.ndarray, least: int = LEAST) -> tuple[
     return out, offsets
 
 
+_COMPARED = "doc long, tag long, start long, n int, string binary"
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, tag, start, n) to remove, of a partition of (key, doc, tag, start, data) sorted by key."""
+    """Rows (doc, tag, start, n, string) of a partition of (key, part, split, doc, tag, start, data) sorted by key and part:
+    runs to remove, and, of a key with other parts, each string that none of this block's documents removes."""
 
-    def block(places: list[tuple[int, int, int]], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def rows(*columns: np.ndarray | list, string: list[bytes] | None = None) -> pa.RecordBatch:
+        last = pa.nulls(len(columns[0]), pa.binary()) if string is None else pa.array(string, pa.binary())
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)), last], names=["doc", "tag", "start", "n", "string"])
+
+    def block(places: list[tuple[int, int, int, bool]], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
         at = np.array(places, np.int64)
         low, offsets = owners(strings, at[:, 0])
         hit = low < np.repeat(at[:, 0], np.diff(offsets))
@@ -361,19 +372,30 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
         a, b = np.nonzero(edge > 0)[0], np.nonzero(edge < 0)[0]
         which = np.searchsorted(offsets, a, side="right") - 1
-        doc, tag, start = at[which].T
-        yield pa.RecordBatch.from_arrays([pa.array(doc.copy()), pa.array(tag.copy()), pa.array(start + a - offsets[which]), pa.array((b - a).astype(np.int32))], names=["doc", "tag", "start", "n"])
-
-    places: list[tuple[int, int, int]] = []
+        doc, tag, start, _ = at[which].T
+        yield rows(doc, tag, start + a - offsets[which], b - a)
+        if not at[:, 3].any():
+            return
+        sizes = np.diff(offsets)
+        of = np.repeat(np.arange(len(at)), sizes)
+        within = np.arange(len(of)) - offsets[of]
+        mine = np.nonzero(~hit & (at[of, 3] > 0) & (within < sizes[of] - LEAST))[0]
+        joined = b"\0".join(strings)
+        doc, tag, start, _ = at[of[mine]].T
+        for i in range(0, len(mine), 10_000):
+            some = slice(i, i + 10_000)
+            yield rows(doc[some], tag[some], (start + within[mine])[some], np.ones(len(mine[some]), np.int32), string=[joined[k : k + LEAST] for k in mine[some].tolist()])
+
+    places: list[tuple[int, int, int, bool]] = []
     strings: list[bytes] = []
     size, last = 0, None
     for b in batches:
-        for key, doc, tag, start, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if key != last and size >= BLOCK:
+        for key, part, split, doc, tag, start, data in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            if (key, part) != last and size >= BLOCK:
                 yield from block(places, strings)
                 places, strings, size = [], [], 0
-            last = key
-            places.append((doc, tag, start))
+            last = key, part
+            places.append((doc, tag, start, split))
             strings.append(data)
             size += len(data) + 1
     if places:
@@ -438,14 +460,6 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _binary_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tag, start, string) of each single string of hot keys' stretches."""
-    for b in batches:
-        rows = [(doc, tag, start + i, raw[i : i + LEAST]) for doc, tag, start, raw in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True) for i in range(len(raw) - LEAST + 1)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)], names=["doc", "tag", "start", "string"])
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """(doc, tag, doc_id, text): the id that orders, NO_ID for null, and the text's checksum."""
     text = F.col("text").cast("string")
@@ -479,19 +493,20 @@ def spans(docs: DataFrame) -> DataFrame:
     by_doc = cut(by_doc.mapInArrow(_packed_open, "doc long, tag long, open binary"))
     texts = _meet(d, by_doc, "inner")
     fetched = texts.select("doc", "tag", "text", "open").mapInArrow(_fetched, "key long, doc long, tag long, start long, data binary")
-    hot = cut(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"))
+    # Keys of several blocks: fewer than one in SPLIT of the open stretches.
+    many = cut(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT).select(F.col("key").alias("m_key"), F.ceil(F.col("n") / SPLIT).alias("blocks")))
+    dealt = fetched.join(sized(many), F.col("key") == F.col("m_key"), "left")
+    dealt = dealt.select("key", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc", "start"), F.col("blocks"))).cast("int").alias("part"), F.col("blocks").isNotNull().alias("split"), "doc", "tag", "start", "data")
+    compared = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_compared, _COMPARED)
     gone = found.filter("key is null").select("doc", "tag", "start", "n")
-    if not hot.isEmpty():
-        fetched = cut(fetched)
-        cols = ["key", "doc", "tag", "start", "data"]
-        single = fetched.join(hot, "key", "left_semi").select(*cols).mapInArrow(_binary_runs, "doc long, tag long, start long, string binary")
-        single = cut(single)
-        first = single.groupBy("string").agg(F.min("doc").alias("low"))
-        late = single.join(first, "string").filter("low < doc").select("doc", "tag", "start", F.lit(1).alias("n"))
-        gone = gone.unionByName(late)
-        fetched = fetched.join(hot, "key", "left_anti").select(*cols)
-    compared = fetched.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compared, "doc long, tag long, start long, n int")
-    gone = gone.unionByName(compared)
+    if many.isEmpty():
+        gone = gone.unionByName(compared.select("doc", "tag", "start", "n"))
+    else:
+        compared = cut(compared)
+        held = compared.filter("string is not null")
+        first = held.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("string", "low")
+        late = held.join(first, "string").filter("low < doc").select("doc", "tag", "start", "n")
+        gone = gone.unionByName(compared.filter("string is null").select("doc", "tag", "start", "n")).unionByName(late)
     gone = gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return cut(gone.mapInArrow(_packed_spans, "doc long, tag long, spans binary"))
 

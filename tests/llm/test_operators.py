@@ -249,7 +249,7 @@ def test_suffix_dedup_repeated_ids(spark):
     assert got == [(1, 120, 0), (1, 120, 0), (1, 120, 0), (2, 241, 120), (99, 120, 120), (99, 120, 120), (99, 240, 240)]
 
 
-@pytest.mark.parametrize(("name", "value"), [("HOT", 1), ("BROADCAST_BYTES", 0), ("CHUNK", 100)])
+@pytest.mark.parametrize(("name", "value"), [("HOT", 1), ("SPLIT", 1), ("SPLIT", 3), ("BROADCAST_BYTES", 0), ("CHUNK", 100)])
 def test_suffix_dedup_other_ways(docs, rows, monkeypatch, name, value):
     monkeypatch.setattr(suffix_dedup, name, value)
     want = brute.repeats([(r[0], r[1]) for r in rows])
@@ -257,14 +257,14 @@ def test_suffix_dedup_other_ways(docs, rows, monkeypatch, name, value):
     assert got == want
 
 
-@pytest.mark.parametrize("blocks", [20_000, 1])
-def test_suffix_dedup_hot_keys(spark, docs, rows, monkeypatch, blocks):
-    """Keys that are dealt out by stretch, then compared in blocks or string by string."""
+@pytest.mark.parametrize("split", [4096, 2])
+def test_suffix_dedup_hot_keys(spark, docs, rows, monkeypatch, split):
+    """Keys that are dealt out by stretch, then compared in one block or in several."""
     monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
     hot = suffix_dedup._hot_keys(suffix_dedup._rows(docs))
     assert len(hot) > 5
-    monkeypatch.setattr(suffix_dedup, "HOT", blocks)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
     monkeypatch.setattr(suffix_dedup, "_hot_keys", lambda d: hot)
     want = brute.repeats([(r[0], r[1]) for r in rows])
     assert {r["doc_id"]: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, kept=False).collect()} == want
@@ -449,7 +449,7 @@ def test_suffix_dedup_memory_of_a_worker():
     texts = [" ".join(rnd.choices(words, k=300)) for _ in range(2500)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc", "text"])
     strings = [t[i : i + 70].encode() for t in texts[:800] for i in range(0, 1400, 70)]
-    open_ = pa.RecordBatch.from_arrays([pa.array(x) for x in (range(len(strings)), range(len(strings)), [0] * len(strings), [0] * len(strings), strings)], names=["key", "doc", "tag", "start", "data"])
+    open_ = pa.RecordBatch.from_arrays([pa.array(x) for x in (range(len(strings)), [0] * len(strings), [True] * len(strings), range(len(strings)), [0] * len(strings), [0] * len(strings), strings)], names=["key", "part", "split", "doc", "tag", "start", "data"])
 
     def peak(rows):
         tracemalloc.start()
