@@ -9,8 +9,11 @@ template so far):
 * Children that do differ are put into bands of like shares, and bands are compared branch with branch, from the lowest
   up: two whose shares do not differ significantly become one. A branch of one child keeps its name.
 
-A template is rejected if its smoothed share of bad labels, (bad + WEIGHT * prior) / (labelled + WEIGHT) with the
-corpus's share as prior, reaches REJECT.
+A template is rejected if its smoothed share of bad labels, (bad + weight * prior) / (labelled + weight) with the
+corpus's share as prior, reaches REJECT. The weight comes from the templates themselves: it is that of the beta-binomial
+whose spread between templates is the one seen beyond chance. Where templates differ much, a few labels say a lot about
+one; where they differ no more than by chance, each is taken for the corpus. LEAST_WEIGHT labels at least are added, so that
+one label alone decides nothing.
 
 The tree works on counts per (host, path form), not on pages, so a hot host is combined map-side before any shuffle. A
 node's bands are at most BANDS, however many children it has.
@@ -34,7 +37,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: reaches by chance.
 Z = 2.0
 BANDS = 20
-WEIGHT = 10.0
+LEAST_WEIGHT = 1.0
 REJECT = 0.5
 
 
@@ -111,6 +114,19 @@ def templates(forms: DataFrame) -> DataFrame:
     return t.select("host", "form", "n", "labelled", "bad", F.col("tpl").alias("template"))
 
 
+def smoothing(bad: int | None, labelled: int | None, templates: int, bad_square: float | None, labelled_square: int | None) -> tuple[float, float]:
+    """(prior, weight) by moments. ``bad_square``: sum of bad^2 / labelled over the templates with labels, of which there
+    are ``templates``; ``labelled_square``: sum of labelled^2."""
+    if not labelled:
+        return 0.0, LEAST_WEIGHT
+    p = bad / labelled
+    chance = p * (1 - p)
+    room = labelled - labelled_square / labelled - (templates - 1)
+    between = (bad_square - labelled * p * p - (templates - 1) * chance) / room if room > 0 else 0.0
+    share = between / chance if chance else 0.0  # of the spread that is between templates
+    return p, max(LEAST_WEIGHT, min((1 - share) / share, float(labelled)) if share > 0 else float(labelled))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity per page row. ``labels``: doc_id of a page and its marks;
     a page of low quality or toxic text is bad."""
@@ -123,10 +139,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
         F.count(F.lit(1)).alias("n"), F.count("mark").alias("labelled"), F.coalesce(F.sum("mark"), F.lit(0)).alias("bad")
     )
     t = templates(cut(forms))
-    whole = t.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()  # two numbers
-    prior = F.lit(float(whole["b"]) / whole["l"] if whole["l"] else 0.0)
-    stats = t.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    stats = stats.select("host", "template", ((F.col("bad") + WEIGHT * prior) / (F.col("labelled") + WEIGHT)).alias("purity"))
+    stats = cut(t.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+    square = F.sum(F.try_divide(F.col("bad") * F.col("bad"), F.col("labelled")))
+    whole = stats.agg(F.sum("bad"), F.sum("labelled"), F.count_if(F.col("labelled") > 0), square, F.sum(F.col("labelled") * F.col("labelled"))).first()  # five numbers
+    prior, weight = smoothing(*whole)
+    stats = stats.select("host", "template", ((F.col("bad") + weight * prior) / (F.col("labelled") + weight)).alias("purity"))
     by_form = cut(t.join(stats, ["host", "template"]).select(F.col("host").alias("f_host"), F.col("form").alias("f_form"), "template", "purity"))
     j = p.join(by_form, (F.col("host") == F.col("f_host")) & (F.col("form") == F.col("f_form")), "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)

@@ -49,13 +49,30 @@ def test_like_branches_merge_and_chance_makes_none(spark):
 
 def plain_purity(rows):
     """Smoothed share by (host, template) from the judged rows themselves."""
-    labelled = [r for r in rows if r[2] is not None]
-    prior = sum(r[2] for r in labelled) / len(labelled) if labelled else 0.0
-    out = {}
-    for key in {(r[0], r[1]) for r in rows}:
-        own = [r[2] for r in labelled if (r[0], r[1]) == key]
-        out[key] = (sum(own) + url_filter.WEIGHT * prior) / (len(own) + url_filter.WEIGHT)
-    return out
+    own = {key: [r[2] for r in rows if (r[0], r[1]) == key and r[2] is not None] for key in {(r[0], r[1]) for r in rows}}
+    seen = [v for v in own.values() if v]
+    n, k = sum(map(len, seen)), len(seen)
+    p = sum(map(sum, seen)) / n
+    between = (sum(len(v) * (sum(v) / len(v) - p) ** 2 for v in seen) - (k - 1) * p * (1 - p)) / (n - sum(len(v) ** 2 for v in seen) / n - (k - 1))
+    share = between / (p * (1 - p))
+    w = max(1.0, min((1 - share) / share, n) if share > 0 else n)
+    return {key: (sum(v) + w * p) / (len(v) + w) for key, v in own.items()}
+
+
+def test_weight_follows_the_spread_between_templates():
+    rnd = random.Random(5)
+
+    def weight(draw):
+        groups = [[rnd.random() < q for _ in range(20)] for q in (draw() for _ in range(2000))]
+        b = [sum(g) for g in groups]
+        return url_filter.smoothing(sum(b), 20 * len(b), len(b), sum(x * x / 20 for x in b), 400 * len(b))
+
+    for a, b in ((1, 3), (4, 12), (0.5, 0.5)):  # beta-binomial of weight a + b
+        prior, w = weight(lambda a=a, b=b: rnd.betavariate(a, b))
+        assert w == pytest.approx(max(1, a + b), rel=0.25) and prior == pytest.approx(a / (a + b), abs=0.03)
+    assert weight(lambda: 0.2)[1] > 100  # alike but for chance
+    assert url_filter.smoothing(None, None, 0, None, None) == (0.0, 1.0) and url_filter.smoothing(0, 5, 2, 0.0, 13) == (0.0, 5.0)
+    assert url_filter.smoothing(3, 3, 1, 3.0, 9)[0] == 1.0
 
 
 def test_planted_template_among_the_sample_pages(spark):
