@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
 from permitflow.operators import index, projection, render, reports, spatial, state
+from permitflow.operators.cells import Cells, Grid
 from permitflow.operators.lineage import cut
 from permitflow.plans import daily, lookup_build, stats
 from permitflow.sources import api, log_sink, permits, sinks, tables
@@ -155,6 +156,11 @@ def _areas(spark: SparkSession, path: str, name: str, crs: str | None, target: s
     return a.select(T.clean_text(name).alias("neighborhood"), "rings")
 
 
+def _cells(o: argparse.Namespace) -> Cells | None:
+    """An even grid if its size is named, else cells are learned."""
+    return Grid(o.cell, o.cell) if o.cell else None
+
+
 def street_index(spark: SparkSession, o: argparse.Namespace) -> int:
     areas = _areas(spark, o.areas, o.area_field, o.areas_crs, o.points_crs)
     head = spark.read.csv(o.points, header=True).columns
@@ -173,7 +179,7 @@ def street_index(spark: SparkSession, o: argparse.Namespace) -> int:
         legacy = tables.read_csv(spark, o.legacy, "street string, neighborhood string", None)
     if o.aliases:
         aliases = tables.read_aliases(spark, o.aliases)
-    rows = cut(lookup_build.street_index(p, areas, lines, legacy, aliases, o.cell))
+    rows = cut(lookup_build.street_index(p, areas, lines, legacy, aliases, _cells(o)))
     sinks.write_index(rows.drop("ord"), o.out, ["street_key", "priority", "house_from"])
     if o.report:
         count = lambda x: x.agg(F.count(F.lit(1)).alias("n"))
@@ -191,7 +197,7 @@ def block_index(spark: SparkSession, o: argparse.Namespace) -> int:
     g, own = tables.layer(tables.read_geojson(spark, o.parcels, "block:string,parcel:string"), o.parcels_crs)
     areas = _areas(spark, o.areas, o.area_field, o.areas_crs, own)
     parcels = cut(g.select("block", "parcel", "rings").withColumn("id", F.xxhash64("block", "parcel", "rings")))
-    shared = spatial.overlay(parcels.select("id", "rings"), areas, "id", "neighborhood", o.cell)
+    shared = spatial.overlay(parcels.select("id", "rings"), areas, "id", "neighborhood", _cells(o))
     rows = cut(index.block_index(shared.join(parcels.select("id", "block", "parcel").distinct(), "id")))
     sinks.write_index(rows, o.out, ["block", "priority", "parcel"])
     if o.report:
@@ -226,7 +232,7 @@ def parser() -> argparse.ArgumentParser:
     for name, do, needed, optional in (("street-index", street_index, "points areas out", "lines legacy aliases report areas-crs lines-crs"), ("block-index", block_index, "parcels areas out", "report areas-crs parcels-crs")):
         c = command(name, do, needed, optional)
         c.add_argument("--area-field", default="name")
-        c.add_argument("--cell", type=float, default=500.0)
+        c.add_argument("--cell", type=float)
         if name == "street-index":
             c.add_argument("--points-crs", default="EPSG:2039")
     return top

@@ -1,8 +1,9 @@
 """Spatial joins without a geometry library. Shapes are ``rings``: array<array<struct<x double, y double>>>, even-odd.
 
-Shapes are dealt to the grid cells that their boxes touch, so every join is an equi-join on a cell; containment and
-distance are JVM expressions, overlays an Arrow function on the pairs that share a cell. All layers of one call must be
-in one planar coordinate system; reprojection is out of scope and callers with mixed systems must convert before.
+Shapes are dealt to the cells that their boxes touch, so every join is an equi-join on a cell; containment and distance are
+JVM expressions, overlays an Arrow function on the pairs that share a cell. Cells are those of a quadtree learned from the
+points (of shapes: their boxes' centres), unless the caller names others. All layers of one call must be in one planar
+coordinate system; :mod:`projection` brings them there.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from permitflow.operators.cells import Cells, Quadtree, quadtree
+
 
 def _box(rings: Column) -> tuple[Column, Column, Column, Column]:
     points = F.flatten(rings)
@@ -19,11 +22,15 @@ def _box(rings: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
-def _cells(shapes: DataFrame, rings: str, cell_x: float, cell_y: float, margin: float = 0.0) -> DataFrame:
-    """``shapes`` once per grid cell of its box, widened by ``margin``."""
+def _dealt(shapes: DataFrame, rings: str, cells: Cells, margin: float = 0.0) -> DataFrame:
+    """``shapes`` once per cell that its box, widened by ``margin``, touches."""
+    x0, y0, x1, y1 = _box(F.col(rings))
+    return shapes.withColumn("cell", F.explode(cells.over(x0 - margin, y0 - margin, x1 + margin, y1 + margin)))
+
+
+def _learned(shapes: DataFrame, rings: str) -> Quadtree:
     x0, y0, x1, y1 = _box(F.col(rings))
-    span = lambda a, b, size: F.sequence(F.floor((a - margin) / size), F.floor((b + margin) / size))
-    return shapes.withColumn("cx", F.explode(span(x0, x1, cell_x))).withColumn("cy", F.explode(span(y0, y1, cell_y)))
+    return quadtree(shapes, (x0 + x1) / 2, (y0 + y1) / 2)
 
 
 def _edges(rings: str) -> str:
@@ -41,21 +48,22 @@ def inside(rings: str, x: str, y: str) -> Column:
     return F.expr(f"{cross} % 2 = 1 and not {on}")
 
 
-def within(points: DataFrame, areas: DataFrame, cell_x: float, cell_y: float) -> DataFrame:
+def within(points: DataFrame, areas: DataFrame, cells: Cells | None = None) -> DataFrame:
     """Points (x, y, ...) with every area (rings, ...) that they lie in; overlapping areas repeat the point."""
-    a = _cells(areas, "rings", cell_x, cell_y)
-    p = points.withColumns({"cx": F.floor(F.col("x") / cell_x), "cy": F.floor(F.col("y") / cell_y)})
-    return p.join(a, ["cx", "cy"]).filter(inside("rings", "x", "y")).drop("cx", "cy", "rings")
+    cells = cells or quadtree(points, F.col("x"), F.col("y"))
+    p = points.withColumn("cell", cells.at(F.col("x"), F.col("y")))
+    return p.join(_dealt(areas, "rings", cells), "cell").filter(inside("rings", "x", "y")).drop("cell", "rings")
 
 
-def nearest(points: DataFrame, areas: DataFrame, key: str, area: str, most: float, cell: float) -> DataFrame:
+def nearest(points: DataFrame, areas: DataFrame, key: str, area: str, most: float, cells: Cells | None = None) -> DataFrame:
     """(key, area, distance) of the nearest area boundary within ``most``, for points not inside. Ties: smaller area."""
-    a = _cells(areas, "rings", cell, cell, margin=most)
-    p = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    cells = cells or quadtree(points, F.col("x"), F.col("y"))
+    a = _dealt(areas, "rings", cells, margin=most)
+    p = points.withColumn("cell", cells.at(F.col("x"), F.col("y")))
     e = _edges("rings")
     t = "greatest(0D, least(1D, coalesce(try_divide((x - s.ax) * (s.bx - s.ax) + (y - s.ay) * (s.by - s.ay), power(s.bx - s.ax, 2) + power(s.by - s.ay, 2)), 0D)))"
     d = f"array_min(transform({e}, s -> sqrt(power(s.ax + {t} * (s.bx - s.ax) - x, 2) + power(s.ay + {t} * (s.by - s.ay) - y, 2))))"
-    j = p.join(a, ["cx", "cy"]).withColumn("distance", F.expr(d)).filter(F.col("distance") <= most)
+    j = p.join(a, "cell").withColumn("distance", F.expr(d)).filter(F.col("distance") <= most)
     return j.groupBy(key).agg(F.min_by(F.struct(area, "distance"), F.struct("distance", area)).alias("b")).select(key, f"b.{area}", "b.distance")
 
 
@@ -123,19 +131,20 @@ def shared_length(line: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap_length(list(x), y) for x, y in zip(line, b, strict=True)], dtype="float64")
 
 
-def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:
+def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cells: Cells | None = None) -> DataFrame:
     """(left_key, right_key, area) of each pair of shapes with a shared area. Pairs that meet in several cells count once."""
-    a = _cells(left.select(left_key, F.col("rings").alias("ra")), "ra", cell, cell)
-    b = _cells(right.select(right_key, F.col("rings").alias("rb")), "rb", cell, cell)
-    pairs = a.join(b, ["cx", "cy"]).select(left_key, right_key).distinct()
+    cells = cells or _learned(left, "rings")
+    a = _dealt(left.select(left_key, F.col("rings").alias("ra")), "ra", cells)
+    b = _dealt(right.select(right_key, F.col("rings").alias("rb")), "rb", cells)
+    pairs = a.join(b, "cell").select(left_key, right_key).distinct()
     j = pairs.join(left.select(left_key, F.col("rings").alias("ra")), left_key).join(right.select(right_key, F.col("rings").alias("rb")), right_key)
     return j.withColumn("area", shared_area("ra", "rb")).filter("area > 0").select(left_key, right_key, "area")
 
 
-def line_overlay(lines: DataFrame, areas: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:
+def line_overlay(lines: DataFrame, areas: DataFrame, left_key: str, right_key: str, cells: Cells | None = None) -> DataFrame:
     """(left_key, right_key, length) of lines (``points``) within areas."""
-    a = _cells(lines.select(left_key, F.array("points").alias("ra")), "ra", cell, cell)
-    b = _cells(areas.select(right_key, F.col("rings").alias("rb")), "rb", cell, cell)
-    pairs = a.join(b, ["cx", "cy"]).select(left_key, right_key).distinct()
+    of = lines.select(left_key, F.array("points").alias("ra"))
+    cells = cells or _learned(of, "ra")
+    pairs = _dealt(of, "ra", cells).join(_dealt(areas.select(right_key, F.col("rings").alias("rb")), "rb", cells), "cell").select(left_key, right_key).distinct()
     j = pairs.join(lines.select(left_key, "points"), left_key).join(areas.select(right_key, F.col("rings").alias("rb")), right_key)
     return j.withColumn("length", shared_length("points", "rb")).filter("length > 0").select(left_key, right_key, "length")

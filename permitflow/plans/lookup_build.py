@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
 from permitflow.operators import index, ranges, spatial
+from permitflow.operators.cells import Cells
 from permitflow.operators.lineage import cut
 
 WHOLE = (0, 99999)
@@ -14,12 +15,12 @@ SNAP = 25.0
 COLUMNS = ["street_key", "street_display", "house_from", "house_to", "neighborhood", "priority", "method", "support", "ord"]
 
 
-def place_points(points: DataFrame, areas: DataFrame, cell: float, snap: float = SNAP) -> DataFrame:
+def place_points(points: DataFrame, areas: DataFrame, cells: Cells | None = None, snap: float = SNAP) -> DataFrame:
     """Address points (id, x, y, street, house) with their area: the one they lie in, else the nearest within ``snap``."""
     a = areas.withColumn("neighborhood", T.clean_text("neighborhood")).filter("neighborhood <> ''")
-    inside = cut(spatial.within(points, a, cell, cell))
+    inside = cut(spatial.within(points, a, cells))
     rest = points.join(inside.select("id").distinct(), "id", "left_anti")
-    near = spatial.nearest(rest, a, "id", "neighborhood", snap, cell).select("id", "neighborhood")
+    near = spatial.nearest(rest, a, "id", "neighborhood", snap, cells).select("id", "neighborhood")
     return inside.unionByName(rest.join(near, "id").select(*inside.columns))
 
 
@@ -30,9 +31,9 @@ def _row(df: DataFrame, priority: int, method: str) -> DataFrame:
     return d.withColumn("ord", F.struct("priority", "street_key", "house_from", F.lit(0).alias("k"))).select(*COLUMNS)
 
 
-def street_index(points: DataFrame, areas: DataFrame, lines: DataFrame | None, legacy: DataFrame | None, aliases: DataFrame | None, cell: float, min_run: int = 2, min_support: int = 1, merge_words: bool = True) -> DataFrame:
+def street_index(points: DataFrame, areas: DataFrame, lines: DataFrame | None, legacy: DataFrame | None, aliases: DataFrame | None, cells: Cells | None = None, min_run: int = 2, min_support: int = 1, merge_words: bool = True) -> DataFrame:
     """Index rows. ``lines``: (street, points); ``legacy``: (street, neighborhood); ``aliases``: (alias, canonical)."""
-    p = place_points(points, areas, cell).withColumn("street_key", T.normalize_street("street"))
+    p = place_points(points, areas, cells).withColumn("street_key", T.normalize_street("street"))
     p = cut(p.filter(~F.col("street_key").isin(T.PLACEHOLDER_STREETS)).filter("street_key <> ''").withColumn("house_no", T.house_number("house")))
     shown = p.groupBy("street_key").agg(F.min_by(T.clean_text("street"), "id").alias("street_display"))
     houses = ranges.modal(p.filter("house_no is not null"), ["street_key", "house_no"], "neighborhood", "id").select("street_key", "house_no", "neighborhood")
@@ -43,7 +44,7 @@ def street_index(points: DataFrame, areas: DataFrame, lines: DataFrame | None, l
     if lines is not None:
         named = lines.withColumn("street_key", T.normalize_street("street")).filter("street_key <> ''")
         named = cut(index.missing_tier(named, p).withColumn("id", F.xxhash64("street_key", "points")))
-        parts = spatial.line_overlay(named.select("id", "points").distinct(), areas, "id", "neighborhood", cell)
+        parts = spatial.line_overlay(named.select("id", "points").distinct(), areas, "id", "neighborhood", cells)
         sized = named.select("id", "street_key").distinct().join(parts, "id")
         major = index.share_majority(sized, ["street_key"], "neighborhood", "length")
         names = named.groupBy("street_key").agg(F.min(T.clean_text("street")).alias("street_display"))

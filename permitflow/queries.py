@@ -518,7 +518,7 @@ def spatial_pip(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, y0 = (F.col("n_nationkey") % 5) * 20.0, F.floor(F.col("n_nationkey") / 5) * 2200.0 - 1000
     ring = F.array(*(F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y")) for dx, dy in ((0, 0), (20, 0), (20, 2200), (0, 2200))))
     areas = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("area"), F.array(ring).alias("rings"))
-    return spatial.within(points, areas, cell_x=20.0, cell_y=2200.0).select("c_custkey", "area")
+    return spatial.within(points, areas).select("c_custkey", "area")
 
 
 _TURNED = "case when p_size % 3 = 0 then reverse(p_name) when p_size % 3 = 1 then split_part(p_name, ' ', 2) || ' ' || lower(p_type) || ' ' || split_part(p_name, ' ', 1) else p_name || ' ' || p_name || ' ' || lower(p_brand) end"

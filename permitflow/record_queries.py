@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
 from permitflow.functions.arrow import fix_bidi
-from permitflow.operators import index, merge, projection, ranges, render, reports, resolver, spatial, state
+from permitflow.operators import cells, index, merge, projection, ranges, render, reports, resolver, spatial, state
 from permitflow.plans import daily
 from permitflow.queries import _LINES, _STATE, QUERIES, SQL, _lines, _records, _t, query
 from permitflow.sources import permits
@@ -203,8 +203,8 @@ select c_custkey, arg_min(area, (round(d, 6), area)) as area, round(min(d), 6) a
 def nearest_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "customer").selectExpr("c_custkey", "cast((c_custkey * 7 % 1490) / 10.0D + 0.03D as double) as x", "cast((c_custkey * 13 % 1490) / 10.0D + 0.07D as double) as y")
     a = _areas(spark, sf_dir)
-    rest = p.join(spatial.within(p, a, 20.0, 20.0).select("c_custkey"), "c_custkey", "left_anti")
-    return spatial.nearest(rest, a, "c_custkey", "area", 6.0, 20.0).withColumn("distance", F.round("distance", 6))
+    rest = p.join(spatial.within(p, a, cells.Grid(20.0, 20.0)).select("c_custkey"), "c_custkey", "left_anti")
+    return spatial.nearest(rest, a, "c_custkey", "area", 6.0).withColumn("distance", F.round("distance", 6))
 
 
 _OVERLAY = f"""{_BOX}, s as (select s_suppkey, (s_suppkey * 17 % 130)::double as a0, (s_suppkey * 29 % 130)::double as b0 from supplier),
@@ -216,7 +216,7 @@ def _parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.overlay(_parcels(spark, sf_dir), _areas(spark, sf_dir).withColumnRenamed("area", "hood"), "s_suppkey", "hood", 20.0)
+    return spatial.overlay(_parcels(spark, sf_dir), _areas(spark, sf_dir).withColumnRenamed("area", "hood"), "s_suppkey", "hood")
 
 
 @query(f"with {_OVERLAY} select s_suppkey, area as hood, round(shared, 6)::double as area from o where shared > 0")
@@ -233,7 +233,7 @@ def best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (F.col("s_suppkey") * 17 % 130).cast("double"), F.col("s_suppkey") * 29 % 130 + 0.5
     lines = _t(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.struct(a.alias("x"), b.cast("double").alias("y")), F.struct((a + 40).alias("x"), b.cast("double").alias("y"))).alias("points"))
-    return spatial.line_overlay(lines, _areas(spark, sf_dir).withColumnRenamed("area", "hood"), "s_suppkey", "hood", 20.0).withColumn("length", F.round("length", 6))
+    return spatial.line_overlay(lines, _areas(spark, sf_dir).withColumnRenamed("area", "hood"), "s_suppkey", "hood").withColumn("length", F.round("length", 6))
 
 
 # ---------------------------------------------------------------- index building
@@ -425,4 +425,4 @@ def mixed_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(*(F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y")) for dx, dy in ((0, 0), (29000, 0), (29000, 79000), (0, 79000))))
     areas = projection.reproject_rings(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("area"), F.array(ring).alias("rings")), _NATIONAL, "EPSG:4326")
     p, areas = projection.reproject_points(p, _ZONE, _NATIONAL), projection.reproject_rings(areas, "EPSG:4326", _NATIONAL)
-    return spatial.within(p, areas, 30000.0, 80000.0).select("id", "area")
+    return spatial.within(p, areas).select("id", "area")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from permitflow.functions.arrow import direction_runs
+from permitflow.operators.cells import Grid
 from permitflow.plans import lookup_build
 
 RING = "array<array<struct<x:double,y:double>>>"
@@ -15,7 +16,7 @@ def test_street_index(spark):
     lines = spark.createDataFrame([("יעקב חזן", [(1.0, 1.0), (2.0, 1.0)]), ("קו", [(8.0, 5.0), (14.0, 5.0)]), ("ציון", [(0.0, 0.0), (1.0, 1.0)])], "street string, points array<struct<x:double,y:double>>")
     legacy = spark.createDataFrame([("ישן", "A"), ("קו", "A"), ("77", "A"), ("ריק", "0")], "street string, neighborhood string")
     aliases = spark.createDataFrame([("B", "BB"), ("road", "")], "alias string, canonical string")
-    got = sorted((r.street_key, r.house_from, r.house_to, r.neighborhood, r.priority, r.method) for r in lookup_build.street_index(points, areas, lines, legacy, aliases, 10.0).collect())
+    got = sorted((r.street_key, r.house_from, r.house_to, r.neighborhood, r.priority, r.method) for r in lookup_build.street_index(points, areas, lines, legacy, aliases, Grid(10.0, 10.0)).collect())
     assert got == sorted([
         ("ציון", 0, 4, "A", 1, "points_range"), ("ציון", 5, 99999, "BB", 1, "points_range"), ("ציון", 0, 99999, "A", 2, "points_street"), ("חזן יעקב", 0, 99999, "A", 1, "points_range"),
         ("יעקב חזן", 0, 99999, "A", 1, "points_range_wordorder"), ("קו", 0, 99999, "BB", 3, "segment_majority"), ("ישן", 0, 99999, "A", 4, "legacy_table"),

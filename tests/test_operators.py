@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permitflow.operators import index, merge, ranges, render, reports, resolver, spatial, state
+from permitflow.operators.cells import Grid
 
 LINE = ("key string, ord int, source string, source_id string, stage string, licence_id string, street string, house string, fell_count long, relocate_count long, "
         "preserve_count long, species string, appeal_last date, published date, can_appeal boolean, applicant string, block string, parcel string, reason string")
@@ -267,11 +268,11 @@ def test_spatial_joins(spark):
     sq = lambda x, y, n: [[(x, y), (x + n, y), (x + n, y + n), (x, y + n)]]
     areas = spark.createDataFrame([("p", sq(0.0, 0.0, 10.0)), ("q", sq(10.0, 0.0, 10.0))], f"area string, rings {ring}")
     pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 10.0, 5.0), (3, 15.0, 5.0), (4, 25.0, 5.0), (5, 60.0, 5.0)], "id int, x double, y double")
-    assert {(r["id"], r["area"]) for r in spatial.within(pts, areas, 4.0, 4.0).collect()} == {(1, "p"), (3, "q")}
-    near = {r["id"]: (r["area"], r["distance"]) for r in spatial.nearest(pts, areas, "id", "area", 25.0, 8.0).collect()}
+    assert {(r["id"], r["area"]) for r in spatial.within(pts, areas, Grid(4.0, 4.0)).collect()} == {(1, "p"), (3, "q")}
+    near = {r["id"]: (r["area"], r["distance"]) for r in spatial.nearest(pts, areas, "id", "area", 25.0, Grid(8.0, 8.0)).collect()}
     assert near[4] == ("q", 5.0) and near[2] == ("p", 0.0) and 5 not in near
     parcels = spark.createDataFrame([("b", sq(5.0, 0.0, 10.0))], f"parcel string, rings {ring}")
-    shared = spatial.overlay(parcels, areas.withColumnRenamed("area", "hood"), "parcel", "hood", 6.0)
+    shared = spatial.overlay(parcels, areas.withColumnRenamed("area", "hood"), "parcel", "hood", Grid(6.0, 6.0))
     assert {(r["hood"], r["area"]) for r in shared.collect()} == {("p", 50.0), ("q", 50.0)}
 
 
