@@ -10,11 +10,18 @@ python -m permitflow api-report --api rows.json --year 2026
 python -m permitflow street-index --points points.csv --areas areas.geojson --out index/ [--lines lines.geojson] [--legacy old.csv]
     [--aliases aliases.csv] [--report report.txt]
 python -m permitflow block-index --parcels parcels.geojson --areas areas.geojson --out index/ [--report report.txt]
+python -m permitflow diag-unmatched --points points.csv --areas areas.geojson --out misses/
+python -m permitflow diag-api (--api rows.json | --api-url URL --city N)
+python -m permitflow diag-pages --pdf pages.json
+
+``run`` also takes --backups, a folder for copies of the state, and --log, a rotating file; the index commands take the
+coordinate systems of their layers (--points-crs, --areas-crs, --lines-crs, --parcels-crs) and --cell for an even grid.
 """
 
 from __future__ import annotations
 
 import argparse
+import datetime
 import logging
 from collections.abc import Callable
 
@@ -25,7 +32,7 @@ from permitflow.functions import text as T
 from permitflow.operators import index, projection, render, reports, spatial, state
 from permitflow.operators.cells import Cells, Grid
 from permitflow.operators.lineage import cut
-from permitflow.plans import daily, lookup_build, stats
+from permitflow.plans import daily, diagnose, lookup_build, stats
 from permitflow.sources import api, log_sink, permits, sinks, tables
 
 log = logging.getLogger("permitflow")
@@ -83,7 +90,23 @@ def _state(spark: SparkSession, path: str) -> DataFrame:
     return lines
 
 
+def _backup(spark: SparkSession, o: argparse.Namespace) -> None:
+    """A copy of the state before the run; a failure is told in the log and stops nothing."""
+    if not o.backups or not _exists(spark, o.state):
+        return
+    try:
+        stamp = datetime.datetime.now().strftime("%Y-%m-%d_%H%M%S")
+        if not sinks.backup(spark, o.state, o.backups, stamp):
+            raise RuntimeError("the copy differs in size")
+        log.info("state backed up: %s", stamp)
+    except Exception as e:  # a missed copy can be made up for, a missed run can't
+        log.error("no backup of the state: %s", e)
+
+
 def run(spark: SparkSession, o: argparse.Namespace) -> int:
+    if o.log:
+        sinks.setup_log(o.log)
+    _backup(spark, o)
     settings = tables.load_settings(require=not o.dry_run)
     notify = (lambda _: None) if o.dry_run else _notifier(settings)
     if not _exists(spark, o.state) and _exists(spark, o.old_ids):
@@ -161,13 +184,41 @@ def _cells(o: argparse.Namespace) -> Cells | None:
     return Grid(o.cell, o.cell) if o.cell else None
 
 
-def street_index(spark: SparkSession, o: argparse.Namespace) -> int:
-    areas = _areas(spark, o.areas, o.area_field, o.areas_crs, o.points_crs)
-    head = spark.read.csv(o.points, header=True).columns
+def _points(spark: SparkSession, path: str) -> DataFrame:
+    """Address points: id, x, y, street, house."""
+    head = spark.read.csv(path, header=True).columns
     pick = lambda guesses: tables.guess_column(head, guesses)
-    raw = tables.read_csv(spark, o.points, ", ".join(f"`{c}` string" for c in head), None)
+    raw = tables.read_csv(spark, path, ", ".join(f"`{c}` string" for c in head), None)
     p = tables.points(raw, pick(["x", "X", "lon"]), pick(["y", "Y", "lat"]))
-    p = p.select(F.col("ord").alias("id"), "x", "y", F.col(pick(["street", "street_name"])).alias("street"), F.col(pick(["house", "house_no"])).alias("house"))
+    return p.select(F.col("ord").alias("id"), "x", "y", F.col(pick(["street", "street_name"])).alias("street"), F.col(pick(["house", "house_no"])).alias("house"))
+
+
+def diag_unmatched(spark: SparkSession, o: argparse.Namespace) -> int:
+    points, areas = cut(_points(spark, o.points)), cut(_areas(spark, o.areas, o.area_field, o.areas_crs, o.points_crs))
+    misses = diagnose.outside(points, areas, _cells(o))
+    print(sinks.qa_report(diagnose.unmatched(points, areas, misses)))
+    if not misses.isEmpty():
+        sinks.write_geojson(misses.select("x", "y", "street", "house", "distance"), o.out, "x", "y")
+    return 0
+
+
+def diag_api(spark: SparkSession, o: argparse.Namespace) -> int:
+    if not o.api and not o.api_url:
+        raise SystemExit("name a captured file or the API")
+    rows = permits.read_api(spark, o.api) if o.api else permits.fetch_api(spark, o.api_url, o.city, page_size=o.page_size, max_pages=o.max_pages)
+    print(sinks.qa_report(diagnose.api_profile(cut(rows))))
+    return 0
+
+
+def diag_pages(spark: SparkSession, o: argparse.Namespace) -> int:
+    pages = cut(permits.read_pages(spark, o.pdf))
+    print(sinks.qa_report(diagnose.page_scan(pages)))
+    return 0
+
+
+def street_index(spark: SparkSession, o: argparse.Namespace) -> int:
+    areas = _areas(spark, o.areas, o.area_field, o.areas_crs, o.points_crs)
+    p = _points(spark, o.points)
     lines = legacy = aliases = None
     if o.lines:
         g, own = tables.layer(tables.read_geojson(spark, o.lines, "street:string"), o.lines_crs)
@@ -220,20 +271,21 @@ def parser() -> argparse.ArgumentParser:
         c.set_defaults(do=do)
         return c
 
-    r = command("run", run, "today streets blocks landmarks state", "pdf api api-url aliases old-ids unmatched footer-table")
+    r = command("run", run, "today streets blocks landmarks state", "pdf api api-url aliases old-ids unmatched footer-table backups log")
     r.add_argument("--dry-run", action="store_true")
     command("migrate", migrate, "state old-ids")
     command("stats", make_stats, "today streets blocks landmarks out", "pdf api aliases")
-    for c in (r, command("capture", capture, "api-url out")):
+    command("diag-pages", diag_pages, "pdf")
+    for c in (r, command("capture", capture, "api-url out"), command("diag-api", diag_api, "", "api api-url")):
         c.add_argument("--city", type=int, default=0)
         c.add_argument("--page-size", type=int, default=api.PAGE_SIZE)
         c.add_argument("--max-pages", type=int, default=api.MAX_PAGES)
     command("api-report", api_report, "api").add_argument("--year", type=int, required=True)
-    for name, do, needed, optional in (("street-index", street_index, "points areas out", "lines legacy aliases report areas-crs lines-crs"), ("block-index", block_index, "parcels areas out", "report areas-crs parcels-crs")):
+    for name, do, needed, optional in (("street-index", street_index, "points areas out", "lines legacy aliases report areas-crs lines-crs"), ("block-index", block_index, "parcels areas out", "report areas-crs parcels-crs"), ("diag-unmatched", diag_unmatched, "points areas out", "areas-crs")):
         c = command(name, do, needed, optional)
         c.add_argument("--area-field", default="name")
         c.add_argument("--cell", type=float)
-        if name == "street-index":
+        if name != "block-index":
             c.add_argument("--points-crs", default="EPSG:2039")
     return top
 

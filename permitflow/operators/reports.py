@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from permitflow.operators.running import running, spread
+
 FUNNEL = ["pages", "raw_rows", "requests", "passed", "fresh"]
 
 
@@ -78,13 +80,12 @@ def longest(rows: DataFrame, key: str, size: str, order: str) -> DataFrame:
 
 def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, median) with the exact median. Equal values are counted map-side first; running counts over the distinct
-    values of a key then find the middle, in order and without holding a group."""
-    from pyspark.sql import Window
-
+    values of a key, which may lie in many partitions, then find the middle, without holding a group."""
     c = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    c = c.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    n = c.groupBy(F.col(key).alias("n_key")).agg(F.sum("c").alias("n"))
-    j = c.join(n, F.col(key).eqNullSafe(F.col("n_key")))
+    c = c.withColumn("_key", F.when(F.col(key).isNull(), "").otherwise(F.concat(F.lit("="), F.col(key).cast("string"))))
+    c = running(spread(c, ["_key"], [value]), "_key", {"upto": F.col("c")})
+    n = c.groupBy(F.col("_key").alias("n_key")).agg(F.sum("c").alias("n"))
+    j = c.join(n, F.col("_key") == F.col("n_key"))
     # The places of the lower and upper middle, from 1; both lie in one row or in two.
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     holds = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)
@@ -136,7 +137,3 @@ def stat_record(r: DataFrame, date_kind: str) -> DataFrame:
         F.col("key").alias("id"), "source", date.alias("date"), F.lit(date_kind).alias("date_kind"), "appeal_last", "neighborhood", F.col("method").alias("geo_method"),
         "street", "house", "block", "parcel", F.col("fell_count").alias("fell"), F.col("relocate_count").alias("relocate"), F.col("preserve_count").alias("preserve"), "species", "applicant",
     )
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

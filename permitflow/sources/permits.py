@@ -65,13 +65,13 @@ def decode_pages(rows: DataFrame, visual: bool = True) -> DataFrame:
     read = lambda c: T.clean_text(turned(c))
     r = rows.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit("")))).filter(F.size("cells") >= len(HEADER))
     cell = lambda name: F.get(F.col("cells"), F.lit(_CELL[name]))
-    head = r.orderBy("page", "row").limit(1).select(F.posexplode("cells").alias("i", "c")).select("i", read(F.col("c")).alias("c"))
-    got = [x["c"] for x in sorted(head.collect(), key=lambda x: x["i"])]
-    if got:
-        check_header(got)
-    raw_head = r.orderBy("page", "row").limit(1).select("cells").first()
-    if raw_head:
-        r = r.filter(F.col("cells") != F.array(*(F.lit(c) for c in raw_head["cells"])))
+    head = r.orderBy("page", "row").limit(1).select(F.posexplode("cells").alias("i", "raw")).select("i", "raw", read(F.col("raw")).alias("c"))
+    first = sorted(head.collect(), key=lambda x: x["i"])
+    if first:
+        check_header([x["c"] for x in first])
+        # Whole rows are compared only where the number cell is the header's.
+        raw, at = [x["raw"] for x in first], _CELL["number"]
+        r = r.filter((F.get("cells", F.lit(at)) != F.lit(raw[at])) | (F.col("cells") != F.array(*map(F.lit, raw))))
     d = r.select(
         "page", "row", *(cell(n).alias(n) for n in ("count", "house", "appeal", "requested", "number")), *(turned(cell(n)).alias(n) for n in _TEXTS)
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from permitflow.functions import arrow as A
 from permitflow.functions import text as T
-from permitflow.operators import index, projection
+from permitflow.operators import index, projection, reports
 
 STATE = (
     "run long, key string, source string, source_id string, licence_id string, legacy_ids array<string>, first_seen date, stage string, "
@@ -66,7 +66,8 @@ def points(df: DataFrame, x: str, y: str) -> DataFrame:
     """Numeric points without (0, 0); the axes are swapped if the medians fit the envelope only that way."""
     p = df.withColumns({"x": F.col(x).try_cast("double"), "y": F.col(y).try_cast("double")})
     p = p.filter("x is not null and y is not null and not isnan(x) and not isnan(y) and not (x = 0 and y = 0)")
-    m = p.agg(F.percentile_approx("x", 0.5, 1_000_000).alias("x"), F.percentile_approx("y", 0.5, 1_000_000).alias("y")).first()
+    axes = p.select(F.explode(F.create_map(F.lit("x"), F.col("x"), F.lit("y"), F.col("y"))).alias("axis", "v"))
+    m = {"x": None, "y": None} | {r["axis"]: r["median"] for r in reports.medians(axes, "axis", "v").collect()}  # two rows
     fits = lambda v, e: v is not None and e[0] <= v <= e[1]
     if not (fits(m["x"], ENVELOPE_X) and fits(m["y"], ENVELOPE_Y)) and fits(m["y"], ENVELOPE_X) and fits(m["x"], ENVELOPE_Y):
         p = p.withColumns({"x": F.col("y"), "y": F.col("x")})
