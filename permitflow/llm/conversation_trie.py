@@ -1,7 +1,7 @@
 """Prefix trie of conversations, without holding a conversation or a node's members in one place.
 
 A node is a distinct sequence of first d turns. Each conversation's turns are numbered and its prefix digests summed by
-:mod:`running`: a digest is four sums, over the turns so far, of 32 bits of a hash of a turn's place and its content, so
+:mod:`permitflow.operators.running`: a digest is four sums, over the turns so far, of 32 bits of a hash of a turn's place and its content, so
 it needs no whole conversation. The smallest conversation with a prefix owns its node; whoever owns a node owns all nodes
 below it on its path. So the nodes that a conversation doesn't own are its first u, and u is found by binary search: from
 the highest bit down, all conversations that reach depth u + 2^bit ask at once whether the minimum of that digest is
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from permitflow.llm.common import WORD, cut, drop, sized
-from permitflow.llm.running import running, spread
+from permitflow.operators.running import running, spread
 
 #: Depths of a chain, and ids of ends, that are taken together: powers of two.
 DEPTHS, IDS = 12, 14

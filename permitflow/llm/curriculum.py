@@ -6,7 +6,7 @@ source's cumulative demand. Documents stand in each source in an order by hash,
 if the target asks for repeats; a document is due when the demand reaches its place, so its position is the inverse of the
 demand there. All placements are range-sorted by position, which gives the order of training.
 
-Places within a source are running totals that no source has to be held together for (:mod:`running`), however large. The
+Places within a source are running totals that no source has to be held together for (:mod:`permitflow.operators.running`), however large. The
 last document that a source's target reaches is taken in part, so that a source gives just its target, to a word.
 
 Defined edge cases: a null text, like one without words, has size 0, is taken 0 times and has no placement; a null source is
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permitflow.llm.common import WORD, cut, sized
-from permitflow.llm.running import running, spread
+from permitflow.operators.running import running, spread
 
 #: Weights of sources in their order, repeating, and the most often that a source is read.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
