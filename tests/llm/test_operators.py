@@ -257,7 +257,7 @@ def test_suffix_dedup_other_ways(docs, rows, monkeypatch, name, value):
     assert got == want
 
 
-@pytest.mark.parametrize("split", [4096, 2])
+@pytest.mark.parametrize("split", [1024, 2])
 def test_suffix_dedup_hot_keys(spark, docs, rows, monkeypatch, split):
     """Keys that are dealt out by stretch, then compared in one block or in several."""
     monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
