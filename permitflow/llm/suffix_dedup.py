@@ -41,7 +41,7 @@ LEAST = 50
 K = 16
 HOT = 20_000
 #: Open stretches of a key in one block.
-SPLIT = 1024
+SPLIT = 4096
 #: One text in so many shows which keys are hot before they are dealt out, and so many of them are told apart at most.
 SAMPLE, HOT_MOST = 64, 1 << 20
 SIDE = (LEAST - K) // 2
