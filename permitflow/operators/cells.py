@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SAMPLE, LEAF = 20_000, 50
 #: Halvings of either axis at most: a cell that holds one place only is not split for ever.
 DEPTH = 20
+#: Boxes that go down a tree together.
+SLICE = 1024
 
 
 @dataclass(frozen=True)
@@ -56,17 +58,20 @@ class Quadtree:
     first: tuple[int, ...]
 
     @staticmethod
-    def learned(x: np.ndarray, y: np.ndarray, leaf: int = LEAF) -> Quadtree:
-        """The tree of a sample: a cell of more than ``leaf`` points is split in four."""
+    def learned(x: np.ndarray, y: np.ndarray, leaf: int = LEAF, least: float = 0.0) -> Quadtree:
+        """The tree of a sample: a cell of more than ``leaf`` points is split in four, unless its quarters' sides
+        would be under ``least``. Points of one place stay together."""
         if not len(x):
             return Quadtree(0.0, 0.0, 1.0, 1.0, (0,))
-        root = Quadtree(float(x.min()), float(y.min()), float(x.max()), float(y.max()), ())
+        side = max(float(np.ptp(x)), float(np.ptp(y)))  # a square, so that a strip's cells are not all of its width
+        root = Quadtree(float(x.min()), float(y.min()), float(x.min()) + side, float(y.min()) + side, ())
         code = np.sort(root.code(x, y))
+        smallest = next((v for v in range(DEPTH) if side / (1 << DEPTH - v) >= least), DEPTH)
         leaves, todo = [], [(0, DEPTH)]
         while todo:
             low, level = todo.pop()
-            n = np.searchsorted(code, low + (1 << 2 * level)) - np.searchsorted(code, low)
-            if n <= leaf or not level:
+            i, j = np.searchsorted(code, [low, low + (1 << 2 * level)])
+            if j - i <= leaf or level <= smallest or code[i] == code[j - 1]:
                 leaves.append(low)
             else:
                 todo += [(low + (k << 2 * (level - 1)), level - 1) for k in range(4)]
@@ -83,22 +88,32 @@ class Quadtree:
         return np.searchsorted(np.array(self.first), self.code(x, y), side="right") - 1
 
     def leaves_over(self, x0: float, y0: float, x1: float, y1: float) -> list[int]:
-        """Leaves that a box touches, from the root down."""
-        first = self.first
-        a, c = (int(v) for v in self._axis(np.array([x0, x1]), self.x0, self.x1))
-        b, d = (int(v) for v in self._axis(np.array([y0, y1]), self.y0, self.y1))
-        out, todo = [], [(0, len(first), 0, 0, DEPTH)]
-        while todo:
-            i, j, x, y, level = todo.pop()  # leaves i to j fill the cell at (x, y), of 2^level places
-            if x > c or y > d or x + (1 << level) <= a or y + (1 << level) <= b:
-                continue
-            if j - i == 1:
-                out.append(i)
-                continue
-            half, low = 1 << (level - 1), first[i]
-            cuts = [i, *(int(np.searchsorted(first, low + (k << 2 * (level - 1)))) for k in (1, 2, 3)), j]
-            todo += [(cuts[k], cuts[k + 1], x + half * (k & 1), y + half * (k >> 1), level - 1) for k in range(4)]
-        return sorted(out)
+        """Leaves that a box touches."""
+        return sorted(self.leaves_of(*(np.array([v], float) for v in (x0, y0, x1, y1)))[1].tolist())
+
+    def leaves_of(self, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(box, leaf) of the leaves that boxes touch, by the boxes' order: all boxes go down from the root together."""
+        first = np.array(self.first)
+        a, c = self._axis(x0, self.x0, self.x1), self._axis(x1, self.x0, self.x1)
+        b, d = self._axis(y0, self.y0, self.y1), self._axis(y1, self.y0, self.y1)
+        box = np.arange(len(a))
+        i, x, y = np.zeros_like(box), np.zeros_like(a), np.zeros_like(a)
+        j, level, out = i + len(first), DEPTH, []
+        while len(box):  # leaves i to j fill the cell at (x, y), of 2^level places
+            size = 1 << level
+            there = (x <= c[box]) & (y <= d[box]) & (x + size > a[box]) & (y + size > b[box])
+            single = there & (j - i == 1)
+            out.append((box[single], i[single]))
+            box, i, j, x, y = (v[there & ~single] for v in (box, i, j, x, y))
+            level -= 1
+            if not len(box):
+                break
+            cuts = [i, *(np.searchsorted(first, first[i] + (k << 2 * level)) for k in (1, 2, 3)), j]
+            x, y = (np.concatenate([v + (k >> s & 1 and 1 << level) for k in range(4)]) for s, v in ((0, x), (1, y)))
+            box, i, j = np.tile(box, 4), np.concatenate(cuts[:4]), np.concatenate(cuts[1:])
+        box, leaf = (np.concatenate([o[n] for o in out]) if out else np.zeros(0, np.int64) for n in (0, 1))
+        order = np.argsort(box, kind="stable")
+        return box[order], leaf[order]
 
     def at(self, x: Column, y: Column) -> Column:
         @F.pandas_udf("int")
@@ -115,7 +130,16 @@ class Quadtree:
         @F.pandas_udf("array<int>")
         def leaves(boxes: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for box in boxes:
-                yield pd.Series([self.leaves_over(*v) if all(x == x and x is not None for x in v) else [] for v in zip(*box, strict=True)], index=box[0].index, dtype=object)
+                v = np.stack([x.to_numpy(float, na_value=np.nan) for x in box])
+                lists: list[np.ndarray] = []
+                for at in range(0, v.shape[1], SLICE):
+                    part = v[:, at : at + SLICE]
+                    known = np.flatnonzero(~np.isnan(part).any(axis=0))
+                    row, leaf = self.leaves_of(*part[:, known])
+                    n = np.zeros(part.shape[1], np.int64)
+                    n[known] = np.bincount(row, minlength=len(known))
+                    lists += np.split(leaf, np.cumsum(n)[:-1])
+                yield pd.Series(lists, index=box[0].index, dtype=object)
 
         return leaves(x0, y0, x1, y1)
 
@@ -123,8 +147,11 @@ class Quadtree:
 Cells = Grid | Quadtree
 
 
-def quadtree(points: DataFrame, x: Column, y: Column, sample: int = SAMPLE, leaf: int = LEAF) -> Quadtree:
-    """The tree of ``sample`` of the points at most, those first by a hash of their place."""
-    p = points.select(x.cast("double").alias("x"), y.cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+def quadtree(points: DataFrame, x: Column, y: Column, sample: int = SAMPLE, leaf: int = LEAF, size: Column | None = None) -> Quadtree:
+    """The tree of ``sample`` of the points' distinct places at most, those first by a hash of their place. ``size``: the
+    longer side of the shapes that the points stand for; no cell is smaller than the middle one of the sample, else each
+    shape would lie in many cells."""
+    p = points.select(x.cast("double").alias("x"), y.cast("double").alias("y"), (F.lit(0.0) if size is None else size).cast("double").alias("size"))
+    p = p.filter("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("x", "y").agg(F.max("size").alias("size"))
     rows = p.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample).toPandas()
-    return Quadtree.learned(rows["x"].to_numpy(float), rows["y"].to_numpy(float), leaf)
+    return Quadtree.learned(rows["x"].to_numpy(float), rows["y"].to_numpy(float), leaf, float(rows["size"].median()) if len(rows) else 0.0)

@@ -1,9 +1,9 @@
 """Spatial joins without a geometry library. Shapes are ``rings``: array<array<struct<x double, y double>>>, even-odd.
 
 Shapes are dealt to the cells that their boxes touch, so every join is an equi-join on a cell; containment and distance are
-JVM expressions, overlays an Arrow function on the pairs that share a cell. Cells are those of a quadtree learned from the
-points (of shapes: their boxes' centres), unless the caller names others. All layers of one call must be in one planar
-coordinate system; :mod:`projection` brings them there.
+JVM expressions, overlays an Arrow function on the pairs whose boxes touch. Cells are those of a quadtree learned from the
+points (of shapes: the centres of both layers' boxes, and no smaller than their middle size), unless the caller names
+others. All layers of one call must be in one planar coordinate system; :mod:`projection` brings them there.
 """
 
 from __future__ import annotations
@@ -30,7 +30,19 @@ def _dealt(shapes: DataFrame, rings: str, cells: Cells, margin: float = 0.0) ->
 
 def _learned(shapes: DataFrame, rings: str) -> Quadtree:
     x0, y0, x1, y1 = _box(F.col(rings))
-    return quadtree(shapes, (x0 + x1) / 2, (y0 + y1) / 2)
+    return quadtree(shapes, (x0 + x1) / 2, (y0 + y1) / 2, size=F.greatest(x1 - x0, y1 - y0))
+
+
+def _meeting(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cells: Cells) -> DataFrame:
+    """Distinct (left_key, right_key) of shapes (key, rings) whose boxes touch. Boxes are compared where shapes share a cell,
+    before anything is moved for it; pairs that meet in several cells count once."""
+
+    def dealt(shapes: DataFrame, key: str, box: str) -> DataFrame:
+        low_high = F.struct(*(c.alias(n) for c, n in zip(_box(F.col("rings")), ("x0", "y0", "x1", "y1"), strict=True)))
+        return _dealt(shapes.select(key, "rings"), "rings", cells).select(key, "cell", low_high.alias(box))
+
+    both = dealt(left, left_key, "p").join(dealt(right, right_key, "q"), "cell")
+    return both.filter("p.x0 <= q.x1 and q.x0 <= p.x1 and p.y0 <= q.y1 and q.y0 <= p.y1").select(left_key, right_key).distinct()
 
 
 def _edges(rings: str) -> str:
@@ -133,18 +145,16 @@ def shared_length(line: pd.Series, b: pd.Series) -> pd.Series:
 
 def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cells: Cells | None = None) -> DataFrame:
     """(left_key, right_key, area) of each pair of shapes with a shared area. Pairs that meet in several cells count once."""
-    cells = cells or _learned(left, "rings")
-    a = _dealt(left.select(left_key, F.col("rings").alias("ra")), "ra", cells)
-    b = _dealt(right.select(right_key, F.col("rings").alias("rb")), "rb", cells)
-    pairs = a.join(b, "cell").select(left_key, right_key).distinct()
+    cells = cells or _learned(left.select("rings").unionAll(right.select("rings")), "rings")
+    pairs = _meeting(left, right, left_key, right_key, cells)
     j = pairs.join(left.select(left_key, F.col("rings").alias("ra")), left_key).join(right.select(right_key, F.col("rings").alias("rb")), right_key)
     return j.withColumn("area", shared_area("ra", "rb")).filter("area > 0").select(left_key, right_key, "area")
 
 
 def line_overlay(lines: DataFrame, areas: DataFrame, left_key: str, right_key: str, cells: Cells | None = None) -> DataFrame:
     """(left_key, right_key, length) of lines (``points``) within areas."""
-    of = lines.select(left_key, F.array("points").alias("ra"))
-    cells = cells or _learned(of, "ra")
-    pairs = _dealt(of, "ra", cells).join(_dealt(areas.select(right_key, F.col("rings").alias("rb")), "rb", cells), "cell").select(left_key, right_key).distinct()
+    of = lines.select(left_key, F.array("points").alias("rings"))
+    cells = cells or _learned(of.select("rings").unionAll(areas.select("rings")), "rings")
+    pairs = _meeting(of, areas, left_key, right_key, cells)
     j = pairs.join(lines.select(left_key, "points"), left_key).join(areas.select(right_key, F.col("rings").alias("rb")), right_key)
     return j.withColumn("length", shared_length("points", "rb")).filter("length > 0").select(left_key, right_key, "length")

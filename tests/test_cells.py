@@ -87,3 +87,30 @@ def test_a_large_shape_over_a_sparse_layer_makes_few_rows(spark, layers):
     tree = quadtree(pts, F.col("x"), F.col("y"))
     whole = areas.filter("area = 'all'")
     assert spatial._dealt(whole, "rings", tree).count() <= len(tree.first) < 600 < spatial._dealt(whole, "rings", Grid(25.0, 25.0)).count()
+
+
+def test_shapes_lie_in_few_cells_however_many_share_a_place(spark):
+    box = "array(array(named_struct('x', {0}, 'y', {1}), named_struct('x', {0} + 15D, 'y', {1}), named_struct('x', {0} + 15D, 'y', {1} + 12D), named_struct('x', {0}, 'y', {1} + 12D)))"
+    x, y = "cast(id % 130 * 17 % 130 as double)", "cast(id % 130 * 29 % 130 as double)"
+    parcels = spark.range(13000).selectExpr("id as parcel", f"{box.format(x, y)} as rings")
+    tree = spatial._learned(parcels, "rings")
+    assert len(tree.first) >= 4 and spatial._dealt(parcels, "rings", tree).count() <= 4 * 13000
+    strip = spark.range(5000).selectExpr("id as parcel", f"{box.format('id * 15D', '0D')} as rings")
+    tree = spatial._learned(strip, "rings")
+    assert len(tree.first) > 100 and spatial._dealt(strip, "rings", tree).count() <= 4 * 5000
+    areas = strip.filter("parcel < 50").withColumnRenamed("parcel", "area")
+    assert spatial.overlay(strip, areas, "parcel", "area").count() == 50
+
+
+def test_boxes_go_down_together():
+    r = np.random.default_rng(3)
+    tree = Quadtree.learned(r.random(3000) ** 3 * 100, r.random(3000) * 40, 8)
+    x0, y0 = r.random(400) * 140 - 20, r.random(400) * 60 - 10
+    x1, y1 = x0 + r.random(400) * 20, y0 + r.random(400) * 20
+    box, leaf = tree.leaves_of(x0, y0, x1, y1)
+    px, py = r.random(20000) * 140 - 20, r.random(20000) * 60 - 10
+    at = tree.leaf_of(px, py)
+    for n in range(400):
+        own = leaf[box == n]
+        inside = (px >= x0[n]) & (px <= x1[n]) & (py >= y0[n]) & (py <= y1[n])
+        assert len(set(own)) == len(own) and set(at[inside]) <= set(own)
