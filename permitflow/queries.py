@@ -231,7 +231,7 @@ def house_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = r.select("p_brand", "house_from", "house_to", F.col("p_type").alias("neighborhood"), F.lit(1).alias("priority"), F.row_number().over(Window.partitionBy("p_brand").orderBy("house_from")).alias("ord"))
     whole = ranges.modal(part, ["p_brand"], "p_type").select("p_brand", F.lit(0).alias("house_from"), F.lit(99999).alias("house_to"), F.col("p_type").alias("neighborhood"), F.lit(2).alias("priority"), F.lit(0).alias("ord"))
     q = part.select(F.col("p_partkey").alias("rid"), "p_brand", F.when(F.col("p_size") <= 40, F.col("p_size") + 3).alias("number"))
-    return resolver.best_rows(q.join(ix.unionByName(whole), "p_brand"), ["rid", "number"]).select("rid", "neighborhood", "priority", "in_range")
+    return resolver.decided(q, ix.unionByName(whole), "p_brand").select("rid", "neighborhood", "priority", "in_range")
 
 
 @query("""with c as (select l_suppkey, l_returnflag, count(*) as n from lineitem group by 1, 2)
