@@ -45,9 +45,15 @@ def _cents(c: str) -> str:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line rows as one licence shape; ``ord`` covers every column used, so it is as good as a total order."""
+    """Line rows as one licence shape; ``ord`` covers every column used, so it is as good as a total order.
+
+    The lines of a request are brought together and sorted as they are read, in few columns of numbers. The merge needs them
+    so, and would otherwise sort and move its own rows, which are some times as wide, and partial records of hardly fewer
+    lines, since those of a request lie far apart.
+    """
     qty = "cast(l_quantity as bigint)"
-    return _t(spark, sf_dir, "lineitem").selectExpr(
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus"]
+    return _t(spark, sf_dir, "lineitem").select(*columns).repartition("l_orderkey").sortWithinPartitions("l_orderkey").selectExpr(
         "l_orderkey as key",
         "named_struct('a', l_linenumber, 'b', l_partkey, 'c', l_suppkey, 'd', l_quantity, 'e', l_shipdate, 'f', l_returnflag, 'g', l_linestatus) as ord",
         f"if(l_returnflag = 'R', {qty}, 0L) as fell_count", f"if(l_returnflag = 'A', {qty}, 0L) as relocate_count", f"if(l_returnflag = 'N', {qty}, 0L) as preserve_count",
