@@ -95,10 +95,15 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(held)
 
 
+def _counted(k: int):
+    """Both in one worker: as two steps they would take two workers for each task, and pass all hashes between them."""
+    return lambda batches: _seen(_sets(k)(batches))
+
+
 def common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of at most COMMON frequent shingles, as a quarter of the texts shows them."""
-    part = docs.filter(F.xxhash64("text") % 4 == 0).mapInArrow(_sets(k), "node long, hashes array<long>")
-    c = cut(part.mapInArrow(_seen, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 2"))
+    part = docs.select("doc_id", "text").filter(F.xxhash64("text") % 4 == 0)
+    c = cut(part.mapInArrow(_counted(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 2"))
     total, least = 0, 64
     for row in sorted(c.groupBy(F.floor(F.log2("c")).alias("p")).count().collect(), reverse=True):  # a row for each power of two
         total += row["count"]

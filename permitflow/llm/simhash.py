@@ -35,6 +35,8 @@ SEED = 42
 BUCKET = 32
 LEVELS = 3
 _SLICE = 1 << 18
+#: Nodes that one task puts into all covering tables: 63 rows each at radius 5, whose keys a task holds to aggregate them.
+NODES = 1 << 14
 
 
 def _votes(words: list[bytes], k: int) -> tuple[np.ndarray, int]:
@@ -145,7 +147,9 @@ def meetings(nodes: DataFrame, radius: int) -> DataFrame:
     """
     masks = covering_masks(list(range(64)), radius)
     table = F.array(*(F.lit(_signed(m)) for m in masks))
-    rows = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("mask"))
+    # A file of nodes is small, but its rows in the tables are many.
+    dealt = nodes.repartition(nodes.count() // NODES + 1, "node")
+    rows = dealt.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("mask"))
     # Tables and keys in one hash: if two buckets have the same, they share a centre, which costs comparisons only.
     rows = rows.select("node", F.xxhash64("mask", F.col("fp").bitwiseAND(F.get(table, F.col("mask")))).alias("bucket"))
     centre = cut(rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket", "low"))

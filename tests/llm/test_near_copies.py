@@ -99,3 +99,19 @@ def test_near_copies_are_found_by_fingerprint(spark):
     alike = {tuple(sorted((of[i]["node"], of[i + 1]["node"]))) for i in range(0, len(texts), 2)}
     assert len(want) >= 20 and want <= got <= alike
     assert all(simhash.of_hashes(near_copies.shingles(t)) % (1 << 64) == of[i]["fp"] % (1 << 64) for i, t in enumerate(texts))
+
+
+def test_tables_are_filled_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NODES", 100)
+    nodes = cut(spark.range(1000).coalesce(1).selectExpr("id as node", "xxhash64(id div 2) as fp"))
+    plan = simhash.meetings(nodes, near_copies.REACH)
+    assert {(r["a"], r["b"]) for r in plan.collect()} >= {(2 * i, 2 * i + 1) for i in range(500)}
+    assert "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_shingles_are_counted_in_one_worker(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three four five six {i}") for i in range(400)], "doc_id long, text string")
+    plans, own = [], near_copies.cut
+    monkeypatch.setattr(near_copies, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), own(df))[1])
+    h, n = near_copies.common(docs, 5)
+    assert len(h) == 2 and min(n) > 64 and plans[0].count("MapInArrow") == 1
