@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,28 +16,52 @@ from pyspark.sql.types import StringType
 from permitflow.functions.bidi import turned
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility composition of Unicode text."""
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def _turned_text(x: str) -> str:
+    return "\n".join(map(turned, x.split("\n")))
 
 
 @F.pandas_udf(StringType())
 def fix_bidi(s: pd.Series) -> pd.Series:
     """Visual to reading order, each line a paragraph of its own."""
-    return s.map(lambda x: "\n".join(map(turned, x.split("\n"))), na_action="ignore")
+    return s.map(_turned_text, na_action="ignore")
+
+
+def _in_lists(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """``f`` on the texts of a JSON list, as an Arrow function; nulls stay."""
+
+    @F.pandas_udf(StringType())
+    def over(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: json.dumps([v if v is None else f(v) for v in json.loads(x)]), na_action="ignore")
+
+    return over
+
+
+def _where(df: DataFrame, f: Callable[[str], str], odd: Callable[[Column], Column], columns: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``f`` applied to the values of the named text columns that are ``odd``.
+
+    They go through Python as one list a row, which is null for the rows without any: a row that stays as it is costs its
+    tests and one null, however many columns there are. The list travels as text, since the Arrow writer passes over all
+    the nulls of a batch again for each null of a list column.
+    """
+    cols = [F.col(c) for c in columns]
+    found = F.when(reduce(or_, map(odd, cols)), F.to_json(F.array(*(F.when(odd(c), c) for c in cols))))
+    d = df.withColumn("_changed", F.from_json(_in_lists(f)(found), "array<string>", {"mode": "FAILFAST"}))
+    return d.withColumns({c: F.coalesce(F.get("_changed", F.lit(i)), F.col(c)) for i, c in enumerate(columns)}).drop("_changed")
+
+
+def _beyond_ascii(c: Column) -> Column:
+    return F.octet_length(c) > F.length(c)
 
 
-def stable(c: Column) -> Column:
-    """Whether text is ASCII or Hebrew letters and points, which composition leaves alone."""
-    return F.coalesce(c.rlike(r"^[\x00-\x7F֑-״]*$"), F.lit(True))
+def reading_order(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the named text columns brought from visual to reading order; ASCII stays as it is."""
+    return _where(df, _turned_text, _beyond_ascii, columns)
 
 
 def compose(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` with the named text columns in compatibility composition (NFKC). Only values that it could change go through
-    Python; the others pass as nulls."""
-    made = {c: F.when(stable(F.col(c)), F.col(c)).otherwise(nfkc(F.when(~stable(F.col(c)), F.col(c)))) for c in columns}
-    return df.withColumns(made)
+    """``df`` with the named text columns in compatibility composition (NFKC). It leaves ASCII and Hebrew letters alone; points
+    are put in order where a letter has several."""
+    return _where(df, lambda x: unicodedata.normalize("NFKC", x), lambda c: _beyond_ascii(c) & c.rlike(r"[^\x00-\x7Fא-״]"), columns)
 
 
 def direction_runs(text: str) -> str:

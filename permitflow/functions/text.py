@@ -19,6 +19,7 @@ PLACEHOLDER_STREETS = ["?", "??", "---", "לא ידוע", "לא צוין", "0"]
 WIDEST_RANGE = 200
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+_CLEAN = r"^(?:[!-~א-ת]++(?: [!-~א-ת]++)*+)?\z"
 _HOUSE = r"\d+[א-ת]?(?:[-/,]\d+[א-ת]?)*"
 
 
@@ -31,11 +32,32 @@ def clean_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), _SPACE, " "))
 
 
+def clean_column(c: Column | str) -> Column:
+    """The same for a column, named several times here: common text that is clean but for its ends is tested once, not
+    written anew."""
+    s = F.trim(_col(c))
+    return F.when(s.rlike(_CLEAN), s).otherwise(clean_text(c))
+
+
+def is_blank(c: Column | str) -> Column:
+    """Whether nothing is left of a text when it is cleaned. Composition (NFKC) makes no text blank and fills none."""
+    return ~F.coalesce(_col(c), F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def split_street_house(c: Column | str) -> Column:
     """struct(street, house): trailing house tokens, all of them, come off the street."""
     s = clean_text(c)
-    pattern = rf"(?U)^(.*?)((?:(?:^| ){_HOUSE})*)$"
-    return F.struct(F.trim(F.regexp_extract(s, pattern, 1)).alias("street"), F.trim(F.regexp_extract(s, pattern, 2)).alias("house"))
+    tail = house_tail(s)
+    return F.struct(without_tail(s, tail).alias("street"), F.trim(tail).alias("house"))
+
+
+def house_tail(s: Column) -> Column:
+    """The house tokens at the end of clean text, with the blank before them; empty where there is none."""
+    return F.regexp_extract(s, rf"(?U)(?:(?:^| ){_HOUSE})+$", 0)
+
+
+def without_tail(s: Column, tail: Column) -> Column:
+    return F.trim(F.substring(s, F.lit(1), F.length(s) - F.length(tail)))
 
 
 def house_number(c: Column | str) -> Column:

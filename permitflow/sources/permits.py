@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitflow.functions import text as T
-from permitflow.functions.arrow import compose, fix_bidi
+from permitflow.functions.arrow import compose, fix_bidi, reading_order
 from permitflow.operators.state import API, PDF
 from permitflow.sources.api import DELAY, MAX_PAGES, PAGE_SIZE, PagedApi
 
@@ -30,19 +30,16 @@ class UnexpectedHeader(RuntimeError):
     """The table is not the shape that is decoded."""
 
 
-def classify_action(tree_cell: Column, request_cell: Column) -> Column:
-    """The first cell that isn't blank decides: by its whole text, else by the first known word within, else "other"."""
-    own = F.coalesce(F.nullif(T.clean_text(tree_cell), F.lit("")), F.nullif(T.clean_text(request_cell), F.lit("")))
+def classify_action(df: DataFrame, tree_cell: str, request_cell: str) -> DataFrame:
+    """``df`` with ``action``. The first of two clean cells that isn't blank decides: by its whole text, else by the first
+    known word within, else "other"."""
     words = F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))
-
-    def action(c: Column) -> Column:
-        within = None
-        for word, name in ACTIONS.items():
-            within = F.when(c.contains(word), name) if within is None else within.when(c.contains(word), name)
-        return F.coalesce(words[c], within, F.lit("other"))
-
-    # Bound once, where a chain of conditions over the expression itself would repeat it for each word.
-    return F.get(F.transform(F.array(own), action), F.lit(0))
+    c, within = F.col("action"), None
+    for word, name in ACTIONS.items():
+        within = F.when(c.contains(word), name) if within is None else within.when(c.contains(word), name)
+    # The text in a column first: a chain of conditions over the expression itself would repeat it for each word.
+    d = df.withColumn("action", F.when(F.col(tree_cell) != "", F.col(tree_cell)).otherwise(F.nullif(F.col(request_cell), F.lit(""))))
+    return d.withColumn("action", F.coalesce(words[c], within, F.lit("other")))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -58,32 +55,44 @@ def check_header(cells: list[str]) -> None:
         raise UnexpectedHeader(f"{len(cells)} columns; first differences: {wrong[:8]}")
 
 
+def _cell(name: str) -> Column:
+    return F.coalesce(F.get("cells", F.lit(_CELL[name])), F.lit(""))
+
+
+def _first_full_row(rows: DataFrame) -> list[str] | None:
+    """Cells of the first row of (page, row, cells) that is as wide as the header, or None. Its place is looked for in the
+    numbers alone: cells may be costly to make, and are made for this row only."""
+    full = rows.filter(F.get("cells", F.lit(_CELL["number"])).isNotNull() | (F.size("cells") >= len(HEADER)))
+    at = full.agg(F.min(F.struct("page", "row")).alias("at")).first()["at"]
+    if at is None:
+        return None
+    found = full.filter(F.col("page").eqNullSafe(at["page"]) & F.col("row").eqNullSafe(at["row"])).select("cells").first()
+    return [c or "" for c in found["cells"]]
+
+
 def decode_pages(rows: DataFrame, visual: bool = True) -> DataFrame:
     """Line rows of (page, row, cells). The first full row must be the header; repeats of it, short rows and rows without
-    a request number are left out. ``visual``: cells are in visual order."""
-    turned = fix_bidi if visual else lambda c: c
-    read = lambda c: T.clean_text(turned(c))
-    r = rows.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit("")))).filter(F.size("cells") >= len(HEADER))
-    cell = lambda name: F.get(F.col("cells"), F.lit(_CELL[name]))
-    head = r.orderBy("page", "row").limit(1).select(F.posexplode("cells").alias("i", "raw")).select("i", "raw", read(F.col("raw")).alias("c"))
-    first = sorted(head.collect(), key=lambda x: x["i"])
+    a request number are left out. ``visual``: cells are in visual order.
+
+    Cells are taken out of a row's array one by one, never through a changed copy of it: where a query makes the array
+    from columns, Spark then needs no array, and makes no cell that isn't used."""
+    first, r = _first_full_row(rows), rows
     if first:
-        check_header([x["c"] for x in first])
+        raw = rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(first)], "i int, raw string")
+        read = raw.select("i", T.clean_text(fix_bidi("raw") if visual else "raw").alias("c"))
+        check_header([x["c"] for x in sorted(read.collect())])
         # Whole rows are compared only where the number cell is the header's.
-        raw, at = [x["raw"] for x in first], _CELL["number"]
-        r = r.filter((F.get("cells", F.lit(at)) != F.lit(raw[at])) | (F.col("cells") != F.array(*map(F.lit, raw))))
-    d = r.select(
-        "page", "row", *(cell(n).alias(n) for n in ("count", "house", "appeal", "requested", "number")), *(turned(cell(n)).alias(n) for n in _TEXTS)
-    )
-    d = compose(d, "house", "number", *_TEXTS).withColumns({n: T.clean_text(n) for n in _TEXTS}).filter(T.clean_text("number") != "")
-    d = d.withColumns({"action": classify_action(F.col("tree_action"), F.col("request_action")), "trees": T.pdf_count("count")})
+        r = r.filter((_cell("number") != F.lit(first[_CELL["number"]])) | (F.col("cells") != F.array(*map(F.lit, first))))
+    d = r.filter(~T.is_blank(_cell("number"))).select("page", "row", *(_cell(n).alias(n) for n in _CELL))  # a short row has no number
+    d = compose(reading_order(d, *_TEXTS) if visual else d, "house", "number", *_TEXTS)
+    # Each value is made once, in a projection before those that use it several times.
+    d = d.withColumns({n: T.clean_column(n) for n in ("house", "number", *_TEXTS)} | {"trees": T.pdf_count("count")})
+    d = classify_action(d, "tree_action", "request_action").withColumn("tail", F.when(F.col("house") == "", T.house_tail(F.col("street"))).otherwise(""))
     action, n = F.col("action"), F.col("trees")
-    parted = T.split_street_house("street")
-    no_house = T.clean_text("house") == ""
-    source_id = T.clean_text("number")
+    tail, house = F.col("tail"), F.col("house")
     return d.select(
-        T.state_key(F.lit(PDF), source_id).alias("key"), F.struct("page", "row").alias("ord"), F.lit(PDF).alias("source"), source_id.alias("source_id"), F.lit("licensed").alias("stage"),
-        F.lit(None).cast("string").alias("licence_id"), F.when(no_house, parted["street"]).otherwise(F.col("street")).alias("street"), F.when(no_house, parted["house"]).otherwise(T.clean_text("house")).alias("house"),
+        T.state_key(F.lit(PDF), "number").alias("key"), F.struct("page", "row").alias("ord"), F.lit(PDF).alias("source"), F.col("number").alias("source_id"), F.lit("licensed").alias("stage"),
+        F.lit(None).cast("string").alias("licence_id"), T.without_tail(F.col("street"), tail).alias("street"), F.when(house == "", F.trim(tail)).otherwise(house).alias("house"),
         *(F.when(action == a, n).otherwise(0).cast("long").alias(f"{a}_count") for a in ("fell", "relocate", "preserve")),
         F.when((action == "fell") & (F.col("species") != ""), F.col("species")).alias("species"), T.pdf_date("appeal").alias("appeal_last"), T.pdf_date("requested").alias("published"),
         (~F.col("note").contains(NO_APPEAL_PDF)).alias("can_appeal"), "applicant", F.lit("").alias("block"), F.lit("").alias("parcel"), "reason",

@@ -48,6 +48,46 @@ def api_row(request, licence=None, fell=1, keep=0, name="אלון", **kw):
     return d | {"expandRows": kw.get("rows", [{"street": "שדרות מוריה 1", "homeNumber": "", "customerName": "c", "block": "10", "parcel": "1-2", "requestReason": "q"}])}
 
 
+def test_cells_are_not_made_again_for_each_use(spark):
+    """Where a query makes the cells from columns, one is made where it is used and in the comparison with the header, which
+    only repeats of the header reach; and a row goes through Python once."""
+    day = F.date_format(F.timestamp_seconds("id"), "d/M/yyyy")
+    own = [F.lit(c) for c in pdf_row("")[:12]] + [day, F.lit(""), F.concat(F.lit("n"), F.col("id").cast("string"))]
+    rows = spark.range(3).select(F.lit(2).alias("page"), F.col("id").cast("int").alias("row"), F.array(*own).alias("cells"))
+    head = spark.createDataFrame([(1, 0, permits.HEADER)], "page int, row int, cells array<string>")
+    d = permits.decode_pages(head.unionByName(rows), visual=False)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") <= 2 and plan.count("ArrowEvalPython") == 2  # one for each side of the union
+    assert sorted((r.source_id, r.appeal_last) for r in d.collect()) == [(f"n{i}", dt.date(1970, 1, 1)) for i in range(3)]
+
+
+def test_odd_rows(spark):
+    """Nulls, short rows, repeats of the header, and cells that composition or cleaning changes."""
+    schema = "page int, row int, cells array<string>"
+    wide = pdf_row("\u3000\uff17", n="\u00a02", species="\ufb4b\u2003x", house="\uff15", street=" ב\u05bc\u05b0  1 ", note=None)
+    rows = [
+        (1, 0, None), (1, 1, ["short"]), (1, 2, permits.HEADER), (2, 0, permits.HEADER), (2, 1, [None, *permits.HEADER[1:]]), (2, 2, wide), (2, 3, pdf_row(None)), (2, 4, pdf_row("\u00a0\x1c")),
+        (2, 5, pdf_row("8", house=" ", street="22 1א\u2028")), (2, 6, pdf_row("9", house="\t", street="1 2 צפון", action="\n", request=" \x1f")), (2, 7, [*pdf_row("10", house="5\n", street=""), "more"]),
+    ]
+    m = {r.source_id: r for r in permits.decode_pages(spark.createDataFrame(rows, schema), visual=False).collect()}
+    assert set(m) == {"7", "8", "9", "10", permits.HEADER[14]}  # a row with a null is no repeat of the header
+    assert (m["7"].house, m["7"].street, m["7"].species, m["7"].can_appeal) == ("5", "ב\u05b0\u05bc 1", "ו\u05b9 x", True)
+    assert (m["8"].street, m["8"].house) == ("", "22 1א") and (m["9"].street, m["9"].house) == ("1 2 צפון", "")
+    assert (m["9"].fell_count, m["9"].relocate_count, m["9"].preserve_count) == (0, 0, 0) and (m["10"].street, m["10"].house) == ("", "5")
+    assert permits.decode_pages(spark.createDataFrame(rows[:2], schema), visual=False).collect() == []
+    with pytest.raises(permits.UnexpectedHeader):  # the first full row decides, whatever its number is
+        permits.decode_pages(spark.createDataFrame([(None, 5, [*permits.HEADER[:14], None]), *rows], schema), visual=False)
+
+
+def test_visual_order_is_turned(spark):
+    from permitflow.functions.bidi import turned
+
+    shown = [turned(c) for c in permits.HEADER]
+    cells = [turned(c) for c in pdf_row("7", street="ציון 22", house="")]
+    d = permits.decode_pages(spark.createDataFrame([(1, 0, shown), (1, 1, cells), (2, 0, shown)], "page int, row int, cells array<string>"))
+    assert [(r.source_id, r.street, r.house, r.fell_count, r.species) for r in d.collect()] == [("7", "ציון", "22", 2, "אורן")]
+
+
 @pytest.fixture()
 def captured(tmp_path):
     p = tmp_path / "api.json"

@@ -125,3 +125,18 @@ def test_turning_twice_gives_back_what_has_one_way():
     for line in ("אבג דהו", "אבג 12 דהו", "abc אבג def"):
         assert turned(turned(line)) == line
     assert levels("א1b") == [1, 2, 2]
+
+
+def test_clean_column_and_blanks(spark):
+    """The short ways agree with the long one; composition makes nothing blank that wasn't, for any character it changes."""
+    import sys
+    import unicodedata
+
+    from permitflow.functions.arrow import compose
+
+    texts = [None, "", " ", "a", " a", "a ", "a b", "a  b", "a\n", "\na", "\t", "\x1c", "a\x1fb", "\u00a0", "א ב", "א\u2028", "ß\u3000", "ב\u05bc\u05b0", " \u00a8 "]
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and unicodedata.normalize("NFKC", c) != c]
+    df = spark.createDataFrame([(t, t) for t in texts + odd], "t string, c string")
+    d = compose(df, "c").select("t", "c", T.clean_text("t").alias("x"), T.clean_column("t").alias("y"), T.is_blank("t").alias("b"), (T.clean_text("c") == "").alias("cb"))
+    for r in d.collect():
+        assert r.x == r.y and r.b == r.cb == (r.x == "") and r.c == (r.t and unicodedata.normalize("NFKC", r.t)), repr(r.t)
